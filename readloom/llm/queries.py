@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm.decontaminate import OP4_SQL, op4_decontaminate
+from readloom.llm.linededup import OP7_SQL, op7_line_dedup
 from readloom.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
+}

@@ -29,7 +29,7 @@ def components(edges: DataFrame, limit: int = 64) -> DataFrame:
     """(a, root) for each node that has an edge; root is the component's smallest node.
 
     edges: columns a and b of one orderable type; loops and repeats are allowed, nulls are not
-    linked.  Rounds go on until an edge table no longer changes, each cut by a checkpoint in the
+    linked.  Rounds go on until an edge table no longer changes, each cut by a table in the
     shared folder.  Only two sums of an edge table come to the driver.
     """
     now = cut(edges.select("a", "b").dropna().filter("a <> b").distinct())

@@ -11,12 +11,14 @@ from readloom.llm.linededup import OP7_SQL, op7_line_dedup
 from readloom.llm.pieces import op2_sentencepiece
 from readloom.llm.repeats import op1_repeats
 from readloom.llm.simhash import op10_simhash
+from readloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 

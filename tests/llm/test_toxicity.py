@@ -1,0 +1,96 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from readloom.llm import common, toxicity
+
+BAD = ["zlorg", "vexupa", "vexuti", "vexumo", "hrumble"]
+
+
+def make(rng, n):
+    good = ["".join(rng.choice("aeiourstln") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(n):
+        words = [rng.choice(good) for _ in range(rng.randrange(1, 120))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                bad = rng.choice(BAD)
+                words.insert(rng.randrange(len(words) + 1), bad + (rng.choice(["la", "st", "ron"]) if bad.startswith("vexu") else ""))
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    return texts, labels
+
+
+@pytest.fixture(scope="module")
+def network():
+    texts, labels = make(random.Random(1), 500)
+    return toxicity.train(pa.array([t.encode() for t in texts], pa.large_binary()), np.array(labels))
+
+
+def score(net, texts):
+    data, offsets = common.flat(pa.array([t.encode() for t in texts], pa.large_binary()))
+    found = common.words(data, offsets, toxicity._IS_WORD)
+    start, size, doc = toxicity.windows(found.first)
+    out = np.zeros(len(texts))
+    np.maximum.at(out, doc, toxicity.window_scores(net, toxicity.distinct_words(data, found), start, size))
+    return out
+
+
+def test_held_out_accuracy(network):
+    texts, labels = make(random.Random(2), 300)
+    assert ((score(network, texts) >= 0.5) == np.array(labels)).mean() > 0.95
+
+
+def test_a_bad_word_anywhere_in_a_long_text(network):
+    texts, labels = make(random.Random(3), 400)
+    clean = " ".join(t for t, x in zip(texts, labels) if not x)
+    words = clean.split()
+    for at in (0, len(words) // 2, len(words)):
+        assert score(network, [" ".join([*words[:at], "zlorg", "hrumble", *words[at:]])])[0] > score(network, [clean])[0]
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(3)
+    net.dense = {k: v.astype(np.float64) for k, v in net.dense.items()}
+    x = rng.normal(size=(9, 2 * toxicity.EMBED + 3))
+    index = rng.integers(0, 9, (5, 4))
+    mask = np.ones((5, 4), bool)
+    mask[3:, 1] = False
+    label = np.array([0.0, 1, 1, 0])
+
+    def loss():
+        p = net.score(x, index, mask)
+        return -(label * np.log(p) + (1 - label) * np.log(1 - p)).mean()
+
+    dense, rows = net.gradients(x, index, mask, label)
+    for name, at in (("W0", (1, 3)), ("U1", (2, 20)), ("b1", (4,)), ("v", (3,)), ("o", (9,)), ("c", (0,))):
+        value = net.dense[name][at]
+        up, down = (setitem(net.dense[name], at, value + e) or loss() for e in (1e-3, -1e-3))
+        net.dense[name][at] = value
+        assert abs((up - down) / 2e-3 - dense[name][at]) < 2e-4, name
+    value = x[4, 2]
+    up, down = (setitem(x, (4, 2), value + e) or loss() for e in (1e-3, -1e-3))
+    assert abs((up - down) / 2e-3 - rows[4, 2]) < 2e-4
+
+
+def setitem(array, at, value):
+    array[at] = value
+
+
+def test_table_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows = [(i, ("zlorg stuff" if i % 2 else "kind words"), 0.0) for i in range(20)] + [(None, None, 0.0), (50, "", 0.0), (51, "!?", 0.0), (3, "zlorg stuff", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity double")
+    net = toxicity.fitted(docs, labels)
+    got = toxicity.score_toxicity(docs, net).collect()
+    assert len(got) == len(rows)
+    assert all(r.toxicity == 0 for r in got if not (r.text or "").strip("!?"))
+    assert toxicity.score_toxicity(docs.limit(0), toxicity.fitted(docs.limit(0), labels.limit(0))).count() == 0
+    held = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0]
+    sample = toxicity.labelled_sample(docs.filter("doc_id is not null"), labels, "toxic", 5, 0)
+    assert sample.num_rows == 21 - len(held) - (3 in held)

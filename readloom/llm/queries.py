@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from readloom.llm.linededup import OP7_SQL, op7_line_dedup
+from readloom.llm.neighbours import op3_neighbours
 from readloom.llm.pieces import op2_sentencepiece
 from readloom.llm.repeats import op1_repeats
 from readloom.llm.simhash import op10_simhash
@@ -16,6 +17,7 @@ from readloom.llm.toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,

@@ -10,6 +10,7 @@ from readloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from readloom.llm.linededup import OP7_SQL, op7_line_dedup
 from readloom.llm.neighbours import op3_neighbours
 from readloom.llm.pieces import op2_sentencepiece
+from readloom.llm.quality import op5_quality
 from readloom.llm.repeats import op1_repeats
 from readloom.llm.simhash import op10_simhash
 from readloom.llm.toxicity import op9_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,

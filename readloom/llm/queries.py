@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.decontaminate import OP4_SQL, op4_decontaminate
+from readloom.llm.license import OP6_SQL, op6_licenses
 from readloom.llm.linededup import OP7_SQL, op7_line_dedup
 from readloom.llm.neighbours import op3_neighbours
 from readloom.llm.pieces import op2_sentencepiece
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
+    "op6_licenses": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
 }

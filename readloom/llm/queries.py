@@ -10,6 +10,7 @@ from readloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from readloom.llm.license import OP6_SQL, op6_licenses
 from readloom.llm.linededup import OP7_SQL, op7_line_dedup
 from readloom.llm.neighbours import op3_neighbours
+from readloom.llm.pii import op8_pii
 from readloom.llm.pieces import op2_sentencepiece
 from readloom.llm.quality import op5_quality
 from readloom.llm.repeats import op1_repeats
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }

@@ -1,0 +1,92 @@
+import random
+
+import pytest
+
+from readloom.functions import sequence as S
+from readloom.operators import kmers, reads, search
+from pyspark.sql import functions as F
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def dna(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def test_functions(spark):
+    df = spark.createDataFrame([("ACGTN",), ("",), ("AAAA",)], "s string")
+    got = [tuple(r) for r in df.select(S.reverse_complement(F.col("s")), F.size(S.kmers(F.col("s"), 3)), S.canonical(F.col("s")), S.packed(F.col("s"))).collect()]
+    assert [x[0] for x in got] == ["NACGT", "", "TTTT"] and [x[1] for x in got] == [3, 0, 2]
+    two = spark.createDataFrame([("ACGT", "AGGA"), ("", ""), ("A", "A"), ("ABC", "ABD")], "a string, b string")
+    assert [r[0] for r in two.select(S.hamming(F.col("a"), F.col("b"))).collect()] == [2, 0, 0, 1]
+    assert [r[0] for r in two.select(S.common_prefix(F.col("a"), F.col("b"))).collect()] == [1, 0, 1, 2]
+    name = spark.createDataFrame([("@SRR001.20 7/1",)], "n string").select(S.header_tokens(F.col("n"))).first()[0]
+    assert name == ["@", "SRR", "00", "1", ".", "20", " ", "7", "/", "1"]
+
+
+def test_dedup_and_prefixes(spark):
+    rows = [(1, "ACGTAC"), (2, "ACGTNC"), (3, "ACG"), (4, "ACGTAC"), (5, "TTT"), (6, "ACGTACGG")]
+    unique, mapped = reads.deduplicate(spark.createDataFrame(rows, "read_id long, seq string"))
+    assert sorted((r.uid, r.seq) for r in unique.collect()) == [(1, "ACGTAC"), (3, "ACG"), (5, "TTT"), (6, "ACGTACGG")]
+    assert dict(map(tuple, mapped.collect())) == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+    assert sorted(map(tuple, reads.contain_prefixes(unique).collect())) == [(1, 6), (3, 1)]
+
+
+def test_scope(spark):
+    kind = "read_id long, name string, seq string, plus string, qual string"
+    verdict = lambda rows: reads.scope_report(spark.createDataFrame(rows, kind), 100).first().verdict
+    assert verdict([(0, "@a", "ACGN", "+", "IIII")]) == "IN SCOPE"
+    assert verdict([(0, "@a", "ACG", "+", "III"), (1, "@b", "AC", "+", "II")]) == "CAVEAT"
+    assert verdict([(0, "@a", "ACX", "+", "III")]) == "OUT OF SCOPE"
+    assert verdict([(0, "@a", "A" * 101, "+", "I" * 101)]) == "OUT OF SCOPE"
+    assert verdict([(0, "@a", "AC", "+", "I")]) == "CANNOT READ"
+    assert verdict([]) == "CANNOT READ"
+    with pytest.raises(reads.OutOfScope):
+        reads.require_in_scope(spark.createDataFrame([], kind))
+
+
+def test_kmer_counts_and_depth(spark):
+    rng = random.Random(3)
+    seqs = [dna(rng, rng.randrange(40)) for _ in range(30)] + ["ANNA", "", "ACGT"]
+    want = {}
+    for s in seqs:
+        for i in range(len(s) - 4):
+            if "N" not in s[i : i + 5]:
+                k = min(s[i : i + 5], rc(s[i : i + 5]))
+                want[k] = want.get(k, 0) + 1
+    got = kmers.count(spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string"), 5)
+    assert {r.kmer: r.cnt for r in got.collect()} == want
+    histogram = spark.createDataFrame([(2, 90), (3, 20), (4, 5), (5, 8), (20, 70), (21, 70), (30, 1)], "cnt long, n_kmers long")
+    assert kmers.haploid_depth(histogram).first().h == 20
+    assert kmers.haploid_depth(histogram.limit(0)).first().h == 30
+
+
+def test_probes(spark):
+    rng = random.Random(4)
+    texts = {i: dna(rng, 90) for i in range(6)}
+    probes = [(1, texts[2][10:34]), (2, rc(texts[4][50:80])), (3, "ACGTACGTACGT"), (4, texts[0][5:17] + "A" + texts[0][18:30]), (5, texts[1][0:2])]
+    df = spark.createDataFrame(list(texts.items()), "contig_id long, seq string")
+    for mm in (0, 1, 2):
+        got = sorted((r.probe_id, r.strand, r.contig_id, r.start, r.n_mm) for r in search.seed_matches(spark.createDataFrame(probes, "probe_id long, probe string"), df, mm).collect())
+        want = []
+        for pid, p in probes:
+            if len(p) // (mm + 1) == 0:
+                continue
+            for strand, q in {"+": p, **({"-": rc(p)} if rc(p) != p else {})}.items():
+                for cid, t in texts.items():
+                    for i in range(len(t) - len(q) + 1):
+                        n = sum(a != b for a, b in zip(q, t[i : i + len(q)]))
+                        if n <= mm:
+                            want.append((pid, strand, cid, i, n))
+        assert got == sorted(want)
+
+
+def test_completion_refuses_short_probes(spark):
+    unique = spark.createDataFrame([(1, "ACGT" * 12), (2, "TTTTTCCCCC" * 5)], "uid long, seq string")
+    index = search.completion_index(unique)
+    with pytest.raises(search.ProbeTooShort):
+        search.complete(spark.createDataFrame([(1, "ACGT")], "probe_id long, probe string"), index, unique)
+    found = search.complete(spark.createDataFrame([(1, ("ACGT" * 12)[3:33]), (2, "G" * 30)], "probe_id long, probe string"), index, unique)
+    assert sorted(map(tuple, found.collect())) == [(1, 1)]

@@ -64,3 +64,9 @@ def test_bounded_cache(vocabulary, monkeypatch):
 
 def test_empty_table(spark):
     assert pieces.decode(pieces.encode(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_one_pass_round_trip(spark):
+    rows = [(i, t) for i, t in enumerate(texts(random.Random(4)))]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), decoded="back").collect()
+    assert all(r.back == (r.text or "") for r in got) and len(got) == len(rows)

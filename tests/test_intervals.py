@@ -7,7 +7,9 @@ def test_coverage_runs_equal_brute_force(spark):
     rng = random.Random(1)
     spans = [(r, s := rng.randrange(100), s + rng.randrange(0, 30)) for r in "ab" for _ in range(40)]
     extents = [("a", 0, 140), ("b", 0, 130), ("c", 5, 9)]
-    runs = intervals.coverage_runs(spark.createDataFrame(spans, "region string, start long, end long"), spark.createDataFrame(extents, "region string, start long, end long")).collect()
+    frames = spark.createDataFrame(spans, "region string, start long, end long"), spark.createDataFrame(extents, "region string, start long, end long")
+    runs = intervals.coverage_runs(*frames).collect()
+    assert sorted(map(tuple, runs)) == sorted(map(tuple, intervals.coverage_runs(*frames, width=7).collect()))
     for region, lo, hi in extents:
         depth = [sum(s <= p < e for r, s, e in spans if r == region) for p in range(lo, hi)]
         own = sorted((r.start, r.end, r.depth) for r in runs if r.region == region)
@@ -28,16 +30,25 @@ def test_overlap_join_has_each_pair_once(spark):
 def test_as_of_gaps_and_edges(spark):
     spans = spark.createDataFrame([("x", 10, 20, 1), ("x", 20, 25, 2), ("x", 40, 41, 3)], "region string, start long, end long, contig_id long")
     points = spark.createDataFrame([(i, "x", i) for i in (0, 10, 19, 20, 24, 25, 40, 41)] + [(99, "y", 12)], "point_id long, region string, pos long")
-    got = {r.point_id: r.contig_id for r in intervals.as_of_span(points, spans).collect()}
-    assert got == {0: None, 10: 1, 19: 1, 20: 2, 24: 2, 25: None, 40: 3, 41: None, 99: None}
+    for width in (1 << 16, 8, 1):
+        got = {r.point_id: r.contig_id for r in intervals.as_of_span(points, spans, width).collect()}
+        assert got == {0: None, 10: 1, 19: 1, 20: 2, 24: 2, 25: None, 40: 3, 41: None, 99: None}
 
 
 def test_union_of_spans(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 9, 12), ("a", 1, 2), ("b", 0, 1)], "region string, start long, end long")
-    assert sorted(map(tuple, intervals.union_of_spans(rows).collect())) == [("a", 0, 7), ("a", 9, 12), ("b", 0, 1)]
+    for width in (1 << 16, 4, 1):
+        assert sorted(map(tuple, intervals.union_of_spans(rows, width).collect())) == [("a", 0, 7), ("a", 9, 12), ("b", 0, 1)]
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "region string, start long, end long")
     assert intervals.coverage_runs(none, none).count() == 0
     assert intervals.union_of_spans(none).count() == 0
+
+
+def test_window_mean_over_chunks(spark):
+    depth = spark.createDataFrame([("a", p, p * p % 17) for p in range(60)], "region string, pos long, depth long")
+    whole = sorted(map(tuple, intervals.window_mean(depth, 5).collect()))
+    assert whole == sorted(map(tuple, intervals.window_mean(depth, 5, 12).collect())) and len(whole) == 60
+    assert [r[3] for r in whole][30] == sum(p * p % 17 for p in range(25, 36)) // 11

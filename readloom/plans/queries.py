@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
-from readloom.operators import assembly, calling, evaluate, graph, intervals, kmers, reads, references, search
+from readloom.operators import assembly, calling, evaluate, graph, intervals, kmers, product, reads, references, search
 from readloom.plans import fixtures as X
 from readloom.streaming import incremental
 
@@ -489,6 +489,33 @@ def read_gap_votes(spark, sf_dir):
     return calling.read_gaps(placed, X.genome(spark, sf_dir), flank=12)
 
 
+@query(f"{_PLACED} SELECT count(*) AS n_reads, count(*) FILTER (hit IS NULL) AS n_left, round(count(*) FILTER (hit IS NULL) / count(*), 6) AS share FROM (SELECT r.read_id, b.read_id AS hit FROM reads r LEFT JOIN best b ON r.read_id = b.read_id)")
+def leftover_fraction(spark, sf_dir):
+    return product.leftovers_share(X.drawn_reads(spark, sf_dir).select("read_id", "seq"), X.genome(spark, sf_dir).select("contig_id", "seq"))
+
+
+@query()
+def placed_again(spark, sf_dir):
+    return product.place_again(X.drawn_reads(spark, sf_dir).select("read_id", "seq"), X.genome(spark, sf_dir).select("contig_id", "seq"))
+
+
+@query()
+def anchored_gap_votes(spark, sf_dir):
+    return product.anchored_gaps(X.drawn_reads(spark, sf_dir).select("read_id", F.col("body").alias("seq")), X.genome(spark, sf_dir).select("contig_id", "seq"))
+
+
+@query()
+def near_miss_sites(spark, sf_dir):
+    unique, mapped = reads.deduplicate(X.drawn_reads(spark, sf_dir).select("read_id", F.col("turned").alias("seq")))
+    return product.near_miss_sites(unique, mapped, 30)
+
+
+@query(f"WITH {X.READS_SQL} SELECT n_mm, count(*) AS n FROM (SELECT hamming(body, substr(genome.seq, start + 1, length(body))) AS n_mm FROM reads JOIN genome USING (contig_id) WHERE length(second) = 128) GROUP BY n_mm")
+def mismatch_histogram(spark, sf_dir):
+    rows = X.drawn_reads(spark, sf_dir).join(X.genome(spark, sf_dir).filter("length(second) = 128").select("contig_id", F.col("seq").alias("contig")), "contig_id")
+    return rows.groupBy(S.hamming(F.col("body"), F.expr("substr(contig, cast(start as int) + 1, length(body))")).cast("long").alias("n_mm")).agg(F.count("*").alias("n"))
+
+
 @query()
 def bubble_extract(spark, sf_dir):
     pairs = X.genome(spark, sf_dir).filter("second <> seq").select(F.col("contig_id").alias("pair_id"), F.col("seq").alias("left"), F.col("second").alias("right"))

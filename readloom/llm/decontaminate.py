@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index over each training shard.
 
-A shard is one Arrow batch of documents.  Words are found and hashed on the bytes; words and word
+A shard is a run of documents of some 4 MB.  Words are found and hashed on the bytes; words and word
 pairs that no benchmark window has end a segment, since no occurrence can hold them, and segments
 shorter than the shortest window are left out.  What is left is indexed: suffix array of the
 segments, Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix position.  All
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ _IS_WORD = common.table_of(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0
 _CODES = common.BYTE_CODES[common.LOWER]
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
+SHARD_SLICES = 16
 
 
 @dataclass
@@ -232,8 +234,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     def step(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
-        for batch in batches:
-            parts = list(common.slices(batch, "_text"))
+        for parts in (list(some) for batch in batches for some in batched(common.slices(batch, "_text"), SHARD_SLICES)):
             shard, found = [], []
             for _, data, offsets in parts:
                 own = common.words(data, offsets, _IS_WORD)

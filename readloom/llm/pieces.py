@@ -25,8 +25,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 HOPELESS = -1e8
 SHORT = 64
-CACHE = 1 << 19
-SLICE = 1 << 19
+CACHE = 1 << 17
 _STARTS = common.table_of(lambda b: b & 0xC0 != 0x80)
 
 
@@ -229,24 +228,43 @@ class Encoder:
         return self.flat[take], np.concatenate([[0], total])[np.searchsorted(doc, np.arange(n + 1))]
 
 
-def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str = MODEL) -> DataFrame:
+class Decoder:
+    def __init__(self, v: Vocabulary):
+        self.data, self.offsets = common.flat(pa.array(v.pieces, pa.large_binary()))
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The texts of lists of ids; the leading space of a text that has ids goes."""
+        many = np.diff(self.offsets)[ids]
+        total = np.concatenate([[0], np.cumsum(many)])
+        out = self.data[np.arange(int(total[-1])) + np.repeat(self.offsets[ids] - total[:-1], many)]
+        ends = total[first]
+        return pa.array([out[a + 1 : b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()).cast(pa.string())
+
+
+def encode(df: DataFrame, text: str = "text", into: str = "ids", decoded: str | None = None, path: str = MODEL) -> DataFrame:
     """``df`` with the piece ids of ``text`` in ``into`` (replaced if there), an array of int.
 
+    ``decoded`` names a column for the text that those ids decode to, in the same pass.
+
     A null or empty text has no ids.  Characters that no piece has become byte pieces, so do meta
     symbols in the text, and decoding gives each text back exactly.
     """
     shared = df.sparkSession.sparkContext.broadcast(load(path))  # the size of a vocabulary, not of the data
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != into]).alias("row"), F.col(text).alias("_text"))
+    made = [into, *([decoded] if decoded else [])]
+    kept = [c for c in df.columns if c not in made]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text", SLICE):
+            for part, data, offsets in common.slices(batch, "_text"):
                 ids, first = encoder.encode(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), common.lists(ids, first, pa.int32())], ["row", "ids"])
+                back = [decoder.decode(ids, first)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), common.lists(ids, first, pa.int32()), *back], ["row", "ids", "decoded"][: 2 + len(back)])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != into], F.col("ids").alias(into))
+    fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    out = rows.mapInArrow(run, T.StructType(fields[: 1 + len(made)]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[F.col(x).alias(c) for x, c in zip(("ids", "decoded"), made, strict=False)])
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str = MODEL) -> DataFrame:
@@ -255,20 +273,14 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str = M
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != into]).alias("row"), F.col(ids).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, offsets = common.flat(pa.array(shared.value.pieces, pa.large_binary()))
-        size = np.diff(offsets)
+        decoder = Decoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 lists = part.column(1)
-                per = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                many = size[flat]
-                total = np.concatenate([[0], np.cumsum(many)])
-                out = data[np.arange(int(total[-1])) + np.repeat(offsets[flat] - total[:-1], many)]
-                ends = total[np.concatenate([[0], np.cumsum(per)])]
-                texts = [out[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
+                first = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])])
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), decoder.decode(ids, first)], ["row", "text"])
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != into], F.col("text").alias(into))
@@ -277,6 +289,5 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str = M
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256, exact): exact says whether decoding gave the text back."""
     texts = common.documents(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
-    coded = encode(texts, path=path).select("doc_id", "sha", "ids")
-    back = decode(coded, path=path).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    back = encode(texts, decoded="decoded", path=path).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha")).alias("exact"))

@@ -32,6 +32,7 @@ HIDDEN, TAGS, SYMBOLS = 8, len(KINDS) + 1, 130  # the last symbol stands after a
 TRAIN_WINDOW, WINDOW, OVERLAP = 96, 256, 32
 BATCH, EPOCHS, LEAST_STEPS = 128, 5, 250
 BLOCK = 2048
+SLICE = 1 << 19  # some windows more than a block
 SHORTEST = 7
 _STARTS = common.table_of(lambda b: b & 0xC0 != 0x80)
 _SYMBOL = np.minimum(np.arange(256), 128).astype(np.uint8)
@@ -279,7 +280,7 @@ def find_personal_data(df: DataFrame, net: Tagger, text: str = "text", doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "text"):
+            for part, data, offsets in common.slices(batch, "text", SLICE):
                 own, ends = symbols(data, offsets)
                 doc, start, end, tag = runs(network_tags(shared.value, own.astype(np.int64), ends), ends)
                 first = np.searchsorted(doc, np.arange(len(offsets)))

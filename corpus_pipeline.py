@@ -39,8 +39,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, text, n_pieces, ids): the text that the ids decode to."""
-    coded = pieces.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
-    return pieces.decode(coded, into="text").select("doc_id", "text", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    coded = pieces.encode(docs.select("doc_id", F.col("text").alias("source_text")), text="source_text", decoded="text")
+    return coded.select("doc_id", "text", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [

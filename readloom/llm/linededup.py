@@ -74,6 +74,7 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     plain = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = plain.filter(F.col("doc_id").isNotNull())
     repeated = _hashed_lines(known, least).groupBy("a", "b").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).filter("keeper < other").select("a", "b", "keeper")
+    repeated = common.cut(repeated)  # a side of the join of its own, so that a hot line's rows can be split
     lost = _hashed_lines(known, least).join(repeated, ["a", "b"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
     lost = lost.select(F.col("doc_id").alias("_lost_of"), F.col("lost.a").alias("_lost_a"), F.col("lost.b").alias("_lost_b"))
     carried = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text and not digest or c == doc_id]).alias("_row")

@@ -37,10 +37,11 @@ def haploid_depth(histogram: DataFrame, most: int = 2000, fallback: int = 30, le
     return peak.select(F.when(F.col("peak") >= least, F.col("peak")).otherwise(F.lit(fallback)).cast("long").alias("h"))
 
 
-def _neighbours(kmer: Column, k: int) -> Column:
-    """The canonical k-mers that differ in one base."""
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(
-        F.filter(F.array(*map(F.lit, "ACGT")), lambda b: b != F.substring(kmer, i, F.lit(1))), lambda b: S.canonical(F.overlay(kmer, b, i, F.lit(1))))))
+def _neighbours(kmers: DataFrame, k: int) -> DataFrame:
+    """(asked, kmer): the canonical k-mers that differ from each in one base; plain projections, so that they compile."""
+    places = kmers.select(F.col("kmer").alias("asked"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"))
+    changed = [F.when(F.substring(F.col("asked"), F.col("i"), F.lit(1)) != b, F.overlay("asked", F.lit(b), F.col("i"), F.lit(1))) for b in "ACGT"]
+    return places.select("asked", F.explode(F.array(*changed)).alias("other")).filter("other is not null").select("asked", S.canonical(F.col("other")).alias("kmer"))
 
 
 def neighbour_share(counts: DataFrame, k: int, least: Column, stride: int = 1) -> DataFrame:
@@ -49,7 +50,7 @@ def neighbour_share(counts: DataFrame, k: int, least: Column, stride: int = 1) -
     With ``stride`` only k-mers whose hash it divides are looked up (a sampling operator)."""
     solid = counts.filter(F.col("cnt") >= least).select("kmer")
     asked = solid.filter(F.pmod(F.crc32("kmer"), F.lit(stride)) == 0)
-    near = asked.select(F.col("kmer").alias("asked"), F.explode(_neighbours(F.col("kmer"), k)).alias("kmer")).join(solid, "kmer", "left_semi").select("asked").distinct()
+    near = _neighbours(asked, k).join(solid, "kmer", "left_semi").select("asked").distinct()
     found = asked.join(near, F.col("kmer") == F.col("asked"), "left")
     return found.agg(F.count("*").alias("n_kmers"), F.count("asked").alias("n_with"), F.round(F.count("asked") / F.count("*"), 6).alias("share"))
 

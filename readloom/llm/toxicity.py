@@ -29,6 +29,7 @@ PRIOR_WEIGHT = 4.0
 EPOCHS = (3, 2, 2)
 LEAST_STEPS = 120  # in each round, of batches of 256 windows
 BLOCK = 4096
+SLICE = 1 << 19
 _IS_WORD = common.table_of(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 _CODES = common.BYTE_CODES[common.LOWER]
 
@@ -38,6 +39,7 @@ class Distinct:
     """The distinct words of a slice: table rows, n-gram rows end to end, and each word's place among them."""
 
     which: np.ndarray  # distinct word of each word
+    name: np.ndarray
     row: np.ndarray
     gram: np.ndarray
     first: np.ndarray
@@ -61,7 +63,7 @@ def distinct_words(data: np.ndarray, found: common.Words) -> Distinct:
         owner.append(np.repeat(np.arange(len(own)), many))
     gram, owner = np.concatenate(parts).astype(np.int64), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return Distinct(which, (own % np.uint64(WORD_ROWS)).astype(np.int64), gram[order], np.searchsorted(owner[order], np.arange(len(own) + 1)))
+    return Distinct(which, own, (own % np.uint64(WORD_ROWS)).astype(np.int64), gram[order], np.searchsorted(owner[order], np.arange(len(own) + 1)))
 
 
 def windows(first: np.ndarray, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,32 +185,65 @@ def window_scores(net: Network, d: Distinct, start: np.ndarray, size: np.ndarray
     return out
 
 
-def _log_odds(bucket: np.ndarray, doc: np.ndarray, label: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Of a toxic document, for each bucket, by documents that have it, drawn to the overall odds."""
-    pairs = np.unique(bucket * len(label) + doc)
-    bucket, toxic = pairs // len(label), label[pairs % len(label)]
+class _Odds:
+    """Log odds of a toxic document, for each bucket, by documents that have it, drawn to the overall odds."""
+
+    def __init__(self, buckets: int):
+        self.yes, self.every = np.zeros(buckets), np.zeros(buckets)
+
+    def add(self, bucket: np.ndarray, doc: np.ndarray, label: np.ndarray) -> None:
+        pairs = np.unique(bucket * len(label) + doc)
+        bucket, toxic = pairs // len(label), label[pairs % len(label)]
+        self.yes += np.bincount(bucket, toxic, len(self.yes))
+        self.every += np.bincount(bucket, minlength=len(self.yes))
+
+    def table(self, share: float) -> np.ndarray:
+        odds = np.log((self.yes + PRIOR_WEIGHT * share) / (self.every - self.yes + PRIOR_WEIGHT * (1 - share))) - np.log(share / (1 - share))
+        return np.where(self.every > 0, odds, 0).astype(np.float32)
+
+
+def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinct, np.ndarray]:
+    """The distinct words of all texts, slice by slice, and each text's first word; sets the network's odds."""
+    word_odds, gram_odds = _Odds(WORD_ROWS), _Odds(GRAM_ROWS)
+    batch, at, slices_, counts = pa.RecordBatch.from_arrays([texts], ["text"]), 0, [], []
+    for _, data, offsets in common.slices(batch, "text", SLICE):
+        found, own = common.words(data, offsets, _IS_WORD), label[at : at + len(offsets) - 1]
+        at += len(own)
+        counts.append(np.diff(found.first))
+        if not len(found.start):
+            continue
+        d = distinct_words(data, found)
+        word_odds.add(d.row[d.which], found.doc, own)
+        pairs = np.unique(found.doc * len(d.row) + d.which)  # each word once a document
+        gram_odds.add(_grams_of(d, pairs % len(d.row)), np.repeat(pairs // len(d.row), np.diff(d.first)[pairs % len(d.row)]), own)
+        slices_.append(d)
     share = float(np.clip(label.mean(), 0.01, 0.99))
-    yes, every = np.bincount(bucket, toxic, n_buckets), np.bincount(bucket, minlength=n_buckets)
-    odds = np.log((yes + PRIOR_WEIGHT * share) / (every - yes + PRIOR_WEIGHT * (1 - share))) - np.log(share / (1 - share))
-    return np.where(every > 0, odds, 0).astype(np.float32)
+    net.word_odds, net.gram_odds = word_odds.table(share), gram_odds.table(share)
+    names = np.unique(np.concatenate([d.name for d in slices_])) if slices_ else np.zeros(0, np.uint64)
+    number, which, rows, grams, many, n = np.full(len(names), -1), [], [], [], [], 0
+    for d in slices_:
+        place = np.searchsorted(names, d.name)
+        new = np.flatnonzero(number[place] < 0)
+        number[place[new]] = n + np.arange(len(new))
+        n += len(new)
+        which.append(number[place][d.which])
+        rows.append(d.row[new])
+        grams.append(_grams_of(d, new).astype(np.int32))
+        many.append(np.diff(d.first)[new])
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return Distinct(joined(which), names, joined(rows), joined(grams), np.concatenate([[0], np.cumsum(joined(many))])), np.concatenate([[0], np.cumsum(joined(counts))])
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
     """Fit on whole texts with document labels: in each round the windows that now score worst stand for their document."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    data, offsets = common.flat(texts)
-    found = common.words(data, offsets, _IS_WORD)
     label = labels.astype(np.float32)
-    if not len(found.start) or not 0 < label.mean() < 1:
+    d, first = _gathered(texts, label, net) if len(label) else (None, None)
+    if d is None or not len(d.which) or not 0 < label.mean() < 1:
         net.dense["o"][:] = 0
         net.dense["c"][0] = np.log((label.sum() + 1) / (len(label) - label.sum() + 9))
         return net
-    d = distinct_words(data, found)
-    net.word_odds = _log_odds(d.row[d.which], found.doc, label, WORD_ROWS)
-    pairs = np.unique(found.doc * len(d.row) + d.which)  # each word once a document
-    word, owner = pairs % len(d.row), pairs // len(d.row)
-    net.gram_odds = _log_odds(_grams_of(d, word), np.repeat(owner, np.diff(d.first)[word]), label, GRAM_ROWS)
-    start, size, doc = windows(found.first)
+    start, size, doc = windows(first)
     blank, memory, step = len(d.row), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}, 0
     for number, epochs in enumerate(EPOCHS):
         if number:
@@ -250,7 +285,7 @@ def _grams_of(d: Distinct, word: np.ndarray) -> np.ndarray:
 def _some_inputs(net: Network, d: Distinct, own: np.ndarray) -> np.ndarray:
     real = own[own < len(d.row)]
     first = np.concatenate([[0], np.cumsum(np.diff(d.first)[real])])
-    return net.inputs(Distinct(d.which, d.row[real], _grams_of(d, real), first))[: len(own)]
+    return net.inputs(Distinct(d.which, d.name, d.row[real], _grams_of(d, real), first))[: len(own)]
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> pa.Table:

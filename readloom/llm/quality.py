@@ -160,8 +160,8 @@ def fit(x: np.ndarray, label: np.ndarray) -> Additive:
 def fitted(documents: DataFrame, labels: DataFrame) -> Additive:
     """A model from labels.quality, without rows whose crc32 of doc_id leaves 2 when divided by 4."""
     sample = labelled_sample(documents, labels, "quality", 4, 2, rows=SAMPLE_ROWS)
-    texts = sample["text"].combine_chunks().cast(pa.large_binary()) if sample.num_rows else pa.array([], pa.large_binary())
-    return fit(features(*common.flat(texts)), sample["label"].to_numpy().astype(float))
+    rows = [features(data, offsets) for batch in sample.to_batches() for _, data, offsets in common.slices(batch, "text")]
+    return fit(np.concatenate(rows) if rows else np.zeros((0, len(FEATURES))), sample["label"].to_numpy().astype(float))
 
 
 def score_quality(df: DataFrame, model: Additive, text: str = "text", into: str = "quality") -> DataFrame:

@@ -24,8 +24,10 @@ from readloom.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 HOPELESS = -1e8
-SHORT = 64
-CACHE = 1 << 17
+SHORT = 40
+CACHE = 1 << 18
+SLICE = 1 << 19
+SIEVE = (1 << 20) - 1
 _STARTS = common.table_of(lambda b: b & 0xC0 != 0x80)
 
 
@@ -40,6 +42,7 @@ class Vocabulary:
     table: dict[bytes, tuple[float, int]] = field(default_factory=dict)
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sieve: np.ndarray = field(default_factory=lambda: np.zeros(SIEVE + 1, bool))  # low bits of the pieces' hashes
     unknown: float = 0.0  # what a character costs that no piece has
     longest: int = 0
 
@@ -78,6 +81,7 @@ def prepared(v: Vocabulary) -> Vocabulary:
     data, offsets = common.flat(pa.array(names, pa.large_binary()))
     hashes = common.Rolling(data).of(offsets[:-1], offsets[1:])
     order = np.argsort(hashes)
+    v.sieve[(hashes & np.uint64(SIEVE)).astype(np.int64)] = True
     v.hashes, v.ids = hashes[order], np.array([v.table[n][1] for n in names])[order]
     return v
 
@@ -143,6 +147,8 @@ def search(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarra
             if not len(some):
                 continue
             found = names.of(at[some] + begin, at[some] + end)
+            maybe = v.sieve[(found & np.uint64(SIEVE)).astype(np.int64)]
+            some, found = some[maybe], found[maybe]
             place = np.minimum(np.searchsorted(v.hashes, found), len(v.hashes) - 1)
             known = v.hashes[place] == found
             good, ids = some[known], v.ids[place[known]]
@@ -257,7 +263,7 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", decoded: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text"):
+            for part, data, offsets in common.slices(batch, "_text", SLICE):
                 ids, first = encoder.encode(data, offsets)
                 back = [decoder.decode(ids, first)] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), common.lists(ids, first, pa.int32()), *back], ["row", "ids", "decoded"][: 2 + len(back)])

@@ -144,15 +144,19 @@ def _flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose core has another row."""
-    return rows.join(rows.groupBy("core").count().filter("count > 1").select("core"), "core", "left_semi").select(*rows.columns)
+    """The rows whose core has another row.
+
+    Written out, the cores are a side of the join of their own, so that a hot core's rows can be split.
+    """
+    shared = common.cut(rows.groupBy("core").count().filter("count > 1").select("core"))
+    return rows.join(shared, "core", "left_semi").select(*rows.columns)
 
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stretches that occur twice, and a representative of each distinct stretch of a core that has several."""
     distinct = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "place")).alias("one"))
     repeated = rows.join(distinct.filter("n > 1").select("whole"), "whole", "left_semi").select(*_KEY, "place", "size").distinct()
-    several = distinct.groupBy("core").count().filter("count > 1").select("core")
+    several = common.cut(distinct.groupBy("core").count().filter("count > 1").select("core"))
     return common.cut(repeated), distinct.join(several, "core", "left_semi").select("one.*")
 
 

@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, which are normalised and looked up among the known sentences of
-licence notices; what comes out is the sequence of their identifiers, and a rule recognises a
-licence where its own sequence stands in it, in order, with at most ``GAP`` other sentences
-between neighbours.
+A text is cut into lines and sentences, which are normalised; a known sentence of a licence notice
+is found where its words begin at such a cut and end at one, whatever cuts are between them (line
+ends of a hard-wrapped notice, a colon, a blank line before an address).  What comes out is the
+sequence of identifiers, and a rule recognises a licence where its own sequence stands in it, in
+order, with at most ``GAP`` other sentences between neighbours.
 """
 
 from __future__ import annotations
@@ -39,6 +40,13 @@ SENTENCES: dict[str, list[str]] = {
     "all-rights": ["all rights reserved"],
 }
 
+# The same notices as published, where they go on or are spelt otherwise; OP6_SQL doesn't know these.
+PUBLISHED: dict[str, list[str]] = {
+    "apache-copy": ["you may obtain a copy of the license at http www.apache.org licenses license 2.0", "you may obtain a copy of the license at https www.apache.org licenses license 2.0"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+}
+
 # Licences and the sequences that stand for them; each sequence is a rule of its own.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache-by"]),
@@ -53,35 +61,52 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
 ]
 
-_CUT = r"[.;:!?]+(?=\s|$)|\n"
 _DROP = r"[^0-9a-z.]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_KNOWN = {x: name for table in (SENTENCES, PUBLISHED) for name, texts in table.items() for x in texts}
+# a longer sentence before its own beginning; between words may be any cut
+_FIND = "(?<=[|_])(?:" + "|".join(x.replace(".", "[.]").replace(" ", "[ |_]") for x in sorted(_KNOWN, key=len, reverse=True)) + ")(?=[|_])"
 
 
-def normalised(sentence):
-    """A-Z lower-cased; what is neither a letter, a digit nor a dot becomes one space; none at the ends."""
-    return F.btrim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), _DROP, " "))
+def tidied(text):
+    """Normal forms in a row, | before, between and after sentences, _ for a line's end inside one.
+
+    A-Z are lower-cased; what is neither a letter, a digit nor a dot becomes one space; none at the
+    ends.  A full stop inside a word (4.0) doesn't end a sentence, so dots stay, but none at an end.
+    The lookbehinds keep long runs of dots from being tried again from each of their dots.
+    """
+    text = F.translate(F.coalesce(text, F.lit("")), _UPPER + "|", _LOWER + "/")
+    text = F.regexp_replace(text, r"(?<![.;:!?])[.;:!?]+(?=\s|$)", "|")
+    text = F.regexp_replace(F.concat(F.lit("|"), text, F.lit("|")), r"[^0-9a-z.\n|]+", " ")
+    text = F.regexp_replace(text, r"(?<=[0-9a-z]) ?\n ?(?=[0-9a-z])", "_")
+    return F.regexp_replace(text, r"(?<![. \n|])[. \n|]*[\n|] *", "|")
 
 
 def sequences(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids): one row a row of ``df``; ids holds (at, id) of each known sentence, at counting the text's sentences from 0.
+    """(doc_id, ids): one row a row of ``df``; ids holds (at, sentence, id) of each known sentence.
 
-    Sentences end at . ; : ! ? before white space or the end, or at a line's end; sentences without
-    a letter or digit aren't counted.  A null text has none.
+    Sentences end at . ; : ! ? before white space or the end, or at a blank line; ``sentence`` counts
+    them from 0, ``at`` also counts the lines in them, a known sentence once.  Those without a letter
+    or digit aren't counted.  Known sentences are found from the left, the longest first, and don't
+    overlap.  A null text has none.
     """
-    known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for s in texts for x in (s, name)])
-    # a full stop inside a word (4.0) doesn't end a sentence, so normal forms keep dots, but none at their end
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), _CUT, -1), lambda s: F.regexp_replace(normalised(s), r"[. ]+$", "")), lambda s: s != "")
-    marked = F.transform(parts, lambda s, i: F.struct(i.cast("int").alias("at"), F.element_at(known, s).alias("id")))
-    return df.select(F.col(doc_id).alias("doc_id"), F.filter(marked, lambda x: x["id"].isNotNull()).alias("ids"))
+    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
+    marked = F.regexp_replace(tidied(F.col(text)), _FIND, "#$0#")  # every second part is a known sentence then
+    named = F.transform(F.split("marked", "#", -1), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.concat(F.lit("="), F.element_at(known, F.translate(x, "|_", "  ")))))
+    lines = F.transform(F.split(F.btrim(F.array_join(named, ""), F.lit("|")), "[|]", -1), lambda s, k: F.transform(F.split(s, "_", -1), lambda x: F.struct(k.cast("int").alias("sentence"), x.alias("x"))))
+    counted = F.transform(F.flatten(lines), lambda y, i: F.struct(i.cast("int").alias("at"), y["sentence"].alias("sentence"), F.when(F.startswith(y["x"], F.lit("=")), F.substring(y["x"], 2, 1 << 20)).alias("id")))
+    rows = df.select(F.col(doc_id).alias("doc_id"), marked.alias("marked"))
+    none = F.array().cast("array<struct<at:int,sentence:int,id:string>>")
+    return rows.select("doc_id", F.when(F.contains("marked", F.lit("#")), F.filter(counted, lambda x: x["id"].isNotNull())).otherwise(none).alias("ids"))
 
 
 def _matched(ids, rule: list[str]):
-    """Whether the rule's identifiers stand in order among ``ids``, neighbours at most GAP sentences apart."""
-    places = lambda name: F.transform(F.filter(ids, lambda x: x["id"] == name), lambda x: x["at"])
+    """Whether the rule's identifiers stand in order among ``ids``, neighbours at most GAP sentences or lines apart."""
+    places = lambda name: F.filter(ids, lambda x: x["id"] == name)
 
     def after(before, name: str):
-        return F.filter(places(name), lambda p: F.exists(before, lambda q: (q < p) & (p <= q + GAP + 1)))
+        near = lambda q, p: (p["at"] <= q["at"] + GAP + 1) | (p["sentence"] <= q["sentence"] + GAP + 1)
+        return F.filter(places(name), lambda p: F.exists(before, lambda q: (q["at"] < p["at"]) & near(q, p)))
 
     return F.size(reduce(after, rule[1:], places(rule[0]))) > 0
 

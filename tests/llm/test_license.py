@@ -30,3 +30,79 @@ def test_single_sentences_and_ordered_rules(spark):
 
 def test_empty_table(spark):
     assert licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = '''MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+'''
+GPL = '''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+'''
+APACHE = '''   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+
+
+def test_published_notices_as_they_are_wrapped(spark):
+    comment = "\n".join(f" * {line}".rstrip() for line in GPL.split("\n"))
+    got = run(spark, [MIT, GPL, APACHE, BSD, comment, MIT.replace("\n", "\r\n"), "\n".join(" ".join(x.split()) for x in MIT.split("\n\n")), "a line\n" + APACHE + "another\n" * 9])
+    assert [[x for _, x in got[k][0]] for k in range(4)] == [
+        ["mit-grant", "mit-notice", "as-is"],
+        ["gpl-free", "gpl-hope"],
+        ["apache-comply", "apache-copy", "apache-basis"],
+        ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"],
+    ]
+    assert [got[k][1] for k in range(8)] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"], ["BSD-2-Clause", "BSD-3-Clause"], ["GPL-3.0-or-later"], ["MIT"], ["MIT"], ["Apache-2.0"]]
+
+
+def test_a_line_without_stops_around_it_and_a_sentence_inside_another(spark):
+    got = run(spark, ["words\nLicensed under CC BY 4.0\nmore words", "we are not licensed under CC BY 4.0.", "This project is\nlicensed under the MIT License.", "." * 200000 + "x", ".net\n\n. .\n.x | _ # = All rights reserved\nAll rights\n\nreserved"])
+    assert got[0] == ([(1, "cc-by-by")], ["CC-BY-4.0"])
+    assert got[1] == ([], [])
+    assert got[2] == ([(0, "mit-by")], ["MIT"])
+    assert got[3] == ([], [])
+    assert got[4] == ([(2, "all-rights")], [])

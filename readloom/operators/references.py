@@ -6,22 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
+from readloom.session import shared_folder
 
 
 def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id") -> DataFrame:
     """(dst_id, src_id, dst, src, size): maximal runs of equal bases of at least ``seed`` between two places, forward.
 
-    Equal seeds meet in an equi-join; a run is a maximal island of neighbouring seeds on a diagonal.
-    Seeds that occur more than ``most`` times are left out: the bound is part of the definition.
+    Each occurrence of a seed meets the seed's first ``most`` occurrences, by key and place, in an
+    equi-join; a run is a maximal island of neighbouring seeds on a diagonal.  So all pairs of a seed
+    that occurs up to ``most`` times meet, and no occurrence of a hotter one is left without sources.
+    A run that meets a hotter seed at an end goes on as far as the bases agree, since the next
+    seed's sources can be others.
     """
+    shared_folder(texts.sparkSession)
     rows = texts.select(key, F.inline(S.kmers(F.col("seq"), seed)))
-    fine = rows.groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("kmer")
-    kept = rows.join(fine, "kmer")
-    a, b = kept.select("kmer", F.col(key).alias("src_id"), F.col("pos").alias("src")), kept.select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"))
-    pairs = a.join(b, "kmer").filter("src_id < dst_id or (src_id = dst_id and src < dst)").withColumn("diagonal", F.col("dst") - F.col("src"))
+    # a limit on ranks is taken in each task before the shuffle; written out, so that a hot seed's rows
+    # can be split in the join; joins are merges, as a written table's size is guessed far too low for broadcasts
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kmer").orderBy(key, "pos"))).filter(F.col("rank") <= most + 1).checkpoint()
+    a, b = ranked.filter(F.col("rank") <= most).select("kmer", F.col(key).alias("src_id"), F.col("pos").alias("src")), rows.select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"))
+    pairs = b.join(a.hint("merge"), "kmer").filter("src_id < dst_id or (src_id = dst_id and src < dst)").withColumn("diagonal", F.col("dst") - F.col("src"))
     by = Window.partitionBy("src_id", "dst_id", "diagonal").orderBy("dst")
     island = pairs.withColumn("island", F.col("dst") - F.row_number().over(by))
-    return island.groupBy("dst_id", "src_id", "diagonal", "island").agg(F.min("dst").cast("long").alias("dst"), F.min("src").cast("long").alias("src"), (F.max("dst") - F.min("dst") + seed).cast("long").alias("size")).drop("diagonal", "island")
+    found = island.groupBy("dst_id", "src_id", "diagonal", "island").agg(F.min("dst").cast("long").alias("dst"), F.min("src").cast("long").alias("src"), (F.max("dst") - F.min("dst") + seed).cast("long").alias("size")).drop("diagonal", "island")
+    hot = ranked.filter(F.col("rank") == most + 1).select("kmer")
+    if hot.limit(1).count() == 0:
+        return found
+    places = rows.join(hot.hint("merge"), "kmer", "left_semi").select(F.col(key).alias("dst_id"), F.col("pos").cast("long").alias("pos"))
+    return _extended(found, places, texts, seed, key)
+
+
+def _extended(found: DataFrame, hot: DataFrame, texts: DataFrame, seed: int, key: str) -> DataFrame:
+    """Runs with a hot place (dst_id, pos) next to them, extended as far as bases agree; each run once."""
+    found = found.checkpoint()
+    beside = F.explode(F.array(F.col("pos") + 1, F.col("pos") - 1))  # a run that begins after, or whose last seed is before, a hot place
+    marks = hot.select("dst_id", beside.alias("edge")).distinct()
+    ends = found.withColumn("edge", F.explode(F.array(F.col("dst"), F.col("dst") + F.col("size") - seed)))
+    open_ = ends.join(marks.hint("merge"), ["dst_id", "edge"], "left_semi").drop("edge").distinct().checkpoint()
+    closed = found.join(open_.hint("merge"), ["dst_id", "src_id", "dst", "src"], "left_anti").select("dst_id", "src_id", "dst", "src", "size")
+    rows = open_.join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")).hint("merge"), "dst_id").join(texts.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")).hint("merge"), "src_id")
+    after = lambda x, at: F.expr(f"substring({x}, cast({at} + size as int) + 1)")
+    before = lambda x, at: F.reverse(F.expr(f"left({x}, cast({at} as int))"))
+    rows = rows.withColumns({"more": S.common_prefix(after("sd", "dst"), after("ss", "src")), "less": S.common_prefix(before("sd", "dst"), before("ss", "src"))})
+    grown = rows.select("dst_id", "src_id", (F.col("dst") - F.col("less")).alias("dst"), (F.col("src") - F.col("less")).alias("src"), (F.col("size") + F.col("less") + F.col("more")).alias("size"))
+    return grown.distinct().union(closed)
 
 
 def trimmed(refs: DataFrame) -> DataFrame:

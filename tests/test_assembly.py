@@ -89,3 +89,21 @@ def test_near_overlaps(spark):
     a = dna(rng, 60)
     b = a[20:40] + {"A": "C", "C": "G", "G": "T", "T": "A"}[a[40]] + a[41:] + dna(rng, 15)
     assert {tuple(r) for r in assembly.near_overlaps(frame(spark, [(1, a), (2, b)]), 30).collect()} == {(1, 2, 40, 1)}
+
+
+def test_a_repeat_of_many_contigs_has_references(spark):
+    rng = random.Random(6)
+    repeat, hot, left, right = dna(rng, 60), dna(rng, 24), dna(rng, 40), dna(rng, 40)
+    rows = [(i, dna(rng, 20) + repeat + dna(rng, 20)) for i in range(80)]
+    rows += [(100 + i, dna(rng, 30) + hot + dna(rng, 30)) for i in range(70)]
+    rows += [(200, left + hot + right), (201, dna(rng, 9) + left + hot + right + dna(rng, 9))]
+    refs = references.self_matches(spark.createDataFrame(rows, "contig_id long, seq string")).cache()
+    seqs, got = dict(rows), {(r.dst_id, r.src_id, r.dst, r.src, r["size"]) for r in refs.collect()}
+    assert len(got) == refs.count()
+    for d, s, x, y, n in got:  # equal, and maximal
+        assert seqs[d][x : x + n] == seqs[s][y : y + n]
+        assert not (x and y and seqs[d][x - 1] == seqs[s][y - 1]) and seqs[d][x + n : x + n + 1] != seqs[s][y + n : y + n + 1]
+    for i in range(1, 80):  # all sources of the first 65, the first 64 of later ones
+        assert {s for d, s, x, y, n in got if d == i and x <= 20 and x + n >= 80} >= set(range(min(i, 64)))
+    assert (201, 200, 9, 0, 104) in got
+    assert not any(d == 201 and s == 200 and n < 104 for d, s, x, y, n in got)

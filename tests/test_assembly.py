@@ -107,3 +107,39 @@ def test_a_repeat_of_many_contigs_has_references(spark):
         assert {s for d, s, x, y, n in got if d == i and x <= 20 and x + n >= 80} >= set(range(min(i, 64)))
     assert (201, 200, 9, 0, 104) in got
     assert not any(d == 201 and s == 200 and n < 104 for d, s, x, y, n in got)
+
+
+def one_pass(edges):
+    tails, heads, links = set(), set(), set()
+    for a, b, n in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if a not in tails and b not in heads:
+            tails.add(a)
+            heads.add(b)
+            links.add((a, b, n))
+    return links
+
+
+def linked(spark, edges, monkeypatch):
+    """Links before cycles are opened, and the rounds they took."""
+    rounds, tied = [], assembly._tied
+    monkeypatch.setattr(assembly, "_opened", lambda links: links)
+    monkeypatch.setattr(assembly, "_tied", lambda ranked: rounds.append(1) or tied(ranked))
+    got = {tuple(r) for r in assembly.greedy_links(spark.createDataFrame(sorted(edges), "a long, b long, overlap long")).collect()}
+    monkeypatch.undo()
+    return got, len(rounds)
+
+
+def test_ties_are_linked_in_few_rounds(spark, monkeypatch):
+    k = 210  # as many tails and heads of one tie took as many rounds, which were limited to 200
+    for tails, heads in ((range(k), range(1000, 1000 + k)), (range(k), range(k)), (range(0, k, 2), range(0, k, 3))):
+        edges = {(a, b, 20) for a in tails for b in heads if a != b}
+        got, rounds = linked(spark, edges, monkeypatch)
+        assert got == one_pass(edges)
+        assert rounds < 20
+
+
+def test_links_of_any_edges_equal_one_pass(spark, monkeypatch):
+    rng = random.Random(7)
+    for share, depth in ((0.9, 1), (0.7, 2), (0.3, 3), (0.95, 2)):
+        edges = {(a, b, rng.randrange(depth)) for a in range(14) for b in range(4, 18) if a != b and rng.random() < share}
+        assert linked(spark, edges, monkeypatch)[0] == one_pass(edges)

@@ -143,3 +143,17 @@ def test_links_of_any_edges_equal_one_pass(spark, monkeypatch):
     for share, depth in ((0.9, 1), (0.7, 2), (0.3, 3), (0.95, 2)):
         edges = {(a, b, rng.randrange(depth)) for a in range(14) for b in range(4, 18) if a != b and rng.random() < share}
         assert linked(spark, edges, monkeypatch)[0] == one_pass(edges)
+
+
+def test_near_overlaps_with_differences_at_seed_edges(spark):
+    rng = random.Random(8)
+    turn = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    rows, want = [], set()
+    for n, places in ((30, (10,)), (31, (11,)), (30, (9, 10)), (30, (11, 20)), (40, (10, 21)), (30, (0, 29)), (45, (19, 20))):
+        a = dna(rng, 60)
+        b = "".join(turn[x] if i in places else x for i, x in enumerate(a[-n:])) + dna(rng, 15)
+        want.add((len(rows), len(rows) + 1, n, len(places)))
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    brute = {(a, b, n, d) for a, x in rows for b, y in rows if a != b for n in range(30, min(len(x), len(y))) for d in [sum(p != q for p, q in zip(x[-n:], y[:n]))] if d in (1, 2)}
+    assert brute >= want
+    assert {tuple(r) for r in assembly.near_overlaps(frame(spark, rows), 30).collect()} == brute

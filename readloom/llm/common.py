@@ -7,6 +7,7 @@ rolling hashes are found on that array without a Python loop over words.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 18
+DIGEST = 16
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -150,15 +152,42 @@ def mixed_in(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
     return mixed(x * np.uint64(_MULTIPLIER) + (y.astype(np.uint64) if isinstance(y, np.ndarray) else np.uint64(y)))
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, *more: np.ndarray | int) -> list[bytes]:
+    """128 bits of BLAKE2b of each span, salted with up to two numbers: where equality of bytes decides, rolling hashes don't do."""
+    view, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    spans = zip(start.tolist(), end.tolist(), strict=True)
+    if not more:
+        return [hashed(view[a:b], digest_size=DIGEST).digest() for a, b in spans]
+    salt = np.stack([np.broadcast_to(np.asarray(x, np.int64), start.shape) for x in more], 1).tobytes()
+    wide = 8 * len(more)
+    return [hashed(view[a:b], digest_size=DIGEST, salt=salt[wide * i : wide * (i + 1)]).digest() for i, (a, b) in enumerate(spans)]
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> np.ndarray:
+    """Whether each span of one array holds the bytes of the span of another."""
+    size = end - start
+    out = size == finish - begin
+    some = np.flatnonzero(out & (size > 0))
+    if len(some):
+        many = size[some]
+        first = np.cumsum(many) - many
+        step = np.arange(int(many.sum())) - np.repeat(first, many)
+        equal = data[np.repeat(start[some], many) + step] == other[np.repeat(begin[some], many) + step]
+        out[some] = np.logical_and.reduceat(equal, first)
+    return out
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; set here only where it is unset, as in tests."""
+    """The checkpoint folder that the cluster names; one of this machine only where nothing else takes part, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join("/tmp", f"readloom-{context.applicationId}"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -176,6 +205,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sample(rows: DataFrame, order: list, most_rows: int, most_bytes: int) -> pa.Table:
+    """The first distinct rows (_id, text, ...) by ``order``, as Arrow: at most that many, and texts of at most that many bytes in all.
+
+    Sizes are looked at first, so that what comes to the driver is bounded whatever the length of a text: a row that
+    would go over the bytes is passed over, and no row is left out while there is room.  Null texts count as empty.
+    """
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_hash", F.xxhash64(*rows.columns))
+    sizes = rows.select("_id", "_hash", F.octet_length("text").alias("n")).distinct().orderBy(*order, "_hash").limit(most_rows).collect()
+    room, taken = most_bytes, []
+    for r in sizes:
+        if r.n <= room:
+            room -= r.n
+            taken.append((r["_id"], r["_hash"], len(taken)))
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _hash long, _place int"
+    few = rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, schema)), ["_id", "_hash"]).dropDuplicates(["_place"])  # broadcast: at most ``most_rows`` ids
+    return few.select(*[c for c in rows.columns if c != "_hash"], "_place").toArrow().sort_by("_place")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

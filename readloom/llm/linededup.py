@@ -1,7 +1,7 @@
 """Line deduplication across documents.
 
-Lines are normalised and hashed in the scan; one partial aggregation finds, for each hash, the
-smallest and the largest doc_id that holds it (they differ if two documents do), and each
+Lines are normalised and hashed in the scan (128 bits of BLAKE2b, written once); one partial
+aggregation finds, for each hash, the smallest and the largest doc_id that holds it (they differ if two documents do), and each
 document gets back the hashes that it has to lose.  Lines are put together again by position.
 """
 
@@ -21,12 +21,10 @@ from readloom.llm import common
 _IN_LINE = common.table_of(lambda b: b != 0x0A)
 _SOLID = common.table_of(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 _STARTS = common.table_of(lambda b: b & 0xC0 != 0x80)
-_CODES = common.BYTE_CODES[common.LOWER]
-_CODES_2 = np.random.default_rng(20240602).integers(1, 1 << 63, 256, np.uint64)[common.LOWER] | np.uint64(1)
 
 
-def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, line number in it and 128 bits of key hash of each line whose key has at least ``least`` code points."""
+def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Document, line number in it and digest of the key of each line whose key has at least ``least`` code points."""
     runs = common.words(data, offsets, _IN_LINE)
     solid = np.flatnonzero(_SOLID[data])
     lo = np.searchsorted(solid, runs.start)
@@ -39,19 +37,18 @@ def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
     start, end, doc, at = start[long], end[long], doc[long], at[long]
     breaks = np.flatnonzero(data == 0x0A)
     line = np.searchsorted(breaks, at) - np.searchsorted(breaks, offsets[doc])
-    one, two = common.Rolling(data, _CODES), common.Rolling(data, _CODES_2)
-    return doc, line, one.of(start, end).view(np.int64), two.of(start, end).view(np.int64)
+    return doc, line, common.digests(common.LOWER[data], start, end)
 
 
 def _hashed_lines(df: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in common.slices(batch, "text"):
-                doc, _, a, b = line_keys(data, offsets, least)
+                doc, _, keys = line_keys(data, offsets, least)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(a), pa.array(b)], ["doc_id", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
-    schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("key", T.BinaryType())])
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -73,13 +70,14 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     plain = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = plain.filter(F.col("doc_id").isNotNull())
-    repeated = _hashed_lines(known, least).groupBy("a", "b").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).filter("keeper < other").select("a", "b", "keeper")
+    lines = common.cut(_hashed_lines(known, least))
+    repeated = lines.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).filter("keeper < other").select("key", "keeper")
     repeated = common.cut(repeated)  # a side of the join of its own, so that a hot line's rows can be split
-    lost = _hashed_lines(known, least).join(repeated, ["a", "b"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    lost = lost.select(F.col("doc_id").alias("_lost_of"), F.col("lost.a").alias("_lost_a"), F.col("lost.b").alias("_lost_b"))
+    lost = lines.join(repeated, "key").filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
+    lost = lost.withColumnRenamed("doc_id", "_lost_of")
     carried = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text and not digest or c == doc_id]).alias("_row")
     rows = df.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), carried)
-    rows = rows.join(lost, F.col("_doc") == F.col("_lost_of"), "left").select("_row", "_text", "_lost_a", "_lost_b")
+    rows = rows.join(lost, F.col("_doc") == F.col("_lost_of"), "left").select("_row", "_text", "_lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,20 +85,15 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id
                 n = len(offsets) - 1
                 newlines = np.concatenate([[0], np.cumsum(data == 0x0A)])
                 n_lines = np.diff(newlines[offsets]) + 1
-                gone_a, gone_b = part.column(2), part.column(3)
-                owner = np.repeat(np.arange(n), [len(x) if x.is_valid else 0 for x in gone_a])
+                lost = part.column(2)
                 n_dropped = np.zeros(n, np.int64)
                 body = [data[offsets[i] : offsets[i + 1]] for i in range(n)]
-                if len(owner):
-                    doc, line, a, b = line_keys(data, offsets, least)
-                    ids = lambda d, x, y: common.mixed_in(common.mixed_in(x.view(np.uint64), y.view(np.uint64)), d)
-                    flat_a, flat_b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (gone_a, gone_b))
-                    out = np.isin(ids(doc, a, b), ids(owner, flat_a, flat_b))
-                    doc, line = doc[out], line[out]
-                    for i in np.unique(doc):
-                        mine = line[doc == i] if len(doc) < 64 else line[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]
-                        n_dropped[i] = len(mine)
-                        body[i] = _kept(body[i].tobytes(), mine)
+                for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)):
+                    gone = set(lost[i].as_py())
+                    _, line, keys = line_keys(body[i], np.array([0, len(body[i])]), least)
+                    out = line[[k in gone for k in keys]]
+                    n_dropped[i] = len(out)
+                    body[i] = _kept(body[i].tobytes(), out)
                 if digest:
                     kept = pa.array([hashlib.sha256(x).hexdigest() for x in body], pa.string())
                 else:

@@ -21,9 +21,11 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 16) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; set here only where it is unset, as in tests."""
+    """The checkpoint folder that the cluster names; one of this machine only where nothing else takes part, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join("/tmp", f"readloom-{context.applicationId}"))
     return context._jsc.sc().getCheckpointDir().get()

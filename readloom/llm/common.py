@@ -27,9 +27,18 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
 
 
+def carried(df: DataFrame, text: str, but: list[str]) -> DataFrame:
+    """``df`` in one struct column, row, without the columns that are to be replaced; a text among those is kept beside it."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("row")
+    return df.select(kept, F.col(text).alias("_text")) if text in but else df.select(kept)
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """The column as large binary; nulls become empty."""
-    column = batch.column(batch.schema.get_field_index(name))
+    """The column, or that field of the struct ``row`` (so that a text crosses to Python once), as large binary; nulls become empty."""
+    if batch.schema.names[0] == "row":
+        column = batch.column(1) if batch.schema.names[1:] == ["_text"] else batch.column(0).field(batch.schema.field(0).type.get_field_index(name))
+    else:
+        column = batch.column(batch.schema.get_field_index(name))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -206,21 +215,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample(rows: DataFrame, order: list, most_rows: int, most_bytes: int) -> pa.Table:
-    """The first distinct rows (_id, text, ...) by ``order``, as Arrow: at most that many, and texts of at most that many bytes in all.
+    """The first rows (_id, text, ...) by ``order``, as Arrow: at most that many, and texts of at most that many bytes in all.
 
     Sizes are looked at first, so that what comes to the driver is bounded whatever the length of a text: a row that
     would go over the bytes is passed over, and no row is left out while there is room.  Null texts count as empty.
     """
     rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_hash", F.xxhash64(*rows.columns))
-    sizes = rows.select("_id", "_hash", F.octet_length("text").alias("n")).distinct().orderBy(*order, "_hash").limit(most_rows).collect()
-    room, taken = most_bytes, []
+    sizes = rows.groupBy("_id", "_hash", F.octet_length("text").alias("n")).count().orderBy(*order, "_hash").limit(most_rows).collect()
+    room, left, taken, times = most_bytes, most_rows, [], []
     for r in sizes:
-        if r.n <= room:
-            room -= r.n
+        copies = min(r["count"], left, room // r.n if r.n else left)
+        if copies:
+            room, left = room - copies * r.n, left - copies
             taken.append((r["_id"], r["_hash"], len(taken)))
+            times.append(copies)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _hash long, _place int"
     few = rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, schema)), ["_id", "_hash"]).dropDuplicates(["_place"])  # broadcast: at most ``most_rows`` ids
-    return few.select(*[c for c in rows.columns if c != "_hash"], "_place").toArrow().sort_by("_place")
+    found = few.select(*[c for c in rows.columns if c != "_hash"], "_place").toArrow().sort_by("_place")
+    return found.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
 
 def partitions(spark: SparkSession) -> int:

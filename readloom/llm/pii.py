@@ -27,7 +27,7 @@ PATTERNS = [
     re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 ]
 SAMPLE_ROWS = 3000  # texts that training takes at most
-SAMPLE_BYTES = 20_000  # longest text that training takes
+SAMPLE_BYTES = 16 << 20  # bytes of text that training takes at most, all texts together
 HIDDEN, TAGS, SYMBOLS = 8, len(KINDS) + 1, 130  # the last symbol stands after a window's end
 TRAIN_WINDOW, WINDOW, OVERLAP = 96, 256, 32
 BATCH, EPOCHS, LEAST_STEPS = 128, 5, 250
@@ -260,14 +260,16 @@ def _named(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def fitted(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Tagger:
-    """A tagger from at most ``rows`` texts, most of them with digits or an @, by the order of a hash of doc_id."""
-    plain = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter((F.octet_length("text") <= longest) & F.col("_id").isNotNull())
-    ids = plain.select("_id", F.col("text").rlike("[0-9@]").alias("marked"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    picked = ids.filter("marked").orderBy(*order).limit(rows * 5 // 6).union(ids.filter("not marked").orderBy(*order).limit(rows // 6)).select("_id").distinct()
-    sample = plain.join(F.broadcast(picked), "_id").orderBy(*order, "text").limit(rows)  # broadcast: at most ``rows`` ids
-    return train([r.text for r in sample.select("text").collect()])
+def fitted(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Tagger:
+    """A tagger from at most ``rows`` texts and ``most_bytes`` bytes, most of them with digits or an @, by the order of a hash of doc_id.
+
+    Rows without a doc_id or a text aren't learned from; repeated rows each count.
+    """
+    plain = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).dropna()
+    marked, order, texts = F.col("text").rlike("[0-9@]"), [F.xxhash64("_id"), F.col("_id")], []
+    for some, share in ((marked, 5), (~marked, 1)):
+        texts += common.sample(plain.filter(some), order, rows * share // 6, most_bytes * share // 6)["text"].to_pylist()
+    return train(texts)
 
 
 def find_personal_data(df: DataFrame, net: Tagger, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -167,11 +167,11 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Additive:
 def score_quality(df: DataFrame, model: Additive, text: str = "text", into: str = "quality") -> DataFrame:
     """``df`` with the probability of label 1 by the whole ``text`` in ``into`` (replaced if there); null counts as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != into]).alias("row"), F.col(text).alias("_text"))
+    rows = common.carried(df, text, [into])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text"):
+            for part, data, offsets in common.slices(batch, text):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(features(data, offsets)))], ["row", "score"])
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from readloom.llm import common
 
 SAMPLE_ROWS = 5000  # labelled rows that training takes at most
-SAMPLE_BYTES = 20_000  # longest text that training takes
+SAMPLE_BYTES = 32 << 20  # bytes of text that training takes at most, all texts together
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 4
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
@@ -30,6 +30,7 @@ EPOCHS = (3, 2, 2)
 LEAST_STEPS = 120  # in each round, of batches of 256 windows
 BLOCK = 4096
 SLICE = 1 << 19
+PART = 1 << 15  # words whose inputs are made at once
 _IS_WORD = common.table_of(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 _CODES = common.BYTE_CODES[common.LOWER]
 
@@ -100,14 +101,17 @@ class Network:
         out = np.zeros((n + 1, 2 * EMBED + 3), np.float32)
         out[:n, :EMBED] = self.word[d.row]
         out[:n, 2 * EMBED] = self.word_odds[d.row]
-        if len(d.gram):
-            many = np.diff(d.first)[:, None]
-            some = np.flatnonzero(many[:, 0])
-            at = d.first[:-1][some]
-            out[some, EMBED : 2 * EMBED] = np.add.reduceat(self.gram[d.gram], at, axis=0) / many[some]
-            odds = self.gram_odds[d.gram]
-            out[some, 2 * EMBED + 1] = np.maximum.reduceat(odds, at)
-            out[some, 2 * EMBED + 2] = np.add.reduceat(odds, at) / many[some, 0]
+        for lo in range(0, n, PART):  # so that memory for n-grams is bounded
+            hi = min(n, lo + PART)
+            many, begin = np.diff(d.first[lo : hi + 1]), d.first[lo]
+            some = np.flatnonzero(many)
+            if not len(some):
+                continue
+            at, gram, rows = d.first[lo:hi][some] - begin, d.gram[begin : d.first[hi]], some + lo
+            out[rows, EMBED : 2 * EMBED] = np.add.reduceat(self.gram[gram], at, axis=0) / many[some, None]
+            odds = self.gram_odds[gram]
+            out[rows, 2 * EMBED + 1] = np.maximum.reduceat(odds, at)
+            out[rows, 2 * EMBED + 2] = np.add.reduceat(odds, at) / many[some]
         return out
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: int, keep: list | None) -> np.ndarray:
@@ -226,7 +230,7 @@ def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinc
         new = np.flatnonzero(number[place] < 0)
         number[place[new]] = n + np.arange(len(new))
         n += len(new)
-        which.append(number[place][d.which])
+        which.append(number[place][d.which].astype(np.int32))
         rows.append(d.row[new])
         grams.append(_grams_of(d, new).astype(np.int32))
         many.append(np.diff(d.first)[new])
@@ -240,7 +244,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
     label = labels.astype(np.float32)
     d, first = _gathered(texts, label, net) if len(label) else (None, None)
     if d is None or not len(d.which) or not 0 < label.mean() < 1:
-        net.dense["o"][:] = 0
+        net.dense["o"][:] = 0  # one class alone: its share for every text
         net.dense["c"][0] = np.log((label.sum() + 1) / (len(label) - label.sum() + 9))
         return net
     start, size, doc = windows(first)
@@ -288,13 +292,17 @@ def _some_inputs(net: Network, d: Distinct, own: np.ndarray) -> np.ndarray:
     return net.inputs(Distinct(d.which, d.name, d.row[real], _grams_of(d, real), first))[: len(own)]
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> pa.Table:
-    """(text, label): at most ``rows`` labelled rows that aren't held out, by the order of a hash of doc_id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """(text, label): labelled rows that aren't held out, by the order of a hash of doc_id.
+
+    At most ``rows`` rows and ``most_bytes`` bytes of text, long and short ones alike; null texts count
+    as empty.  A doc_id with several labels has the largest; repeated rows each count.
+    """
     ids = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).dropna()
     ids = ids.filter(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(modulus)) != held)
-    ids = ids.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    few = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(F.octet_length("text") <= longest)
-    return few.join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "_id", "text").select("text", "label").limit(2 * rows).toArrow()  # broadcast: at most ``rows`` ids
+    ids = ids.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    labelled = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")  # broadcast: at most ``rows`` ids
+    return common.sample(labelled, [F.xxhash64("_id"), F.col("_id")], rows, most_bytes).select(["text", "label"])
 
 
 def score_toxicity(df: DataFrame, net: Network, text: str = "text", into: str = "toxicity") -> DataFrame:
@@ -304,11 +312,11 @@ def score_toxicity(df: DataFrame, net: Network, text: str = "text", into: str =
     window counts.  Null and empty texts, and texts without words, score 0.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)  # of fixed size
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != into]).alias("row"), F.col(text).alias("_text"))
+    rows = common.carried(df, text, [into])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text"):
+            for part, data, offsets in common.slices(batch, text):
                 found = common.words(data, offsets, _IS_WORD)
                 score = np.zeros(len(offsets) - 1)
                 if len(found.start):

@@ -7,8 +7,10 @@ phrase; the table of distinct phrases is the dictionary, and (text, trigger) row
 Where the core of a phrase, which all its strings hold, is shared, but not the whole phrase, it is
 cut into stretches of 64, 8 and 1 string starts, and the same dictionary step names those, once
 for each distinct phrase.  Equal names stand for neighbours in corpus order that share ``length``
-bytes: only which strings are equal is asked here, so names are hashes, and the order itself isn't
-built, which would take a row for each byte of the dictionary.
+bytes: only which strings are equal is asked here, so names are digests of 128 bits (BLAKE2b, never
+rolling hashes), and the order itself isn't built, which would take a row for each byte of the
+dictionary.  Texts are worked on in chunks of ``CHUNK`` string starts, so no row grows with a text
+until its runs are put together; the end of a chunk is to phrases what the end of a text is.
 
 A step gives the stretches that occur twice as a whole (all their strings repeat) and one
 representative of each distinct stretch that shares its core, but not all of itself, with others.
@@ -30,9 +32,9 @@ from readloom.llm import common
 GRAM = 24
 LEVELS = (64, 8, 1)
 SLICE = 1 << 18
-_CODES_2 = np.random.default_rng(20240603).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_ROWS = "r1 long, r2 long, place long, size int, core long, whole long"
-_KEY = ["r1", "r2"]
+CHUNK = 1 << 14
+_ROWS = "r binary, part int, place long, size int, core binary, whole binary"
+_KEY = ["r", "part"]
 
 
 def window_size(length: int) -> int:
@@ -73,17 +75,9 @@ class Triggers:
         self.last = start[np.append(head[1:], len(start)) - 1]
 
 
-class Names:
-    """Two independent rolling hashes of a slice, folded to one name of a span."""
-
-    def __init__(self, data: np.ndarray):
-        self.one, self.two = common.Rolling(data), common.Rolling(data, _CODES_2)
-
-    def of(self, start: np.ndarray, end: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
-        out = common.mixed_in(self.one.of(start, end), self.two.of(start, end))
-        for x in more:
-            out = common.mixed_in(out, x)
-        return out.view(np.int64)
+def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray, tag: int, distance: np.ndarray | int = 0, before: np.ndarray | int = 0) -> pa.Array:
+    """Names of spans; those of different kinds, distances and extents before the trigger differ."""
+    return pa.array(common.digests(data, start, end, (tag << 40) + distance, before), pa.binary())
 
 
 def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -91,10 +85,10 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
 
     Ends of texts cut phrases; a phrase's name has its extent before the trigger.
     """
-    found, window, names = Triggers(data, offsets, length), window_size(length), Names(data)
+    found, window = Triggers(data, offsets, length), window_size(length)
     lo, hi = np.maximum(found.at - window + 1, offsets[found.doc]), np.minimum(found.at + length, offsets[found.doc + 1])
-    core = names.of(found.at, found.at + length - window + 1, 1)
-    return {"doc": found.doc, "place": found.at - offsets[found.doc], "size": np.zeros(len(found.at), np.int32), "core": core, "whole": names.of(lo, hi, 2, found.at - lo)}
+    core = _names(data, found.at, found.at + length - window + 1, 1)
+    return {"doc": found.doc, "place": found.at - offsets[found.doc], "size": np.zeros(len(found.at), np.int32), "core": core, "whole": _names(data, lo, hi, 2, 0, found.at - lo)}
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, doc: np.ndarray, places: np.ndarray, wider: int, size: int) -> dict[str, np.ndarray]:
@@ -104,7 +98,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, doc: np.ndarr
     nearest start from it: place is t * length + distance.  Distances are multiples of the size,
     so equal strings, which are equally far from equal triggers, are in equal stretches.
     """
-    found, names = Triggers(data, offsets, length), Names(data)
+    found = Triggers(data, offsets, length)
     trigger = places // (length if wider else 1) + offsets[doc]
     at = np.searchsorted(found.at, trigger)
     if wider:
@@ -118,14 +112,14 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, doc: np.ndarr
     distance, trigger, doc = distance[some], trigger[some], doc[some]
     nearest, farthest = trigger - distance, trigger - distance - size + 1
     lo, hi = np.maximum(farthest, offsets[doc]), np.minimum(nearest + length, offsets[doc + 1])
-    core = names.of(nearest, farthest + length, 3 + size, distance)
-    whole = core if size == 1 else names.of(lo, hi, 300 + size, distance, trigger - lo)
+    core = _names(data, nearest, farthest + length, 3 + size, distance)
+    whole = core if size == 1 else _names(data, lo, hi, 300 + size, distance, trigger - lo)
     return {"doc": doc, "place": (trigger - offsets[doc]) * length + distance, "size": np.full(len(doc), size, np.int32), "core": core, "whole": whole}
 
 
 def _batch(part: pa.RecordBatch, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     doc = pa.array(rows.pop("doc"))
-    return pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), *map(pa.array, rows.values())], ["r1", "r2", *rows])
+    return pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), *[x if isinstance(x, pa.Array) else pa.array(x) for x in rows.values()]], [*_KEY, *rows])
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -154,16 +148,16 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stretches that occur twice, and a representative of each distinct stretch of a core that has several."""
-    distinct = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "place")).alias("one"))
+    distinct = rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "place")).alias("one"))
     repeated = rows.join(distinct.filter("n > 1").select("whole"), "whole", "left_semi").select(*_KEY, "place", "size").distinct()
     several = common.cut(distinct.groupBy("core").count().filter("count > 1").select("core"))
     return common.cut(repeated), distinct.join(several, "core", "left_semi").select("one.*")
 
 
 def _repeated_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, packed, places, sizes): the texts that hold repeated strings, compressed, with their repeated stretches.
+    """(r, part, packed, places, sizes): all chunks, compressed, of the texts that share a core, with their repeated stretches, if any.
 
-    texts: text, and in r1 and r2 a name of it.  Equal texts give equal rows.
+    texts: text, and in r its digest.  Equal texts give equal rows.
     """
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +169,7 @@ def _repeated_runs(texts: DataFrame, length: int) -> DataFrame:
         deflate = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = pa.array([deflate.compress(x.as_py()) for x in common.byte_column(batch, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["r1", "r2", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], [*_KEY, "packed"])
 
     def stretches(wider: int, size: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +180,23 @@ def _repeated_runs(texts: DataFrame, length: int) -> DataFrame:
 
         return run
 
-    long = texts.filter(F.octet_length("text") >= length).select(*_KEY, "text")
-    rows = common.cut(_shared(long.mapInArrow(phrases, _ROWS)))
-    touched = rows.select(*_KEY).distinct()
-    held = common.cut(long.mapInArrow(packed, "r1 long, r2 long, packed binary").join(touched, _KEY, "left_semi").dropDuplicates(_KEY))
+    body = F.encode("text", "UTF-8")
+    last = F.floor((F.octet_length("text") - length) / CHUNK).cast("int")  # a chunk has CHUNK string starts of its own
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("part"), F.substring(body, k * CHUNK + 1, F.lit(CHUNK + length - 1)).alias("text")))
+    long = texts.filter(F.octet_length("text") >= length).select("r", F.explode(chunks).alias("c")).select("r", "c.part", "c.text")
+    rows = common.cut(_shared(common.cut(long.mapInArrow(phrases, _ROWS))))
+    touched = rows.select("r").distinct()
+    held = common.cut(long.mapInArrow(packed, "r binary, part int, packed binary").join(touched, "r", "left_semi").dropDuplicates(_KEY))
     found, pending = _named(rows)
     wider = 0
     for size in (x for x in LEVELS if 4 * x <= length or x == 1):  # a stretch needs a core
-        places = pending.groupBy(*_KEY).agg(F.collect_list("place").alias("places"))
+        places = pending.groupBy(*_KEY).agg(F.collect_list("place").alias("places"))  # of one chunk
         rows = common.cut(held.join(places, _KEY).select(*_KEY, "packed", "places").mapInArrow(stretches(wider, size), _ROWS))
         repeated, pending = _named(rows)
         found, wider = found.union(repeated), size
     places = found.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "size")).alias("found"))
-    return held.join(places, _KEY).select(*_KEY, "packed", F.col("found.place").alias("places"), F.col("found.size").alias("sizes"))
+    runs = held.join(places, _KEY, "left").select(*_KEY, "packed", F.col("found.place").alias("places"), F.col("found.size").alias("sizes"))
+    return runs.join(found.select("r").distinct(), "r", "left_semi")
 
 
 def _covered(found: Triggers, offsets: np.ndarray, n: int, length: int, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,30 +225,43 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     strings.  Rows that repeat, or lack, a doc_id are documents of their own.  Other columns are
     not read; an empty table gives an empty one.
     """
-    # equal texts share a name, and so all that is found out about them
-    plain = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"r1": F.xxhash64("text"), "r2": F.xxhash64(F.lit(7), "text")})
+    # equal texts share a digest, and so all that is found out about them
+    plain = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("r", F.unhex(F.substring(F.sha2("text", 256), 1, 2 * common.DIGEST)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in _unpacked(batch):
                 (places, doc), (sizes, _) = _flat_lists(part.column(3)), _flat_lists(part.column(4))
                 lo, hi = _covered(Triggers(data, offsets, length), offsets, len(data), length, doc, places, sizes)
                 of = np.searchsorted(offsets, lo, "right") - 1
-                first = np.searchsorted(of, np.arange(len(offsets)))
-                kept = []
-                for i in range(len(offsets) - 1):
-                    cuts = [offsets[i], *np.stack([lo, hi], 1)[first[i] : first[i + 1]].ravel(), offsets[i + 1]]
-                    body = b"".join(data[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                    kept.append(hashlib.sha256(body).hexdigest() if digest else body)
-                starts, ends = (common.lists(x - offsets[of], first, pa.int64()) for x in (lo, hi))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), starts, ends, pa.array(kept, pa.string() if digest else pa.binary())], ["r1", "r2", "starts", "ends", "kept"])
-
-    runs = _repeated_runs(plain, length).mapInArrow(run, f"r1 long, r2 long, starts array<long>, ends array<long>, kept {'string' if digest else 'binary'}")
+                first, shift = np.searchsorted(of, np.arange(len(offsets))), part.column(1).to_numpy().astype(np.int64)[of] * CHUNK - offsets[of]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1)), *(common.lists(x + shift, first, pa.int64()) for x in (lo, hi)), part.column(2).cast(pa.binary())], [*_KEY, "starts", "ends", "body"])
+
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunks = sorted(batch.column(1)[i].as_py(), key=lambda c: c["part"])
+                body = b"".join(c["body"][: CHUNK if c is not chunks[-1] else None] for c in chunks)
+                runs: list[list[int]] = []
+                for a, b in ((a, b) for c in chunks for a, b in zip(c["starts"], c["ends"], strict=True)):
+                    if runs and a <= runs[-1][1]:  # it goes on from the chunk before
+                        runs[-1][1] = max(b, runs[-1][1])
+                    else:
+                        runs.append([a, b])
+                cuts = [0, *(x for run in runs for x in run), len(body)]
+                left = b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+                kept = pa.array([hashlib.sha256(left).hexdigest() if digest else left], pa.string() if digest else pa.binary())
+                lists = [pa.array([[run[k] for run in runs]], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *lists, kept], ["r", "starts", "ends", "kept"])
+
+    found = _repeated_runs(plain.select("r", "text"), length).mapInArrow(spans, "r binary, part int, starts array<long>, ends array<long>, body binary")
+    runs = found.groupBy("r").agg(F.collect_list(F.struct("part", "starts", "ends", "body")).alias("chunks"))  # as large as the text
+    runs = runs.mapInArrow(whole_texts, f"r binary, starts array<long>, ends array<long>, kept {'string' if digest else 'binary'}")
     whole = F.sha2("text", 256) if digest else F.encode("text", "UTF-8")
     marked = F.octet_length("text") >= length  # only these can be among the runs
-    brief = plain.select("doc_id", *[F.when(marked, F.col(k)).alias(k) for k in _KEY], F.octet_length("text").cast("long").alias("n_bytes"), whole.alias("whole"))
+    brief = plain.select("doc_id", F.when(marked, F.col("r")).alias("r"), F.octet_length("text").cast("long").alias("n_bytes"), whole.alias("whole"))
     none = F.array().cast("array<long>")
-    return brief.join(runs, _KEY, "left").select("doc_id", "n_bytes", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("kept", "whole").alias("kept"))
+    return brief.join(runs, "r", "left").select("doc_id", "n_bytes", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("kept", "whole").alias("kept"))
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

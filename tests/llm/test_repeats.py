@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from readloom.llm import repeats
 from readloom.llm.repeats import remove_repeats
 
 
@@ -53,6 +54,23 @@ def test_equal_to_brute_force(spark):
         check(spark, corpus(random.Random(seed), length), length)
 
 
+def test_runs_that_cross_chunks(spark, monkeypatch):
+    """Texts of several chunks: repeats across a chunk's end, at other places of the chunk, and of whole chunks."""
+    monkeypatch.setattr(repeats, "CHUNK", 150)
+    rng = random.Random(3)
+    texts = corpus(rng, 60)
+    long = "".join(rng.choice("abcde ") for _ in range(1500))
+    check(spark, [*texts, long, "zz" + long[100:700] + "y" * 9 + long[650:], long[:149] + "q" + long[149:], long[:300] * 3], 60)
+
+
+def test_equal_only_if_the_bytes_are(spark):
+    """The Thue-Morse words over a, b and b, a agree in every rolling hash modulo a power of two."""
+    for k in (10, 11, 12):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        other = one.translate(str.maketrans("ab", "ba"))
+        check(spark, [one, other, "c" + one[: 1 << (k - 1)]], 1 << (k - 1))
+
+
 def test_empty_and_repeated_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "q" * 500), (1, "q" * 500), (None, None), (None, "w")]

@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding by streaming Viterbi over a given piece vocabulary.
 
 A text is a space, then its bytes; pieces are byte strings with a space for the meta symbol.  The
-best path has the largest sum of piece scores, the longest last piece at ties.  The streaming
-search holds open only the nodes that a piece can still reach, and commits ids whenever the
-backpointer paths of all open nodes meet in one boundary.  No piece that can win holds a space but
-at its start, so paths always meet before a space: short stretches between spaces are searched
-together, vectorised, and each distinct one once.
+best path has the largest sum of piece scores, the longest last piece at ties.  The search holds
+open only the nodes that a piece can still reach, and commits ids whenever the backpointer paths of
+all open nodes meet in one boundary.  No piece that can win holds a space but at its start, so they
+always meet before a space, and ids are committed there: ``search`` runs the windows between two such
+boundaries side by side, each distinct one once.  In a longer stretch ``stream`` looks for the
+boundaries in the backpointers.  Pieces are followed byte by byte in a trie, so what is found is equal.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from readloom.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 HOPELESS = -1e8
-SHORT = 40
+SHORT = 40  # bytes of a stretch that is searched as one window
 CACHE = 1 << 18
 SLICE = 1 << 19
-SIEVE = (1 << 20) - 1
 _STARTS = common.table_of(lambda b: b & 0xC0 != 0x80)
 
 
@@ -40,9 +40,10 @@ class Vocabulary:
     normal: np.ndarray  # ids that a search may use
     fallback: np.ndarray
     table: dict[bytes, tuple[float, int]] = field(default_factory=dict)
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    sieve: np.ndarray = field(default_factory=lambda: np.zeros(SIEVE + 1, bool))  # low bits of the pieces' hashes
+    edges: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of the trie: node * 256 + byte, sorted
+    child: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # node of a byte, -1 if none
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # id of the piece that ends in a node, -1 if none
     unknown: float = 0.0  # what a character costs that no piece has
     longest: int = 0
 
@@ -77,12 +78,18 @@ def prepared(v: Vocabulary) -> Vocabulary:
         if b" " in v.pieces[i][1:]:
             raise ValueError(f"piece {i} has a space inside")
         v.table.setdefault(v.pieces[i], (float(v.scores[i]), int(i)))
-    names = sorted(v.table)
-    data, offsets = common.flat(pa.array(names, pa.large_binary()))
-    hashes = common.Rolling(data).of(offsets[:-1], offsets[1:])
-    order = np.argsort(hashes)
-    v.sieve[(hashes & np.uint64(SIEVE)).astype(np.int64)] = True
-    v.hashes, v.ids = hashes[order], np.array([v.table[n][1] for n in names])[order]
+    ends, edges = [-1], {}
+    for name in sorted(v.table):
+        node = 0
+        for byte in name:
+            if (to := edges.get(node * 256 + byte)) is None:
+                to = edges[node * 256 + byte] = len(ends)
+                ends.append(-1)
+            node = to
+        ends[node] = v.table[name][1]
+    v.edges = np.array(sorted(edges), np.int64)
+    v.child, v.ends = np.array([edges[e] for e in v.edges.tolist()], np.int64), np.array(ends)
+    v.first = np.array([edges.get(byte, -1) for byte in range(256)])
     return v
 
 
@@ -134,35 +141,40 @@ def search(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarra
     order = np.argsort(-length, kind="stable")
     n, most = len(order), int(length.max(initial=0))
     at, size = start[order], length[order]
-    names, edge = common.Rolling(data), np.append(_STARTS[data], True)
+    lead = np.append(_STARTS[data], True)
     score = np.full((most + 1, n), -np.inf)
     score[0] = 0
     source = np.zeros((most + 1, n), np.int32)
     piece = np.full((most + 1, n), -1, np.int32)
-    for end in range(1, most + 1):
-        live = int(np.searchsorted(-size, -end, "right"))
-        rows = np.flatnonzero(edge[at[:live] + end] | (size[:live] == end))
-        for begin in range(max(0, end - v.longest), end):
-            some = rows[score[begin, rows] > -np.inf]
-            if not len(some):
-                continue
-            found = names.of(at[some] + begin, at[some] + end)
-            maybe = v.sieve[(found & np.uint64(SIEVE)).astype(np.int64)]
-            some, found = some[maybe], found[maybe]
-            place = np.minimum(np.searchsorted(v.hashes, found), len(v.hashes) - 1)
-            known = v.hashes[place] == found
-            good, ids = some[known], v.ids[place[known]]
+    for begin in range(most):
+        live = int(np.searchsorted(-size, -begin, "left"))
+        open_ = np.flatnonzero(score[begin, :live] > -np.inf)
+        rows, node, width = open_, np.zeros(len(open_), np.int64), 0
+        while len(rows):  # as far as a piece goes on
+            byte = data[at[rows] + begin + width].astype(np.int64)
+            if width:
+                edge = node * 256 + byte
+                place = np.minimum(np.searchsorted(v.edges, edge), len(v.edges) - 1)
+                known, node = v.edges[place] == edge, v.child[place]
+            else:
+                node = v.first[byte]
+                known = node >= 0
+            rows, node, width = rows[known], node[known], width + 1
+            full = v.ends[node] >= 0
+            good, ids = rows[full], v.ends[node[full]]
             new = score[begin, good] + v.scores[ids]
-            better = new > score[end, good]
+            better = new > score[begin + width, good]
             good = good[better]
-            score[end, good], source[end, good], piece[end, good] = new[better], begin, ids[better]
-        # the last character alone, in bytes, if nothing else does better
-        last = np.full(len(rows), end - 1)
-        while (inside := ~edge[at[rows] + last]).any():
-            last[inside] -= 1
-        new = score[last, rows] + v.unknown
-        better = new > score[end, rows]
-        score[end, rows[better]], source[end, rows[better]], piece[end, rows[better]] = new[better], last[better], -1
+            score[begin + width, good], source[begin + width, good], piece[begin + width, good] = new[better], begin, ids[better]
+            more = size[rows] > begin + width
+            rows, node = rows[more], node[more]
+        # the character alone, in bytes, if nothing else does better
+        end = np.full(len(open_), begin + 1)
+        while (inside := ~lead[at[open_] + end] & (end < size[open_])).any():
+            end[inside] += 1
+        new = score[begin, open_] + v.unknown
+        better = new > score[end, open_]
+        score[end[better], open_[better]], source[end[better], open_[better]], piece[end[better], open_[better]] = new[better], begin, -1
     row, end, steps = np.arange(n), size.copy(), []
     while len(row):
         begin, ids = source[end, row].astype(np.int64), piece[end, row]
@@ -185,14 +197,14 @@ def search(v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarra
 
 
 class Encoder:
-    """Encodes slices, and remembers a bounded number of stretches by their hash."""
+    """Encodes slices, and remembers a bounded number of stretches by their bytes."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.first = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -208,10 +220,14 @@ class Encoder:
         end = np.append(start[1:], len(text))[: len(start)]
         doc = np.searchsorted(begins, start, "right") - 1
         hashes = common.Rolling(text).of(start, end)
-        own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~common.same_bytes(text, start, end, text, start[first[which]], end[first[which]]))
+        which[odd] = len(first) + np.arange(len(odd))  # of equal hash but other bytes: each by itself
+        first = np.concatenate([first, odd])
         if len(self.known) > CACHE:
             self.forget()
-        names = own.tolist()
+        body = text.tobytes()
+        names = [body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         place = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
         new = np.flatnonzero(place < 0)
         if len(new):
@@ -226,7 +242,7 @@ class Encoder:
             at = np.empty(len(new), np.int64)
             at[short], at[~short] = base + np.arange(int(short.sum())), base + int(short.sum()) + np.arange(len(long))
             place[new] = at
-            self.known.update(zip(own[new].tolist(), at.tolist(), strict=True))
+            self.known.update(zip((names[k] for k in new), at.tolist(), strict=True))
         row = place[which]
         many = self.offsets[row + 1] - self.offsets[row]
         total = np.cumsum(many)
@@ -258,12 +274,12 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", decoded: str |
     shared = df.sparkSession.sparkContext.broadcast(load(path))  # the size of a vocabulary, not of the data
     made = [into, *([decoded] if decoded else [])]
     kept = [c for c in df.columns if c not in made]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("_text"))
+    rows = common.carried(df, text, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text", SLICE):
+            for part, data, offsets in common.slices(batch, text, SLICE):
                 ids, first = encoder.encode(data, offsets)
                 back = [decoder.decode(ids, first)] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), common.lists(ids, first, pa.int32()), *back], ["row", "ids", "decoded"][: 2 + len(back)])

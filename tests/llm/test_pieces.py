@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from readloom.llm import pieces
+from readloom.llm import common, pieces
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,29 @@ def test_equal_to_whole_text_search(spark, vocabulary):
         assert got[i].decoded == (t or "")
 
 
+def test_equal_only_if_the_bytes_are(spark, vocabulary, monkeypatch):
+    """Texts whose rolling hashes agree modulo a power of two, with and without the cache between them."""
+    words = []
+    for k in (10, 11, 12):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        words += [one, one.translate(str.maketrans("ab", "ba"))]
+    rows = [*enumerate(words), (6, " ".join(words))]
+    got = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), decoded="back").collect()}
+    for i, t in rows:
+        assert got[i].back == t
+        assert got[i].ids == brute(vocabulary, t)
+    monkeypatch.setattr(common, "mixed", lambda x: x & np.uint64(3))  # nearly all hashes collide
+    encoder = pieces.Encoder(vocabulary)
+    for text in ("one two three four five six", "one seven two"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == brute(vocabulary, text)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    got = pieces.decode(spark.createDataFrame([(1, None), (1, None), (2, [])], "doc_id long, ids array<int>")).collect()
+    assert [r.decoded for r in got] == ["", "", ""]
+
+
 def test_stream_commits_early(vocabulary):
     body = b" " + b"thequickbrown" * 60
     parts = list(pieces.stream(vocabulary, body))

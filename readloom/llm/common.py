@@ -35,10 +35,10 @@ def carried(df: DataFrame, text: str, but: list[str]) -> DataFrame:
 
 def byte_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column, or that field of the struct ``row`` (so that a text crosses to Python once), as large binary; nulls become empty."""
-    if batch.schema.names[0] == "row":
-        column = batch.column(1) if batch.schema.names[1:] == ["_text"] else batch.column(0).field(batch.schema.field(0).type.get_field_index(name))
+    if batch.schema.names == ["row"]:
+        column = batch.column(0).field(batch.schema.field(0).type.get_field_index(name))
     else:
-        column = batch.column(batch.schema.get_field_index(name))
+        column = batch.column(batch.schema.get_field_index("_text" if batch.schema.names == ["row", "_text"] else name))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index over each training shard.
 
-A shard is a run of documents of some 4 MB.  Words are found and hashed on the bytes; words and word
-pairs that no benchmark window has end a segment, since no occurrence can hold them, and segments
+A shard is a run of documents of some 4 MB.  Words are found and hashed on the bytes, and a word is one of
+the benchmark's if its bytes are the same; words and word pairs that no benchmark window has end a segment, since no occurrence can hold them, and segments
 shorter than the shortest window are left out.  What is left is indexed: suffix array of the
 segments, Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix position.  All
 windows are searched backwards together through the ranks, occurrences are located by walking to
@@ -23,46 +23,85 @@ from pyspark.sql import types as T
 from readloom.llm import common
 
 _IS_WORD = common.table_of(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
-_CODES = common.BYTE_CODES[common.LOWER]
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 SHARD_SLICES = 16
 
 
+@dataclass
+class Vocabulary:
+    """Distinct words by hash; a word's symbol is its place plus one."""
+
+    hashes: np.ndarray
+    data: np.ndarray  # the words' bytes, lower-cased, end to end
+    ends: np.ndarray  # one more than words
+    most: int  # words that share a hash
+
+    def symbols(self, data: np.ndarray, found: common.Words) -> np.ndarray:
+        """The symbol of each word of a slice, 0 for words that aren't here: bytes decide, hashes only point to candidates."""
+        out = np.zeros(len(found.start), np.int64)
+        if not len(self.hashes) or not len(out):
+            return out
+        data = common.LOWER[data]
+        hashes = common.Rolling(data).of(found.start, found.end)
+        place = np.searchsorted(self.hashes, hashes)
+        for k in range(self.most):
+            at = np.minimum(place + k, len(self.hashes) - 1)
+            some = np.flatnonzero((self.hashes[at] == hashes) & (out == 0))
+            at = at[some]
+            equal = common.same_bytes(data, found.start[some], found.end[some], self.data, self.ends[at], self.ends[at + 1])
+            out[some[equal]] = at[equal] + 1
+        return out
+
+
+def vocabulary_of(data: np.ndarray, found: common.Words) -> Vocabulary:
+    body = common.LOWER[data].tobytes()
+    texts = pa.array(sorted({body[a:b] for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)}), pa.large_binary())
+    flat, ends = common.flat(texts)
+    hashes = common.Rolling(flat).of(ends[:-1], ends[1:])
+    order = np.argsort(hashes, kind="stable")
+    _, many = np.unique(hashes, return_counts=True)
+    flat, ends = common.flat(texts.take(pa.array(order)))
+    return Vocabulary(hashes[order], flat.copy(), ends.copy(), int(many.max(initial=0)))
+
+
 @dataclass
 class Windows:
     """The distinct windows of a block of benchmark items."""
 
-    vocabulary: np.ndarray  # sorted word hashes; a word's symbol is its place plus one
+    vocabulary: Vocabulary
     pairs: np.ndarray  # sorted codes of neighbouring symbols within windows
     symbols: np.ndarray  # windows x longest, right-aligned, zero before the first word
     length: np.ndarray
-    item_first: np.ndarray  # items of window w: items[item_first[w]:item_first[w + 1]]
+    item_first: np.ndarray  # items of window w: names[items[item_first[w]:item_first[w + 1]]]
     items: np.ndarray
+    names: np.ndarray
     alone: np.ndarray  # symbols that are windows of one word
 
 
 def windows_of(rows: list[tuple[str | None, str | None]], size: int) -> Windows:
-    texts = pa.array([(t or "").encode() for _, t in rows], pa.large_binary())
-    data, offsets = common.flat(texts)
+    data, offsets = common.flat(pa.array([(t or "").encode() for _, t in rows], pa.large_binary()))
     found = common.words(data, offsets, _IS_WORD)
-    hashes = common.Rolling(data, _CODES).of(found.start, found.end)
-    vocabulary = np.unique(hashes)
-    symbols = np.searchsorted(vocabulary, hashes) + 1
-    grams: dict[tuple[int, ...], set[str | None]] = {}
-    for i, (item, _) in enumerate(rows):
-        own = symbols[found.first[i] : found.first[i + 1]].tolist()
-        for at in range(max(1, len(own) - size + 1) if own else 0):
-            grams.setdefault(tuple(own[at : at + size]), set()).add(item)
-    keys = sorted(grams)
-    length = np.array([len(k) for k in keys], np.int64)
-    wide = np.zeros((len(keys), size), np.int64)
-    for row, k in zip(wide, keys, strict=True):
-        row[size - len(k) :] = k
-    named = [sorted(x for x in grams[k] if x is not None) for k in keys]
-    pairs = np.unique((wide[:, :-1] * (len(vocabulary) + 1) + wide[:, 1:])[wide[:, :-1] > 0]) if keys else np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in named])]).astype(np.int64)
-    return Windows(vocabulary, pairs, wide, length, first, np.array([x for y in named for x in y], object), np.unique(wide[length == 1, -1]))
+    vocabulary = vocabulary_of(data, found)
+    symbols, counts = vocabulary.symbols(data, found), np.diff(found.first)
+    many = np.where(counts > 0, np.maximum(counts - size, 0) + 1, 0)
+    item = np.repeat(np.arange(len(rows)), many)
+    length = np.minimum(size, counts[item])
+    last = found.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + length - 1
+    wide = np.zeros((len(item), size), np.int32)
+    for k in range(size):
+        some = np.flatnonzero(k < length)
+        wide[some, size - 1 - k] = symbols[last[some] - k]
+    wide, which = np.unique(wide, axis=0, return_inverse=True)
+    wide, which = wide.astype(np.int64), which.ravel()
+    length = (wide > 0).sum(1)
+    names, place = np.array(sorted({x for x, _ in rows if x is not None}), object), {}
+    place = {x: k for k, x in enumerate(names)}
+    own = np.array([place.get(x, -1) for x, _ in rows], np.int64)[item]
+    listed = np.unique(which[own >= 0] * max(1, len(names)) + own[own >= 0])
+    first = np.searchsorted(listed // max(1, len(names)), np.arange(len(wide) + 1))
+    pairs = np.unique((wide[:, :-1] * (len(vocabulary.hashes) + 1) + wide[:, 1:])[wide[:, :-1] > 0])
+    return Windows(vocabulary, pairs, wide, length, first, listed % max(1, len(names)), names, np.unique(wide[length == 1, -1]))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -147,18 +186,16 @@ class FMIndex:
 
 
 def occurrences(shard: list[tuple[np.ndarray, np.ndarray]], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, slice of the shard, word of the slice) of each occurrence; the shard is its slices' word hashes and documents."""
+    """(window, slice of the shard, word of the slice) of each occurrence; the shard is its slices' word symbols and documents."""
     none = np.zeros(0, np.int64)
     if not len(windows.length):
         return none, none, none
     texts, where, what = [], [], []
     shortest = int(windows.length.min())
-    for number, (hashes, doc) in enumerate(shard):
-        if not len(hashes):
+    for number, (symbol, doc) in enumerate(shard):
+        if not len(symbol):
             continue
-        place = np.minimum(np.searchsorted(windows.vocabulary, hashes), len(windows.vocabulary) - 1)
-        symbol = np.where(windows.vocabulary[place] == hashes, place + 1, 0)
-        pair = symbol[:-1] * (len(windows.vocabulary) + 1) + symbol[1:]
+        pair = symbol[:-1] * (len(windows.vocabulary.hashes) + 1) + symbol[1:]
         tied = (symbol[:-1] > 0) & (symbol[1:] > 0) & (doc[:-1] == doc[1:])
         near = np.flatnonzero(tied)
         if len(windows.pairs):
@@ -182,7 +219,7 @@ def occurrences(shard: list[tuple[np.ndarray, np.ndarray]], windows: Windows) ->
     if not texts:
         return none, none, none
     text = np.concatenate(texts)
-    index = FMIndex(text, len(windows.vocabulary))
+    index = FMIndex(text, len(windows.vocabulary.hashes))
     low, high = index.search(windows.symbols, windows.length)
     many = high - low
     window = np.repeat(np.arange(len(many)), many)
@@ -213,7 +250,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
-    for k in range(n):  # a block is some 8 MB of benchmark text, whatever the benchmark's size
+    for k in range(n):  # a block is some 4 MB of benchmark text, whatever the benchmark's size
         yield [(r.item, r.text) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
 
 
@@ -238,7 +275,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
             shard, found = [], []
             for _, data, offsets in parts:
                 own = common.words(data, offsets, _IS_WORD)
-                shard.append((common.Rolling(data, _CODES).of(own.start, own.end), own.doc))
+                shard.append((windows.vocabulary.symbols(data, own), own.doc))
                 found.append(own)
             window, number, word = occurrences(shard, windows)
             del shard
@@ -256,7 +293,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
                     before = np.array(spans[i] or [], np.int64).reshape(-1, 2)
                     a, b = merged(np.append(before[:, 0], begin), np.append(before[:, 1], end))
                     spans[i] = np.stack([a, b], 1).ravel().tolist()
-                    names = {x for w in np.unique(window[lo + some]) for x in windows.items[windows.item_first[w] : windows.item_first[w + 1]]}
+                    names = {windows.names[x] for w in np.unique(window[lo + some]) for x in windows.items[windows.item_first[w] : windows.item_first[w + 1]]}
                     items[i] = sorted(names | set(items[i] or []))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(own.first)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "_text", "n_words", "spans", "items"])
 

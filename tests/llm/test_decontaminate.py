@@ -67,6 +67,24 @@ def test_clean_text_and_empty_tables(spark):
     assert [r.n_hit for r in find_benchmark(docs, benchmark.limit(0)).collect()] == [0, 0]
 
 
+def test_words_are_equal_only_if_their_bytes_are(spark):
+    """The Thue-Morse words over a, b and b, a agree in every rolling hash modulo a power of two."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, one), (2, other), (3, f"x {one.upper()} {other}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for items in ([(7, one)], [(7, one), (8, other)], [(9, f"{one} {other}")]):
+        found = find_benchmark(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r.row.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found) == brute(docs, items)
+
+
+def test_nulls_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, None, 1, 2), (1, "A b", 3, 4), (1, "A b", 3, 4)], "doc_id long, text string, row int, _text int")
+    benchmark = spark.createDataFrame([(None, "a b"), (2, None)], "item_id long, text string")
+    got = [(r.row.doc_id, r.row.row, r.row._text, r.n_hit, list(r["items"]), r.clean) for r in find_benchmark(docs, benchmark).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 2, 0, [], ""), (1, 3, 4, 2, [], ""), (1, 3, 4, 2, [], "")], key=str)
+
+
 def test_index_counts_and_locates():
     rng = np.random.default_rng(5)
     text = rng.integers(1, 5, 3000)

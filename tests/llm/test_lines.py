@@ -37,3 +37,13 @@ def test_other_columns_and_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "_row", "a", "n_lines", "n_dropped"]
     assert sorted((r.a, r.text, r._row, r.n_dropped) for r in got.collect()) == [(1, "the same long line\nmine", "r", 0), (2, "mine", "s", 1), (3, "", "t", 1), (4, "the same long line", "u", 0)]
     assert drop_repeated_lines(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_lines_are_equal_only_if_their_bytes_are(spark):
+    """The Thue-Morse words over a, b and b, a agree in every rolling hash modulo a power of two."""
+    rows = []
+    for k in (10, 11, 12):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        rows += [(2 * k, one), (2 * k + 1, one.translate(str.maketrans("ab", "ba"))), (100 + k, f" {one.upper()} \nx")]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == brute(rows)

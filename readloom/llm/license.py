@@ -9,6 +9,7 @@ order, with at most ``GAP`` other sentences between neighbours.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,64 @@ PUBLISHED: dict[str, list[str]] = {
     "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
 }
 
+# Sentences of further notices, as published; OP6_SQL doesn't know these.
+NOTICES: dict[str, list[str]] = {
+    "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."],
+    "gpl3-only": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "library-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "mpl2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "zero-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "isc-disclaim": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "boost-grant": ['Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'],
+    "boost-by": ["Distributed under the Boost Software License, Version 1.0."],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "cc0-dedicated": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
+    "cc0-warranty": ["This software is distributed without any warranty."],
+    "cc-by-sa-by": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "cc-by-nd-by": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
+    "cc-by-nc-sa-by": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
+    "cc-by-3-by": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "This work is licensed under the Creative Commons Attribution 3.0 Unported License."],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-granted": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "wtfpl-everyone": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
+    "epl2-available": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "postgres-grant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
+    "ofl-by": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "mit0-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'],
+}
+
 # Licences and the sequences that stand for them; each sequence is a rule of its own.
 RULES: list[tuple[str, list[str]]] = [
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-3.0-only", ["gpl3-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later", "library-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-hope"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-copy"]),
+    ("ISC", ["isc-grant", "isc-disclaim"]),
+    ("0BSD", ["zero-grant", "isc-disclaim"]),
+    ("BSL-1.0", ["boost-by"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("CC0-1.0", ["cc0-dedicated", "cc0-warranty"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-by"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-by"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-by"]),
+    ("CC-BY-3.0", ["cc-by-3-by"]),
+    ("Zlib", ["zlib-as-is", "zlib-granted"]),
+    ("WTFPL", ["wtfpl-everyone"]),
+    ("EPL-2.0", ["epl2-available"]),
+    ("PostgreSQL", ["postgres-grant"]),
+    ("OFL-1.1", ["ofl-by"]),
+    ("MIT-0", ["mit0-grant", "as-is"]),
     ("Apache-2.0", ["apache-by"]),
     ("Apache-2.0", ["apache-comply", "apache-copy"]),
     ("MIT", ["mit-by"]),
@@ -63,7 +120,14 @@ RULES: list[tuple[str, list[str]]] = [
 
 _DROP = r"[^0-9a-z.]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_KNOWN = {x: name for table in (SENTENCES, PUBLISHED) for name, texts in table.items() for x in texts}
+
+
+def plain(sentence: str) -> str:
+    """A sentence as the words that ``tidied`` leaves of it."""
+    return re.sub(r"[^0-9a-z.]+", " ", re.sub(r"[.;:!?]+(?=\s|$)", " ", sentence.lower())).strip(" .")
+
+
+_KNOWN = {plain(x): name for table in (SENTENCES, PUBLISHED, NOTICES) for name, texts in table.items() for x in texts}
 # a longer sentence before its own beginning; between words may be any cut
 _FIND = "(?<=[|_])(?:" + "|".join(x.replace(".", "[.]").replace(" ", "[ |_]") for x in sorted(_KNOWN, key=len, reverse=True)) + ")(?=[|_])"
 

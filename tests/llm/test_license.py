@@ -1,3 +1,5 @@
+import textwrap
+
 from readloom.llm.license import licences
 
 
@@ -106,3 +108,50 @@ def test_a_line_without_stops_around_it_and_a_sentence_inside_another(spark):
     assert got[2] == ([(0, "mit-by")], ["MIT"])
     assert got[3] == ([], [])
     assert got[4] == ([(2, "all-rights")], [])
+
+
+HOPE = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+DISCLAIM = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+MORE = {
+    "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", HOPE],
+    "GPL-2.0-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", HOPE],
+    "GPL-3.0-only": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", HOPE],
+    "LGPL-2.1-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", HOPE.replace("This program", "This library")],
+    "LGPL-3.0-or-later": [FREE.format("Lesser"), HOPE],
+    "AGPL-3.0-or-later": [FREE.format("Affero"), HOPE],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC": [PERMIT + ", provided that the above copyright notice and this permission notice appear in all copies.", DISCLAIM],
+    "0BSD": [PERMIT + ".", DISCLAIM],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-3.0": ["This work is licensed under the Creative Commons Attribution 3.0 Unported License."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "WTFPL": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "MIT-0": [MIT.split("\n\n")[2].replace(", subject to the following conditions:", "."), MIT.split("\n\n")[4]],
+}
+
+
+def test_published_notices_of_further_licences(spark):
+    """Each in one line a paragraph, wrapped at 72 columns, and as a comment; a sentence short of the notice gives another licence or none."""
+    names, texts = list(MORE), []
+    for name in names:
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(x, 72)) for x in MORE[name])
+        texts += ["\n\n".join(MORE[name]), f"Copyright (c) 2024 Someone\n\n{wrapped}\n", "\n".join(f"# {x}".rstrip() for x in wrapped.split("\n"))]
+    got = run(spark, [*texts, HOPE, "This software is distributed without any warranty.", PERMIT + "."])
+    assert [got[k][1] for k in range(len(texts))] == [[name] for name in names for _ in range(3)]
+    assert [got[len(texts) + k][1] for k in range(3)] == [[], [], []]
+
+
+def test_nulls_and_repeated_rows(spark):
+    rows = [(None, "All rights reserved"), (1, "Licensed under CC BY 4.0."), (1, "Licensed under CC BY 4.0.")]
+    got = licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), list(r.licences)) for r in got) == [("1", ["CC-BY-4.0"]), ("1", ["CC-BY-4.0"]), ("None", [])]

@@ -28,45 +28,57 @@ def base_counts(piled: DataFrame) -> DataFrame:
     return piled.groupBy("contig_id", "pos").agg(*[F.count_if(F.col("base") == b).alias(f"n_{b.lower()}") for b in "ACGT"], F.count("*").alias("depth"))
 
 
-def ranked_alleles(piled: DataFrame) -> DataFrame:
-    """(contig_id, pos, base, n, median_q, rank): alleles of each column by count, ties A, C, G, T."""
-    alleles = piled.groupBy("contig_id", "pos", "base").agg(F.count("*").alias("n"), F.percentile("q", 0.5).alias("median_q"))
+def histogram(piled: DataFrame) -> DataFrame:
+    """(contig_id, pos, base, q, n), dealt by column: all that alleles and likelihoods ask of a pile, so that one is computed."""
+    return piled.groupBy("contig_id", "pos", "base", "q").agg(F.count("*").alias("n")).repartition("contig_id", "pos")
+
+
+def ranked_alleles(counted: DataFrame) -> DataFrame:
+    """(contig_id, pos, base, n, median_q, rank): alleles of each column of a histogram by count, ties A, C, G, T."""
+    alleles = counted.groupBy("contig_id", "pos", "base").agg(F.sum("n").alias("n"), F.percentile("q", 0.5, F.col("n")).alias("median_q"))
     return alleles.withColumn("rank", F.row_number().over(Window.partitionBy("contig_id", "pos").orderBy(F.desc("n"), "base")))
 
 
-def log_likelihoods(piled: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(contig_id, pos, log_hom, log_het): of the reads given the major allele alone, or both alleles at one half."""
+def log_likelihoods(counted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(contig_id, pos, log_hom, log_het): of a histogram's reads given the major allele alone, or both alleles at one half."""
     e = S.error_probability(F.col("q"))
     hom = F.when(F.col("base") == F.col("major"), 1 - e).otherwise(e / 3)
     other = F.when(F.col("base") == F.col("minor"), 1 - e).otherwise(e / 3)
-    floor = lambda p: F.log(F.greatest(p, F.lit(1e-300)))
-    return piled.join(pairs.select("contig_id", "pos", "major", "minor"), ["contig_id", "pos"]).groupBy("contig_id", "pos").agg(F.sum(floor(hom)).alias("log_hom"), F.sum(floor((hom + other) / 2)).alias("log_het"))
+    floor = lambda p: F.log(F.greatest(p, F.lit(1e-300))) * F.col("n")
+    return counted.join(pairs.select("contig_id", "pos", "major", "minor"), ["contig_id", "pos"]).groupBy("contig_id", "pos").agg(F.sum(floor(hom)).alias("log_hom"), F.sum(floor((hom + other) / 2)).alias("log_het"))
 
 
-def snv_candidates(piled: DataFrame, ploidy: int = 2) -> DataFrame:
-    """(contig_id, pos, major, minor, n_major, n_minor, depth, ratio): columns that pass depth, count, quality and likelihood.
+def snv_candidates(counted: DataFrame, ploidy: int = 2) -> DataFrame:
+    """(contig_id, pos, major, minor, n_major, n_minor, depth, ratio): columns of a histogram that pass depth, count, quality and likelihood.
 
     ratio is ten times the log10 of the odds of two alleles against one, rounded to 4 places.
     """
-    ranked = ranked_alleles(piled)
+    ranked = ranked_alleles(counted)
     pick = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
     pairs = ranked.groupBy("contig_id", "pos").agg(F.sum("n").alias("depth"), pick("base", 1).alias("major"), pick("base", 2).alias("minor"), pick("n", 1).alias("n_major"), pick("n", 2).alias("n_minor"), pick("median_q", 2).alias("minor_q"), F.coalesce(pick("n", ploidy + 1), F.lit(0)).alias("n_extra"))
     pairs = pairs.filter((F.col("depth") >= LEAST_DEPTH) & (F.col("n_minor") >= LEAST_MINOR) & (F.col("minor_q") >= LEAST_QUALITY) & (F.col("n_minor") / F.col("depth") >= LEAST_SHARE * 2 / ploidy) & (F.col("n_extra") / F.col("depth") <= 0.12))
-    scored = pairs.join(log_likelihoods(piled, pairs), ["contig_id", "pos"]).withColumn("ratio", F.round((F.col("log_het") - F.col("log_hom")) * 10 / F.log(F.lit(10.0)), 4))
+    scored = pairs.join(log_likelihoods(counted, pairs), ["contig_id", "pos"]).withColumn("ratio", F.round((F.col("log_het") - F.col("log_hom")) * 10 / F.log(F.lit(10.0)), 4))
     return scored.filter(F.col("ratio") >= LEAST_RATIO).select("contig_id", "pos", "major", "minor", "n_major", "n_minor", "depth", "ratio")
 
 
-def multiallelic(piled: DataFrame, ploidy: int, share: float = 0.2) -> DataFrame:
+def multiallelic(counted: DataFrame, ploidy: int, share: float = 0.2) -> DataFrame:
     """(contig_id, pos, alleles, n_alleles): columns with 2 to ``ploidy`` alleles of that share, by count, then letter."""
     depth = Window.partitionBy("contig_id", "pos")
-    kept = ranked_alleles(piled).withColumn("depth", F.sum("n").over(depth)).filter((F.col("depth") >= LEAST_DEPTH) & (F.col("n") >= LEAST_MINOR) & (F.col("n") / F.col("depth") >= share * 2 / ploidy))
+    kept = ranked_alleles(counted).withColumn("depth", F.sum("n").over(depth)).filter((F.col("depth") >= LEAST_DEPTH) & (F.col("n") >= LEAST_MINOR) & (F.col("n") / F.col("depth") >= share * 2 / ploidy))
     out = kept.groupBy("contig_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "base"))), lambda x: x["base"]), ",").alias("alleles"), F.count("*").alias("n_alleles"))
     return out.filter(F.col("n_alleles").between(2, ploidy))
 
 
+def over_sites(placed: DataFrame, sites: DataFrame, bin_size: int = 256) -> DataFrame:
+    """(contig_id, start, seq, pos, at): placed reads with each site that they cover; an equi-join on bins of the contig, a read being in all its bins."""
+    rows = placed.select("contig_id", "start", "seq", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("start") + F.length("seq") - 1) / bin_size))).alias("bin"))
+    near = rows.join(sites.select("contig_id", "pos", F.floor(F.col("pos") / bin_size).alias("bin")), ["contig_id", "bin"])
+    return near.select("contig_id", "start", "seq", "pos", (F.col("pos") - F.col("start")).alias("at")).filter("at >= 0 and at < length(seq)")
+
+
 def flank_modes(placed: DataFrame, sites: DataFrame, flank: int = 15) -> DataFrame:
     """(contig_id, pos, base, flank, n): the most common flank of each allele, ties to the smaller string."""
-    rows = placed.join(sites.select("contig_id", "pos"), "contig_id").withColumn("at", F.col("pos") - F.col("start")).filter(f"at >= {flank} and at + {flank} < length(seq)")
+    rows = over_sites(placed, sites).filter(f"at >= {flank} and at + {flank} < length(seq)")
     seen = rows.select("contig_id", "pos", F.expr("substring(seq, at + 1, 1)").alias("base"), F.expr(f"substring(seq, at - {flank} + 1, {2 * flank + 1})").alias("flank")).groupBy("contig_id", "pos", "base", "flank").agg(F.count("*").alias("n"))
     by = Window.partitionBy("contig_id", "pos", "base").orderBy(F.desc("n"), "flank")
     return seen.withColumn("rank", F.row_number().over(by)).filter("rank = 1").drop("rank")

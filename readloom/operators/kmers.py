@@ -10,8 +10,11 @@ from readloom.functions import sequence as S
 
 def occurrences(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
     """(key, pos, kmer, rc): canonical k-mers without N; rc says whether the canonical form is the other strand's."""
-    rows = seqs.select(key, F.inline(S.kmers(F.col("seq"), k))).filter(~F.contains("kmer", F.lit("N")))
-    return rows.select(key, "pos", S.canonical(F.col("kmer")).alias("kmer"), (F.col("kmer") > S.reverse_complement(F.col("kmer"))).alias("rc"))
+    # the other strand is turned round once a read; both k-mers are substrings then, in compiled code
+    rows = seqs.filter(F.length("seq") >= k).withColumn("turned", S.reverse_complement(F.col("seq")))
+    rows = rows.select(key, "seq", "turned", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    rows = rows.select(key, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("own"), F.substring("turned", F.length("seq") - F.col("pos") - k + 1, F.lit(k)).alias("other"))
+    return rows.filter(~F.contains("own", F.lit("N"))).select(key, "pos", F.least("own", "other").alias("kmer"), (F.col("own") > F.col("other")).alias("rc"))
 
 
 def count(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:

@@ -38,11 +38,11 @@ runs AS (SELECT contig_id, min(start)::BIGINT AS start, max(end_)::BIGINT AS end
   FROM (SELECT *, sum(new) OVER (PARTITION BY contig_id ORDER BY start) AS run FROM marked) GROUP BY contig_id, run)"""
 _DEPTH = f"{_COVERAGE}, per_base AS (SELECT contig_id, unnest(range(start, end_)) AS pos, depth FROM runs)"
 _KMERS = f"""WITH {X.READS_SQL}, raw AS (SELECT read_id, unnest(list_transform(range(1, (length(seq) - {K} + 2)::BIGINT), lambda i: substr(seq, i, {K}))) AS f FROM reads),
-counts AS (SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS cnt FROM raw WHERE NOT contains(f, 'N') GROUP BY 1)"""
+counts AS MATERIALIZED (SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS cnt FROM raw WHERE NOT contains(f, 'N') GROUP BY 1)"""
 _UNIQUE = f"WITH {X.READS_SQL}, uniq AS (SELECT min(read_id) AS uid, translate(seq, 'N', 'A') AS seq FROM reads GROUP BY 2)"
-_PILE = f"WITH {X.READS_SQL}, piled AS (SELECT contig_id, (start + i - 1)::BIGINT AS pos, substr(body, i, 1) AS base, q, read_id FROM (SELECT *, unnest(range(1, (length(body) + 1)::BIGINT)) AS i FROM reads))"
+_PILE = f"WITH {X.READS_SQL}, piled AS MATERIALIZED (SELECT contig_id, (start + i - 1)::BIGINT AS pos, substr(body, i, 1) AS base, q, read_id FROM (SELECT *, unnest(range(1, (length(body) + 1)::BIGINT)) AS i FROM reads))"
 _RANKED = f"""{_PILE}, alleles AS (SELECT contig_id, pos, base, count(*) AS n, quantile_cont(q, 0.5) AS mq FROM piled GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY contig_id, pos ORDER BY n DESC, base) AS r FROM alleles)"""
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY contig_id, pos ORDER BY n DESC, base) AS r FROM alleles)"""
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +189,8 @@ def ploidy_neighbor_fraction(spark, sf_dir):
     return kmers.neighbour_share(_counts(spark, sf_dir), K, F.lit(4))
 
 
-@query(f"""{_KMERS}, nodes AS (SELECT DISTINCT unnest([kmer, {_RC.format("kmer")}]) AS node, cnt FROM counts WHERE cnt >= 2)
-SELECT a.node, b.node AS next, b.cnt FROM nodes a JOIN nodes b ON substr(a.node, 2) = substr(b.node, 1, {K - 1})""")
+@query(f"""{_KMERS}, nodes AS MATERIALIZED (SELECT *, substr(node, 2) AS tail, substr(node, 1, {K - 1}) AS head FROM (SELECT DISTINCT unnest([kmer, {_RC.format("kmer")}]) AS node, cnt FROM counts WHERE cnt >= 2))
+SELECT a.node, b.node AS next, b.cnt FROM nodes a JOIN nodes b ON a.tail = b.head""")
 def graph_successors(spark, sf_dir):
     return kmers.successors(kmers.oriented(_counts(spark, sf_dir)), K)
 
@@ -230,10 +230,11 @@ def junction_min_support(spark, sf_dir):
     return kmers.junction_support(_counts(spark, sf_dir), junctions, K)
 
 
-_EDGES = f"""WITH {X.READS_SQL}, ureads AS (SELECT min(read_id) AS uid, turned AS seq, min(contig_id) AS c FROM reads GROUP BY turned),
-tails AS (SELECT uid, seq, unnest(range(2, (length(seq) - 16 + 2)::BIGINT)) AS i FROM ureads),
-edges AS (SELECT t.uid AS a, h.uid AS b, (length(t.seq) - i + 1)::BIGINT AS overlap FROM tails t JOIN ureads h ON substr(t.seq, i, 16) = substr(h.seq, 1, 16)
-  WHERE t.uid <> h.uid AND length(h.seq) > 16 AND length(t.seq) - i + 1 < length(h.seq) AND substr(t.seq, i) = substr(h.seq, 1, length(t.seq) - i + 1))"""
+_EDGES = f"""WITH {X.READS_SQL}, ureads AS MATERIALIZED (SELECT min(read_id) AS uid, turned AS seq FROM reads GROUP BY turned),
+tails AS MATERIALIZED (SELECT uid, seq, i, substr(seq, i, 16) AS seed FROM (SELECT uid, seq, unnest(range(2, (length(seq) - 16 + 2)::BIGINT)) AS i FROM ureads)),
+heads AS MATERIALIZED (SELECT uid, seq, substr(seq, 1, 16) AS seed FROM ureads WHERE length(seq) > 16),
+edges AS (SELECT t.uid AS a, h.uid AS b, (length(t.seq) - i + 1)::BIGINT AS overlap FROM tails t JOIN heads h USING (seed)
+  WHERE t.uid <> h.uid AND length(t.seq) - i + 1 < length(h.seq) AND substr(t.seq, i) = substr(h.seq, 1, length(t.seq) - i + 1))"""
 
 
 def _oriented_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,10 +257,14 @@ def assembled_contigs(spark, sf_dir):
     return assembly.contigs(unique, assembly.greedy_links(assembly.overlap_edges(unique)))
 
 
-@query(f"""WITH {X.READS_SQL}, ureads AS (SELECT min(read_id) AS uid, turned AS seq FROM reads GROUP BY turned),
-heads AS (SELECT uid, seq, unnest([0, 10, 20]) AS s FROM ureads WHERE length(seq) > 30), tails AS (SELECT uid, seq, unnest(range((length(seq) - 11)::BIGINT)) AS p FROM ureads WHERE length(seq) >= 12),
-pairs AS (SELECT DISTINCT t.uid AS a, h.uid AS b, t.seq AS sa, h.seq AS sb, p - s AS f FROM tails t JOIN heads h ON substr(t.seq, p + 1, 12) = substr(h.seq, s + 1, 12) WHERE t.uid <> h.uid AND p - s > 0 AND length(t.seq) - (p - s) >= 30 AND length(t.seq) - (p - s) < length(h.seq)),
-scored AS (SELECT a, b, (length(sa) - f)::BIGINT AS overlap, hamming(substr(sa, f + 1), substr(sb, 1, length(sa) - f)) AS n_mm FROM pairs) SELECT * FROM scored WHERE n_mm IN (1, 2)""")
+_NEAR = f"""WITH {X.READS_SQL}, ureads AS MATERIALIZED (SELECT min(read_id) AS uid, turned AS seq FROM reads GROUP BY turned),
+heads AS MATERIALIZED (SELECT uid, seq, s, substr(seq, s + 1, 10) AS seed FROM (SELECT uid, seq, unnest([0, 10, 20]) AS s FROM ureads WHERE length(seq) > 30)),
+tails AS MATERIALIZED (SELECT uid, seq, p, substr(seq, p + 1, 10) AS seed FROM (SELECT uid, seq, unnest(range((length(seq) - 9)::BIGINT)) AS p FROM ureads)),
+pairs AS (SELECT DISTINCT t.uid AS a, h.uid AS b, t.seq AS sa, h.seq AS sb, p - s AS f FROM tails t JOIN heads h USING (seed) WHERE t.uid <> h.uid AND p - s > 0 AND length(t.seq) - (p - s) >= 30 AND length(t.seq) - (p - s) < length(h.seq)),
+near AS MATERIALIZED (SELECT * FROM (SELECT a, b, sa, sb, f, (length(sa) - f)::BIGINT AS overlap, hamming(substr(sa, f + 1), substr(sb, 1, length(sa) - f)) AS n_mm FROM pairs) WHERE n_mm IN (1, 2))"""
+
+
+@query(f"{_NEAR} SELECT a, b, overlap, n_mm FROM near")
 def near_miss(spark, sf_dir):
     return assembly.near_overlaps(_oriented_unique(spark, sf_dir), 30)
 
@@ -329,25 +334,25 @@ def pileup_counts(spark, sf_dir):
 
 
 _LIKE = f"""{_RANKED}, pairs AS (SELECT contig_id, pos, sum(n)::BIGINT AS depth, max(base) FILTER (r = 1) AS major, max(base) FILTER (r = 2) AS minor, max(n) FILTER (r = 1) AS n_major, max(n) FILTER (r = 2) AS n_minor, max(mq) FILTER (r = 2) AS minor_q, coalesce(max(n) FILTER (r = 3), 0) AS n_extra FROM ranked GROUP BY 1, 2),
-fine AS (SELECT * FROM pairs WHERE depth >= 6 AND n_minor >= 2 AND minor_q >= 20 AND n_minor / depth >= 0.2 AND n_extra / depth <= 0.12),
+fine AS MATERIALIZED (SELECT * FROM pairs WHERE depth >= 6 AND n_minor >= 2 AND minor_q >= 20 AND n_minor / depth >= 0.2 AND n_extra / depth <= 0.12),
 lik AS (SELECT contig_id, pos, sum(ln(CASE WHEN base = major THEN 1 - e ELSE e / 3 END)) AS hom, sum(ln(((CASE WHEN base = major THEN 1 - e ELSE e / 3 END) + (CASE WHEN base = minor THEN 1 - e ELSE e / 3 END)) / 2)) AS het FROM (SELECT *, pow(10.0e0, -q / 10.0e0) AS e FROM piled) JOIN fine USING (contig_id, pos) GROUP BY 1, 2)"""
 
 
 @query(f"{_LIKE} SELECT contig_id, pos, round(hom, 4) AS log_hom, round(het, 4) AS log_het FROM lik")
 def genotype_loglik(spark, sf_dir):
-    piled = _piled(spark, sf_dir)
-    pairs = calling.snv_candidates(piled).select("contig_id", "pos", "major", "minor")
-    return calling.log_likelihoods(piled, pairs).select("contig_id", "pos", F.round("log_hom", 4).alias("log_hom"), F.round("log_het", 4).alias("log_het"))
+    counted = calling.histogram(_piled(spark, sf_dir))
+    pairs = calling.snv_candidates(counted).select("contig_id", "pos", "major", "minor")
+    return calling.log_likelihoods(counted, pairs).select("contig_id", "pos", F.round("log_hom", 4).alias("log_hom"), F.round("log_het", 4).alias("log_het"))
 
 
 @query(f"{_LIKE} SELECT contig_id, pos, major, minor, n_major, n_minor, depth, round((het - hom) * 10 / ln(10.0e0), 4) AS ratio FROM lik JOIN fine USING (contig_id, pos) WHERE round((het - hom) * 10 / ln(10.0e0), 4) >= 10")
 def snv_candidates(spark, sf_dir):
-    return calling.snv_candidates(_piled(spark, sf_dir))
+    return calling.snv_candidates(calling.histogram(_piled(spark, sf_dir)))
 
 
 @query(f"{_RANKED}, d AS (SELECT *, sum(n) OVER (PARTITION BY contig_id, pos) AS depth FROM ranked), k AS (SELECT * FROM d WHERE depth >= 6 AND n >= 2 AND n / depth >= 0.1) SELECT contig_id, pos, string_agg(base, ',' ORDER BY r) AS alleles, count(*) AS n_alleles FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4")
 def multiallelic_emit(spark, sf_dir):
-    return calling.multiallelic(_piled(spark, sf_dir), 4)
+    return calling.multiallelic(calling.histogram(_piled(spark, sf_dir)), 4)
 
 
 @query(f"{_PILE} SELECT contig_id, pos, list_sort(list(q))[(count(*) // 2 + 1)::BIGINT] AS upper_median FROM piled GROUP BY 1, 2")
@@ -483,7 +488,17 @@ def dup_expansion(spark, sf_dir):
     return intervals.expand_duplicates(unique.select("uid"), mapped).groupBy("uid").agg(F.count("*").alias("n_originals"))
 
 
-@query()
+def _first_gap(rows: str, left: str, right: str, flank: int) -> str:
+    """CTEs: the first difference ``at_`` of two columns of ``rows``, and in ``gaps`` the smallest insertion, else deletion, after which ``flank`` bases agree."""
+    same = lambda a, b: f"length(substr({left}, at_ + {a} + 1, {flank})) = {flank} AND substr({left}, at_ + {a} + 1, {flank}) = substr({right}, at_ + {b} + 1, {flank})"
+    return f"""differ AS MATERIALIZED (SELECT *, coalesce(list_filter(range(1, least(length({left}), length({right})) + 1), lambda i: substr({left}, i, 1) <> substr({right}, i, 1))[1] - 1, least(length({left}), length({right}))) AS at_ FROM {rows}),
+tried AS (SELECT *, list_filter(range(1, 31), lambda n: {same("0", "n")})[1] AS ins, list_filter(range(1, 31), lambda n: {same("n", "0")})[1] AS del FROM differ),
+gaps AS (SELECT *, CASE WHEN ins IS NOT NULL THEN 'I' ELSE 'D' END AS kind, coalesce(ins, del) AS size, CASE WHEN ins IS NOT NULL THEN substr({right}, at_ + 1, ins) ELSE substr({left}, at_ + 1, del) END AS bases FROM tried WHERE ins IS NOT NULL OR del IS NOT NULL)"""
+
+
+@query(f"""WITH {X.READS_SQL}, over_ AS (SELECT read_id, r.contig_id, start, substr(g.seq, start + 1) AS ours, body FROM reads r JOIN genome g ON r.contig_id = g.contig_id WHERE substr(g.seq, start + 1, length(body)) <> body),
+{_first_gap("over_", "ours", "body", 12)}
+SELECT contig_id, (start + at_)::BIGINT AS pos, kind, size::BIGINT AS size, bases, count(DISTINCT read_id) AS n_reads FROM gaps GROUP BY ALL HAVING count(DISTINCT read_id) >= 3""")
 def read_gap_votes(spark, sf_dir):
     placed = X.drawn_reads(spark, sf_dir).select("read_id", "contig_id", "start", F.col("body").alias("seq"))
     return calling.read_gaps(placed, X.genome(spark, sf_dir), flank=12)
@@ -494,17 +509,32 @@ def leftover_fraction(spark, sf_dir):
     return product.leftovers_share(X.drawn_reads(spark, sf_dir).select("read_id", "seq"), X.genome(spark, sf_dir).select("contig_id", "seq"))
 
 
-@query()
+@query(f"""WITH {X.READS_SQL}, t AS (SELECT read_id, '+' AS strand, seq AS read FROM reads UNION ALL SELECT read_id, '-', {_RC.format("seq")} FROM reads),
+seeds AS MATERIALIZED (SELECT *, substr(read, s + 1, 25) AS kmer FROM (SELECT *, unnest(range(0, length(read) - 24, greatest(1, (length(read) - 25) // 7))) AS s FROM t WHERE length(read) >= 25)),
+win AS MATERIALIZED (SELECT contig_id, p, substr(seq, p + 1, 25) AS kmer FROM (SELECT contig_id, seq, unnest(range((length(seq) - 24)::BIGINT)) AS p FROM genome)),
+pl AS MATERIALIZED (SELECT DISTINCT read_id, read, strand, contig_id, p - s AS start FROM seeds JOIN win USING (kmer)),
+cl AS (SELECT *, greatest(-start, 0) AS l, greatest(start + length(read) - length(seq), 0) AS r FROM pl JOIN genome USING (contig_id)),
+sc AS (SELECT *, hamming(substr(seq, greatest(start, 0) + 1, length(read) - l - r), substr(read, l + 1, length(read) - l - r)) AS n_mm FROM cl),
+ranked AS (SELECT *, length(read) - l - r - 6 * n_mm AS score FROM sc WHERE n_mm <= 6),
+best AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, strand <> '+', contig_id, start) AS place FROM ranked)
+SELECT read_id, contig_id, start::INT AS start, strand, l::INT AS clip_left, r::INT AS clip_right, n_mm, score::BIGINT AS score FROM best WHERE place = 1""")
 def placed_again(spark, sf_dir):
     return product.place_again(X.drawn_reads(spark, sf_dir).select("read_id", "seq"), X.genome(spark, sf_dir).select("contig_id", "seq"))
 
 
-@query()
+@query(f"""WITH {X.READS_SQL}, win AS MATERIALIZED (SELECT contig_id, seq, p, substr(seq, p + 1, 25) AS kmer FROM (SELECT contig_id, seq, unnest(range((length(seq) - 24)::BIGINT)) AS p FROM genome)),
+once AS MATERIALIZED (SELECT kmer, min(contig_id) AS contig_id, min(p) AS pos, reverse(substr(min(seq), greatest(min(p) - 40, 0) + 1, least(min(p), 40))) AS ours FROM win GROUP BY kmer HAVING count(*) = 1),
+seen AS MATERIALIZED (SELECT read_id, substr(seq, p + 1, 25) AS kmer, reverse(substr(seq, greatest(p - 40, 0) + 1, least(p, 40))) AS theirs FROM (SELECT read_id, body AS seq, unnest(range((length(body) - 24)::BIGINT)) AS p FROM reads)),
+pairs AS (SELECT read_id, contig_id, pos, ours, theirs FROM seen JOIN once USING (kmer) WHERE substr(ours, 1, least(length(ours), length(theirs))) <> substr(theirs, 1, least(length(ours), length(theirs)))),
+{_first_gap("pairs", "ours", "theirs", 10)}
+SELECT contig_id, (CASE WHEN kind = 'D' THEN pos - at_ - size ELSE pos - at_ END)::BIGINT AS pos, kind, size::BIGINT AS size, count(DISTINCT read_id) AS n_reads FROM gaps GROUP BY ALL HAVING count(DISTINCT read_id) >= 3""")
 def anchored_gap_votes(spark, sf_dir):
     return product.anchored_gaps(X.drawn_reads(spark, sf_dir).select("read_id", F.col("body").alias("seq")), X.genome(spark, sf_dir).select("contig_id", "seq"))
 
 
-@query()
+@query(f"""{_NEAR}, letters AS (SELECT a, b, (f + i)::INT AS off, substr(sa, f + i + 1, 1) AS ref, substr(sb, i + 1, 1) AS alt FROM (SELECT *, unnest(range(overlap)) AS i FROM near)),
+mapped AS (SELECT read_id, uid FROM reads JOIN ureads ON turned = ureads.seq)
+SELECT a, off, ref, alt, count(DISTINCT read_id) AS n_reads FROM letters JOIN mapped ON uid = b WHERE ref <> alt GROUP BY ALL HAVING count(DISTINCT read_id) >= 5""")
 def near_miss_sites(spark, sf_dir):
     unique, mapped = reads.deduplicate(X.drawn_reads(spark, sf_dir).select("read_id", F.col("turned").alias("seq")))
     return product.near_miss_sites(unique, mapped, 30)

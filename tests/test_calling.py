@@ -27,9 +27,9 @@ def test_heterozygous_sites_are_found(spark):
     for p in sites:
         two[p] = sites[p] = {"A": "C", "C": "G", "G": "T", "T": "A"}[one[p]]
     piled = calling.pileup(spark.createDataFrame(placed(rng, one, "".join(two), 300), KIND))
-    found = {r.pos: {r.major, r.minor} for r in calling.snv_candidates(piled).collect()}
+    found = {r.pos: {r.major, r.minor} for r in calling.snv_candidates(calling.histogram(piled)).collect()}
     assert found == {p: {one[p], b} for p, b in sites.items()}
-    assert {r.pos for r in calling.multiallelic(piled, 2).collect()} == set(sites)
+    assert {r.pos for r in calling.multiallelic(calling.histogram(piled), 2).collect()} == set(sites)
     counts = {r.pos: r for r in calling.base_counts(piled).collect()}
     assert all(r.depth == r.n_a + r.n_c + r.n_g + r.n_t for r in counts.values())
 

@@ -30,6 +30,11 @@ def scope_report(reads: DataFrame, longest: int | None = None) -> DataFrame:
     return out.withColumn("verdict", verdict.when(F.col("shortest") < F.col("longest"), "CAVEAT").otherwise("IN SCOPE"))
 
 
+def scope_json(report: DataFrame) -> DataFrame:
+    """(json): the report as one JSON object; the median as a whole number, rounded down."""
+    return report.select(F.to_json(F.struct(*[F.col(c).cast("long").alias(c) if c == "median_length" else F.col(c) for c in report.columns])).alias("json"))
+
+
 def require_in_scope(reads: DataFrame, longest: int | None = None) -> None:
     verdict = scope_report(reads, longest).first()
     if verdict.verdict in ("CANNOT READ", "OUT OF SCOPE"):

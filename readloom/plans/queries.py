@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
-from readloom.operators import assembly, calling, evaluate, graph, intervals, kmers, product, reads, references, search
+from readloom.operators import assembly, calling, evaluate, filters, graph, intervals, kmers, product, reads, references, search
 from readloom.plans import fixtures as X
+from readloom.sources import files
 from readloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +351,70 @@ def snv_candidates(spark, sf_dir):
     return calling.snv_candidates(calling.histogram(_piled(spark, sf_dir)))
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.drawn_reads(spark, sf_dir).select("contig_id", "start", F.col("body").alias("seq"))
+
+
+_SITES = f"""WITH {X.READS_SQL}, cov AS (SELECT contig_id, site::BIGINT AS pos, site - start AS k, body FROM reads JOIN genome USING (contig_id) WHERE site >= start AND site - start < length(body)),
+offs AS (SELECT contig_id, pos, substr(body, (k + 1)::BIGINT, 1) AS allele, o::INT AS off, substr(body, (k + o + 1)::BIGINT, 1) AS base FROM (SELECT *, unnest(range(-15, 16)) AS o FROM cov) WHERE o <> 0 AND k + o >= 0 AND k + o < length(body))"""
+
+
+@query(f"{_SITES} SELECT contig_id, pos, allele, off, base, count(*) AS n FROM offs GROUP BY ALL")
+def flank_base_counts(spark, sf_dir):
+    return filters.flank_base_counts(_bodies(spark, sf_dir), X.genome(spark, sf_dir).select("contig_id", F.col("site").cast("long").alias("pos")))
+
+
+_CANDIDATES = f"{_LIKE}, cand AS MATERIALIZED (SELECT contig_id, pos, major, minor, n_major, n_minor, depth, round((het - hom) * 10 / ln(10.0e0), 4) AS ratio FROM lik JOIN fine USING (contig_id, pos) WHERE round((het - hom) * 10 / ln(10.0e0), 4) >= 10)"
+_SUPPORTED = f"""{_CANDIDATES}, med AS (SELECT quantile_cont(depth, 0.5) AS m FROM (SELECT count(*) AS depth FROM piled GROUP BY contig_id, pos)),
+cov AS MATERIALIZED (SELECT contig_id, pos, major, minor, pos - start AS k, body FROM reads JOIN cand USING (contig_id) WHERE pos >= start AND pos - start < length(body)),
+offs AS (SELECT contig_id, pos, major, minor, substr(body, (k + 1)::BIGINT, 1) AS allele, o, substr(body, (k + o + 1)::BIGINT, 1) AS base FROM (SELECT *, unnest(range(-15, 16)) AS o FROM cov) WHERE o <> 0 AND k + o >= 0 AND k + o < length(body)),
+counted AS (SELECT *, n * 1000 - ascii(base) AS ord FROM (SELECT contig_id, pos, major, minor, allele, o, base, count(*) AS n FROM offs GROUP BY ALL)),
+modes AS (SELECT contig_id, pos, o, arg_max(base, ord) FILTER (allele = major) AS one, arg_max(base, ord) FILTER (allele = minor) AS other FROM counted GROUP BY 1, 2, 3),
+differing AS (SELECT contig_id, pos, count(*) FILTER (one <> other) AS n_diff FROM modes GROUP BY 1, 2),
+flanks AS (SELECT contig_id, pos, max(n) AS flank_n FROM (SELECT contig_id, pos, substr(body, (k - 14)::BIGINT, 31) AS flank, count(*) AS n FROM cov WHERE substr(body, (k + 1)::BIGINT, 1) = minor AND k >= 15 AND k + 15 < length(body) GROUP BY ALL) GROUP BY 1, 2)"""
+
+
+@query(f"{_SUPPORTED} SELECT contig_id, pos, n_diff FROM differing")
+def haplotype_difference(spark, sf_dir):
+    pairs = calling.snv_candidates(calling.histogram(_piled(spark, sf_dir)))
+    return filters.haplotype_difference(filters.flank_base_counts(_bodies(spark, sf_dir), pairs), pairs)
+
+
+@query(f"{_SUPPORTED} SELECT cand.*, n_diff, flank_n FROM cand JOIN differing USING (contig_id, pos) JOIN flanks USING (contig_id, pos), med WHERE depth <= 2.5 * m AND n_diff <= 2 AND flank_n >= 3 AND n_minor / depth BETWEEN 0.2 AND 0.8")
+def supported_snvs(spark, sf_dir):
+    counted = calling.histogram(_piled(spark, sf_dir))
+    depths = counted.groupBy("contig_id", "pos").agg(F.sum("n").alias("depth"))
+    return filters.supported_snvs(_bodies(spark, sf_dir), calling.snv_candidates(counted), depths)
+
+
+@query(f"""{_CANDIDATES}, texts AS (SELECT contig_id * 2 AS contig_id, seq FROM genome UNION ALL SELECT contig_id * 2 + 1, second FROM genome WHERE second <> seq), fwd AS (SELECT contig_id, i - 1 AS at_, substr(seq, i, {K}) AS f FROM (SELECT contig_id, seq, unnest(range(1, (length(seq) - {K} + 2)::BIGINT)) AS i FROM texts)),
+two AS MATERIALIZED (SELECT f, min(contig_id) AS a, max(contig_id) AS b, arg_min(at_, contig_id) AS pa, arg_max(at_, contig_id) AS pb FROM fwd GROUP BY f HAVING count(*) = 2 AND min(contig_id) < max(contig_id)),
+ends AS (SELECT a, b, pa + {K} AS pos_a, pb + {K} AS pos_b, substr(x.seq, pa + {K + 1}, 1) AS ref, substr(y.seq, pb + {K + 1}, 1) AS alt, substr(x.seq, pa + {K + 2}, 12) AS ta, substr(y.seq, pb + {K + 2}, 12) AS tb FROM two JOIN texts x ON a = x.contig_id JOIN texts y ON b = y.contig_id),
+anchors AS (SELECT a, b, count(*) AS n_anchors FROM two GROUP BY a, b HAVING count(*) >= 15),
+found AS (SELECT DISTINCT a, b, pos_a, pos_b, ref, alt, n_anchors FROM ends JOIN anchors USING (a, b) WHERE ref <> alt AND ta = tb AND length(ta) = 12)
+SELECT * FROM found WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.contig_id = a // 2 AND cand.pos = pos_a)""")
+def xsnv_new(spark, sf_dir):
+    pairs = calling.snv_candidates(calling.histogram(_piled(spark, sf_dir)))
+    return filters.not_in_pile(xsnv_pairs(spark, sf_dir), pairs, F.expr("a div 2"), F.col("pos_a"))
+
+
+@query(f"WITH {X.READS_SQL}, up AS (SELECT r.contig_id, read_id FROM reads r JOIN genome g ON r.contig_id = g.contig_id WHERE start <= site - 20 AND start + len > site - 20), down AS (SELECT r.contig_id, read_id FROM reads r JOIN genome g ON r.contig_id = g.contig_id WHERE start <= site + 20 AND start + len > site + 20) SELECT contig_id, read_id FROM up INTERSECT SELECT contig_id, read_id FROM down")
+def locus_intersection(spark, sf_dir):
+    rows = X.drawn_reads(spark, sf_dir).join(X.genome(spark, sf_dir).select("contig_id", "site"), "contig_id")
+    return search.locus_both(*[rows.filter(f"start <= site {x} 20 and start + len > site {x} 20").select("contig_id", "read_id") for x in "-+"])
+
+
+@query(f"WITH {X.READS_SQL} SELECT read_id AS uid, '>r' || read_id || ' pos=' || start || ' len=' || length(body) || chr(10) || body AS value FROM reads JOIN genome USING (contig_id) WHERE start <= site AND start + len > site")
+def query_fasta(spark, sf_dir):
+    rows = X.drawn_reads(spark, sf_dir).join(X.genome(spark, sf_dir).select("contig_id", "site"), "contig_id").filter("start <= site and start + len > site")
+    return files.query_fasta(rows.select(F.col("read_id").alias("uid"), "start", F.col("body").alias("seq")))
+
+
+@query(f"WITH {X.READS_SQL} SELECT json_object('n_reads', count(*), 'n_bases', sum(length(seq))::BIGINT, 'shortest', min(length(seq)), 'longest', max(length(seq)), 'median_length', floor(quantile_cont(length(seq), 0.5))::BIGINT, 'n_n', sum(length(seq) - length(replace(seq, 'N', '')))::BIGINT, 'n_mismatched', 0, 'n_foreign', count(*) FILTER (regexp_matches(seq, '[^ACGTN]')), 'verdict', 'CAVEAT')::VARCHAR AS json FROM reads")
+def scope_json(spark, sf_dir):
+    return reads.scope_json(reads.scope_report(X.fastq(X.drawn_reads(spark, sf_dir))))
+
+
 @query(f"{_RANKED}, d AS (SELECT *, sum(n) OVER (PARTITION BY contig_id, pos) AS depth FROM ranked), k AS (SELECT * FROM d WHERE depth >= 6 AND n >= 2 AND n / depth >= 0.1) SELECT contig_id, pos, string_agg(base, ',' ORDER BY r) AS alleles, count(*) AS n_alleles FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4")
 def multiallelic_emit(spark, sf_dir):
     return calling.multiallelic(calling.histogram(_piled(spark, sf_dir)), 4)

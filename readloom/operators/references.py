@@ -9,8 +9,11 @@ from readloom.functions import sequence as S
 from readloom.session import shared_folder
 
 
-def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id") -> DataFrame:
-    """(dst_id, src_id, dst, src, size): maximal runs of equal bases of at least ``seed`` between two places, forward.
+def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id", turned: bool = False) -> DataFrame:
+    """(dst_id, src_id, dst, src, size): maximal runs of equal bases of at least ``seed`` between two places.
+
+    Both places are read forward, or the source on its other strand if ``turned``; then a run that is
+    its own other strand has itself as its source.
 
     Each occurrence of a seed meets the seed's first ``most`` occurrences, by key and place, in an
     equi-join; a run is a maximal island of neighbouring seeds on a diagonal.  So all pairs of a seed
@@ -23,19 +26,22 @@ def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "c
     # a limit on ranks is taken in each task before the shuffle; written out, so that a hot seed's rows
     # can be split in the join; joins are merges, as a written table's size is guessed far too low for broadcasts
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kmer").orderBy(key, "pos"))).filter(F.col("rank") <= most + 1).checkpoint()
-    a, b = ranked.filter(F.col("rank") <= most).select("kmer", F.col(key).alias("src_id"), F.col("pos").alias("src")), rows.select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"))
-    pairs = b.join(a.hint("merge"), "kmer").filter("src_id < dst_id or (src_id = dst_id and src < dst)").withColumn("diagonal", F.col("dst") - F.col("src"))
+    held = S.reverse_complement(F.col("kmer")).alias("kmer") if turned else F.col("kmer")
+    a, b = ranked.filter(F.col("rank") <= most).select(held, F.col(key).alias("src_id"), F.col("pos").alias("src")), rows.select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"))
+    # a turned run goes up in one text and down in the other, so that its two halves can't be told by seeds in one text
+    earlier, along = ("src_id <= dst_id", F.col("dst") + F.col("src")) if turned else ("src_id < dst_id or (src_id = dst_id and src < dst)", F.col("dst") - F.col("src"))
+    pairs = b.join(a.hint("merge"), "kmer").filter(earlier).withColumn("diagonal", along)
     by = Window.partitionBy("src_id", "dst_id", "diagonal").orderBy("dst")
     island = pairs.withColumn("island", F.col("dst") - F.row_number().over(by))
     found = island.groupBy("dst_id", "src_id", "diagonal", "island").agg(F.min("dst").cast("long").alias("dst"), F.min("src").cast("long").alias("src"), (F.max("dst") - F.min("dst") + seed).cast("long").alias("size")).drop("diagonal", "island")
-    hot = ranked.filter(F.col("rank") == most + 1).select("kmer")
+    hot = ranked.filter(F.col("rank") == most + 1).select(held)
     if hot.limit(1).count() == 0:
-        return found
+        return found.filter("src_id < dst_id or src <= dst")
     places = rows.join(hot.hint("merge"), "kmer", "left_semi").select(F.col(key).alias("dst_id"), F.col("pos").cast("long").alias("pos"))
-    return _extended(found, places, texts, seed, key)
+    return _extended(found, places, texts, seed, key, turned).filter("src_id < dst_id or src <= dst")
 
 
-def _extended(found: DataFrame, hot: DataFrame, texts: DataFrame, seed: int, key: str) -> DataFrame:
+def _extended(found: DataFrame, hot: DataFrame, texts: DataFrame, seed: int, key: str, turned: bool) -> DataFrame:
     """Runs with a hot place (dst_id, pos) next to them, extended as far as bases agree; each run once."""
     found = found.checkpoint()
     beside = F.explode(F.array(F.col("pos") + 1, F.col("pos") - 1))  # a run that begins after, or whose last seed is before, a hot place
@@ -46,18 +52,31 @@ def _extended(found: DataFrame, hot: DataFrame, texts: DataFrame, seed: int, key
     rows = open_.join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")).hint("merge"), "dst_id").join(texts.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")).hint("merge"), "src_id")
     after = lambda x, at: F.expr(f"substring({x}, cast({at} + size as int) + 1)")
     before = lambda x, at: F.reverse(F.expr(f"left({x}, cast({at} as int))"))
-    rows = rows.withColumns({"more": S.common_prefix(after("sd", "dst"), after("ss", "src")), "less": S.common_prefix(before("sd", "dst"), before("ss", "src"))})
-    grown = rows.select("dst_id", "src_id", (F.col("dst") - F.col("less")).alias("dst"), (F.col("src") - F.col("less")).alias("src"), (F.col("size") + F.col("less") + F.col("more")).alias("size"))
+    facing, behind = (before, after) if turned else (after, before)
+    other = lambda x: F.translate(x, "ACGT", "TGCA") if turned else x
+    rows = rows.withColumns({"more": S.common_prefix(after("sd", "dst"), other(facing("ss", "src"))), "less": S.common_prefix(before("sd", "dst"), other(behind("ss", "src")))})
+    grown = rows.select("dst_id", "src_id", (F.col("dst") - F.col("less")).alias("dst"), (F.col("src") - F.col("more" if turned else "less")).alias("src"), (F.col("size") + F.col("less") + F.col("more")).alias("size"))
     return grown.distinct().union(closed)
 
 
+def both_strand_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id") -> DataFrame:
+    """Maximal runs as ``self_matches`` gives them, with ``turned``: whether the source is read on its other strand."""
+    forward = self_matches(texts, seed, most, key).withColumn("turned", F.lit(False))
+    return forward.unionByName(self_matches(texts, seed, most, key, turned=True).withColumn("turned", F.lit(True)))
+
+
 def trimmed(refs: DataFrame) -> DataFrame:
-    """References trimmed at their left to begin where no earlier one reaches, per destination; what is left empty goes."""
-    by = Window.partitionBy("dst_id").orderBy("dst", F.desc("size"), "src_id", "src")
+    """References trimmed at their left to begin where no earlier one reaches, per destination; what is left empty goes.
+
+    With a column ``turned``, a reference of the other strand loses the end of its source.
+    """
+    sides = ["turned"] if "turned" in refs.columns else []
+    skipped = F.when(F.col("turned"), 0).otherwise(F.col("cut")) if sides else F.col("cut")
+    by = Window.partitionBy("dst_id").orderBy("dst", F.desc("size"), "src_id", "src", *sides)
     reach = F.max(F.col("dst") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.greatest(F.coalesce(reach - F.col("dst"), F.lit(0)), F.lit(0))
     rows = refs.withColumn("cut", cut).filter("cut < size")
-    return rows.select("dst_id", "src_id", (F.col("dst") + F.col("cut")).alias("dst"), (F.col("src") + F.col("cut")).alias("src"), (F.col("size") - F.col("cut")).alias("size"))
+    return rows.select("dst_id", "src_id", (F.col("dst") + F.col("cut")).alias("dst"), (F.col("src") + skipped).alias("src"), (F.col("size") - F.col("cut")).alias("size"), *sides)
 
 
 def literals(texts: DataFrame, refs: DataFrame, key: str = "contig_id") -> DataFrame:
@@ -71,7 +90,9 @@ def literals(texts: DataFrame, refs: DataFrame, key: str = "contig_id") -> DataF
 
 def rebuilt(texts: DataFrame, refs: DataFrame, literal: DataFrame, key: str = "contig_id") -> DataFrame:
     """(dst_id, seq): literals and references put together again (sources are read from ``texts``)."""
-    copied = refs.join(texts.select(F.col(key).alias("src_id"), "seq"), "src_id").select("dst_id", F.col("dst").alias("start"), F.expr("substring(seq, cast(src as int) + 1, cast(size as int))").alias("bases"))
+    source = F.expr("substring(seq, cast(src as int) + 1, cast(size as int))")
+    bases = F.when(F.col("turned"), S.reverse_complement(source)).otherwise(source) if "turned" in refs.columns else source
+    copied = refs.join(texts.select(F.col(key).alias("src_id"), "seq"), "src_id").select("dst_id", F.col("dst").alias("start"), bases.alias("bases"))
     return copied.union(literal).groupBy("dst_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("start", "bases"))).getField("bases"), "").alias("seq"))
 
 
@@ -81,3 +102,14 @@ def gap_indels(refs: DataFrame, most_gap: int = 64, most: int = 12) -> DataFrame
     rows = refs.withColumns({"pos": F.lag(F.col("dst") + F.col("size")).over(by), "from": F.lag(F.col("src") + F.col("size")).over(by)})
     rows = rows.withColumns({"dst_gap": F.col("dst") - F.col("pos"), "src_gap": F.col("src") - F.col("from")})
     return rows.filter(F.col("dst_gap").between(0, most_gap) & F.col("src_gap").between(0, most_gap) & F.abs(F.col("dst_gap") - F.col("src_gap")).between(1, most)).select("dst_id", "src_id", "pos", "dst_gap", "src_gap")
+
+
+def gap_substitutions(refs: DataFrame, texts: DataFrame, key: str = "contig_id") -> DataFrame:
+    """(dst_id, src_id, pos, src_pos, ref, alt): single bases that differ between neighbouring references of one diagonal.
+
+    ref is the source's base, alt the destination's; references are forward.
+    """
+    by = Window.partitionBy("dst_id", "src_id", F.col("dst") - F.col("src")).orderBy("dst")
+    rows = refs.withColumns({"pos": F.lag(F.col("dst") + F.col("size")).over(by), "src_pos": F.lag(F.col("src") + F.col("size")).over(by)}).filter("dst - pos = 1")
+    rows = rows.join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")), "dst_id").join(texts.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")), "src_id")
+    return rows.select("dst_id", "src_id", "pos", "src_pos", F.expr("substring(ss, cast(src_pos as int) + 1, 1)").alias("ref"), F.expr("substring(sd, cast(pos as int) + 1, 1)").alias("alt"))

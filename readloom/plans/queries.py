@@ -486,6 +486,36 @@ def mem_gap_lag(spark, sf_dir):
     return references.gap_indels(references.self_matches(_haplotypes(spark, sf_dir)))
 
 
+@query(f"{_MEM}, d AS (SELECT *, lag(dst + size) OVER w AS pos, lag(src + size) OVER w AS src_pos FROM refs WINDOW w AS (PARTITION BY dst_id, src_id, dst - src ORDER BY dst)) SELECT dst_id, src_id, pos, src_pos, substr(y.seq, src_pos + 1, 1) AS ref, substr(x.seq, pos + 1, 1) AS alt FROM d JOIN texts x ON dst_id = x.contig_id JOIN texts y ON src_id = y.contig_id WHERE dst - pos = 1")
+def mem_substitutions(spark, sf_dir):
+    texts = _haplotypes(spark, sf_dir)
+    return references.gap_substitutions(references.self_matches(texts), texts)
+
+
+_FACING = f"WITH {X.GENOME_SQL}, texts AS (SELECT contig_id * 2 AS contig_id, seq FROM genome UNION ALL SELECT contig_id * 2 + 1, {_RC.format('second')} FROM genome WHERE second <> seq)"
+
+
+def _facing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second haplotypes on their other strand."""
+    return _haplotypes(spark, sf_dir).withColumn("seq", F.when(F.col("contig_id") % 2 == 1, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+
+
+@query(f"""{_FACING}, r AS MATERIALIZED (SELECT contig_id, i - 1 AS pos, substr(seq, i, 24) AS k FROM (SELECT contig_id, seq, unnest(range(1, (length(seq) - 22)::BIGINT)) AS i FROM texts)),
+n AS MATERIALIZED (SELECT contig_id, pos, {_RC.format("k")} AS k FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM r) WHERE c <= 64),
+p AS (SELECT n.contig_id AS src_id, n.pos AS src, r.contig_id AS dst_id, r.pos AS dst FROM n JOIN r USING (k) WHERE n.contig_id <= r.contig_id),
+g AS (SELECT *, dst - row_number() OVER (PARTITION BY src_id, dst_id, dst + src ORDER BY dst) AS isl FROM p)
+SELECT dst_id, src_id, min(dst) AS dst, min(src) AS src, max(dst) - min(dst) + 24 AS size FROM g GROUP BY dst_id, src_id, dst + src, isl HAVING src_id < dst_id OR min(src) <= min(dst)""")
+def mem_refs_rc(spark, sf_dir):
+    return references.self_matches(_facing(spark, sf_dir), turned=True)
+
+
+@query(f"{_FACING} SELECT contig_id AS dst_id, seq FROM texts")
+def mem_rebuild_both(spark, sf_dir):
+    texts = _facing(spark, sf_dir)
+    refs = references.trimmed(references.both_strand_matches(texts))
+    return references.rebuilt(texts, refs, references.literals(texts, refs))
+
+
 @query(f"WITH {X.READS_SQL} SELECT read_id, seq FROM (SELECT read_id, max(seq) AS seq FROM reads GROUP BY read_id HAVING count(*) = 1)")
 def read_reconstruct(spark, sf_dir):
     drawn = X.drawn_reads(spark, sf_dir)
@@ -545,6 +575,54 @@ def prf1(spark, sf_dir):
     return evaluate.scores(*_truths(spark, sf_dir), ["chrom", "pos"])
 
 
+_DELETED, _COPIED = "contig_id % 3 <> 0 and contig_id % 5 = 1", "contig_id % 3 = 0"
+
+
+@query(f"""WITH {X.GENOME_SQL}, calls AS (SELECT contig_id, site AS pos, substr(seq, site, 3) AS ref, substr(seq, site, 1) AS alt, substr(seq, site + 1, 2) AS own, seq FROM genome WHERE {_DELETED}
+  UNION ALL SELECT contig_id, site, substr(seq, site, 1), substr(seq, site, 1) || substr(seq, site - 1, 2), substr(seq, site - 1, 2), seq FROM genome WHERE {_COPIED}),
+b AS (SELECT *, substr(seq, 1, pos) AS before, substr(seq, 1, pos) || own AS whole FROM calls),
+s AS (SELECT *, least(coalesce(list_filter(range(1, length(before) + 1), lambda i: substr(reverse(before), i, 1) <> substr(reverse(whole), i, 1))[1] - 1, length(before)), pos - 1)::INT AS step FROM b)
+SELECT contig_id::VARCHAR AS chrom, (pos - step)::BIGINT AS pos, CASE WHEN length(ref) > 1 THEN substr(whole, pos - step, 3) ELSE substr(seq, pos - step, 1) END AS ref, CASE WHEN length(alt) > 1 THEN substr(whole, pos - step, 3) ELSE substr(seq, pos - step, 1) END AS alt FROM s""")
+def left_aligned(spark, sf_dir):
+    g = X.genome(spark, sf_dir).withColumn("chrom", F.col("contig_id").cast("string"))
+    one = "substr(seq, site, 1)"
+    side = lambda where, ref, alt: g.filter(where).select("chrom", F.col("site").cast("long").alias("pos"), F.expr(ref).alias("ref"), F.expr(alt).alias("alt"))
+    calls = side(_DELETED, "substr(seq, site, 3)", one).union(side(_COPIED, one, f"{one} || substr(seq, site - 1, 2)"))
+    return evaluate.left_aligned(calls, g.select("chrom", "seq"))
+
+
+@query(f"""WITH {X.READS_SQL}, s AS (SELECT contig_id, site::BIGINT AS pos, substr(seq, site + 1, 1) AS ref, translate(substr(seq, site + 1, 1), 'ACGT', 'CGTA') AS alt, substr(seq, site - 29, 24) AS kmer FROM genome WHERE contig_id % 3 = 0),
+near AS (SELECT contig_id, pos, count(DISTINCT substr(body, (pos - start + 1)::BIGINT, 1)) AS n FROM reads JOIN s USING (contig_id) WHERE pos >= start AND pos < start + length(body) AND substr(body, (pos - start + 1)::BIGINT, 1) IN (ref, alt) GROUP BY 1, 2),
+t AS (SELECT body FROM reads UNION SELECT {_RC.format("body")} FROM reads),
+held AS MATERIALIZED (SELECT DISTINCT substr(body, i, 24) AS kmer, substr(body, i + 30, 1) AS base FROM (SELECT body, unnest(range(1, (length(body) - 22)::BIGINT)) AS i FROM t)),
+found AS (SELECT contig_id, pos, count(DISTINCT base) AS n FROM held JOIN s USING (kmer) WHERE base IN (ref, alt) GROUP BY 1, 2)
+SELECT s.contig_id, s.pos, coalesce(near.n, 0) AS by_place, coalesce(found.n, 0) AS by_content FROM s LEFT JOIN near ON s.contig_id = near.contig_id LEFT JOIN found ON s.contig_id = found.contig_id""")
+def locus_fidelity(spark, sf_dir):
+    own = "substr(seq, site + 1, 1)"
+    sites = X.genome(spark, sf_dir).filter("contig_id % 3 = 0").select("contig_id", F.col("site").cast("long").alias("pos"), F.expr(own).alias("ref"), F.expr(f"translate({own}, 'ACGT', 'CGTA')").alias("alt"), F.col("seq").alias("contig"))
+    return evaluate.locus_fidelity(_bodies(spark, sf_dir), sites, size=24)
+
+
+@query(f"""WITH {X.READS_SQL}, a AS (SELECT contig_id AS query_id, site, substr(seq, site - 9, 20) AS probe FROM genome), u AS (SELECT read_id, contig_id, start, len, body FROM reads),
+w AS (SELECT read_id, substr(body, i, 20) AS probe FROM (SELECT read_id, body, unnest(range(1, (length(body) - 18)::BIGINT)) AS i FROM u))
+SELECT query_id, read_id AS uid FROM a JOIN u ON query_id = contig_id WHERE start <= site AND start + len > site UNION SELECT query_id, read_id FROM a JOIN w USING (probe)""")
+def place_or_content(spark, sf_dir):
+    rows, asked = X.drawn_reads(spark, sf_dir), X.genome(spark, sf_dir).select(F.col("contig_id").alias("query_id"), "site", F.expr("substr(seq, site - 9, 20)").alias("kmer"))
+    placed = rows.join(asked, F.col("contig_id") == F.col("query_id")).filter("start <= site and start + len > site").select("query_id", F.col("read_id").alias("uid"))
+    held = rows.select(F.col("read_id").alias("uid"), F.inline(S.kmers(F.col("body"), 20))).join(asked, "kmer")
+    return search.place_or_content(placed, held)
+
+
+@query()
+def called_variants(spark, sf_dir):
+    return product.call(X.fastq(X.drawn_reads(spark, sf_dir)), X.genome(spark, sf_dir).select("contig_id", "seq"))
+
+
+@query()
+def collapsed_substrate(spark, sf_dir):
+    return product.substrate(X.drawn_reads(spark, sf_dir), _haplotypes(spark, sf_dir))[1]
+
+
 @query(f"WITH {X.READS_SQL}, dup AS (SELECT read_id, seq FROM reads UNION ALL SELECT read_id + 1, seq FROM reads WHERE q % 2 = 0), u AS (SELECT min(read_id) AS uid, translate(seq, 'N', 'A') AS s FROM dup GROUP BY 2) SELECT uid, count(*) AS n_originals FROM dup JOIN u ON translate(dup.seq, 'N', 'A') = s GROUP BY uid")
 def dup_expansion(spark, sf_dir):
     rows = X.drawn_reads(spark, sf_dir).select("read_id", "seq", "q")
@@ -594,7 +672,7 @@ pairs AS (SELECT read_id, contig_id, pos, ours, theirs FROM seen JOIN once USING
 {_first_gap("pairs", "ours", "theirs", 10)}
 SELECT contig_id, (CASE WHEN kind = 'D' THEN pos - at_ - size ELSE pos - at_ END)::BIGINT AS pos, kind, size::BIGINT AS size, count(DISTINCT read_id) AS n_reads FROM gaps GROUP BY ALL HAVING count(DISTINCT read_id) >= 3""")
 def anchored_gap_votes(spark, sf_dir):
-    return product.anchored_gaps(X.drawn_reads(spark, sf_dir).select("read_id", F.col("body").alias("seq")), X.genome(spark, sf_dir).select("contig_id", "seq"))
+    return product.anchored_gaps(X.drawn_reads(spark, sf_dir).select("read_id", F.col("body").alias("seq")), X.genome(spark, sf_dir).select("contig_id", "seq")).drop("bases")
 
 
 @query(f"""{_NEAR}, letters AS (SELECT a, b, (f + i)::INT AS off, substr(sa, f + i + 1, 1) AS ref, substr(sb, i + 1, 1) AS alt FROM (SELECT *, unnest(range(overlap)) AS i FROM near)),

@@ -54,6 +54,28 @@ def test_collapse(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True}
 
 
+def one_pass_collapse(rows, k, stride, share):
+    claimed, kept = set(), {}
+    for i, s in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+        mers = [min(s[j : j + k], rc(s[j : j + k])) for j in range(len(s) - k + 1)]
+        asked = mers[::stride]
+        kept[i] = not asked or sum(m in claimed for m in asked) < share * len(asked)
+        if kept[i]:
+            claimed.update(mers)
+    return kept
+
+
+def test_collapse_of_linked_contigs_equals_one_pass(spark):
+    rng = random.Random(12)
+    repeat = dna(rng, 30)  # links all of them
+    blocks = [dna(rng, 20) for _ in range(9)]
+    rows = [(i, "".join(rng.choices(blocks, k=rng.randrange(1, 5))) + (repeat if i % 2 else rc(repeat))) for i in range(60)] + [(99, "ACG"), (98, repeat), (97, repeat)]
+    for share in (0.45, 0.92):
+        got = assembly.collapse(spark.createDataFrame(rows, "contig_id long, seq string"), 9, 3, share)
+        assert dict(map(tuple, got.collect())) == one_pass_collapse(rows, 9, 3, share)
+    assert assembly.collapse(spark.createDataFrame([], "contig_id long, seq string")).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5)], "a long, b long")
     assert dict(map(tuple, graph.connected(links).collect())) == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
@@ -74,6 +96,54 @@ def test_tips(spark):
     assert {r.node for r in graph.tips(edges).collect()} == {"b", "c"}
 
 
+def test_edges_into_tips_go_where_there_is_another_way(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n3", "t1"), ("t1", "t2")]
+    df = spark.createDataFrame([(a, b, 1) for a, b in edges], "node string, next string, cnt long")
+    assert {(r.node, r.next) for r in graph.without_tips(df, 4).collect()} == set(edges) - {("n3", "t1")}
+
+
+def brute_turned(rows, least):
+    """Maximal runs where one text equals the other strand of another, or of itself."""
+    found = set()
+    for s, a in rows:
+        for d, b in rows:
+            turn = rc(a)
+            for x in range(len(b)):
+                for t in range(len(turn)):
+                    if s <= d and b[x] == turn[t] and not (x and t and b[x - 1] == turn[t - 1]):
+                        n = 0
+                        while x + n < len(b) and t + n < len(turn) and b[x + n] == turn[t + n]:
+                            n += 1
+                        src = len(a) - t - n
+                        if n >= least and (s < d or src <= x):
+                            found.add((d, s, x, src, n))
+    return found
+
+
+def test_references_of_the_other_strand(spark):
+    rng = random.Random(14)
+    a, hairpin = dna(rng, 70), dna(rng, 15)
+    rows = [(1, a), (2, dna(rng, 9) + rc(a[10:60]) + dna(rng, 9)), (3, hairpin + rc(hairpin)), (4, hairpin + dna(rng, 7) + rc(hairpin)), (5, a[:8]), (6, a[20:50])]
+    rows += [(10 + i, dna(rng, 6) + (a[25:40] if i % 2 else rc(a[25:40])) + dna(rng, 6)) for i in range(6)]
+    texts = spark.createDataFrame(rows, "contig_id long, seq string")
+    got = references.self_matches(texts, 10, turned=True)
+    assert {tuple(r) for r in got.collect()} == brute_turned(rows, 10) and got.count() == len(brute_turned(rows, 10))
+    few = {tuple(r) for r in references.self_matches(texts, 10, most=2, turned=True).collect()}
+    assert few < brute_turned(rows, 10)  # whole runs all the same
+    refs = references.trimmed(references.both_strand_matches(texts, 10)).cache()
+    assert refs.filter("turned").count() and refs.filter("not turned").count()
+    assert dict(map(tuple, references.rebuilt(texts, refs, references.literals(texts, refs)).collect())) == dict(rows)
+
+
+def test_substitutions_between_references(spark):
+    rng = random.Random(15)
+    a = dna(rng, 90)
+    b = a[:40] + {"A": "C", "C": "G", "G": "T", "T": "A"}[a[40]] + a[41:]
+    texts = spark.createDataFrame([(1, a), (2, dna(rng, 5) + b), (3, a[:30] + a[33:])], "contig_id long, seq string")
+    got = references.gap_substitutions(references.self_matches(texts), texts)
+    assert {tuple(r) for r in got.collect()} == {(2, 1, 45, 40, a[40], b[40])}
+
+
 def test_references_rebuild(spark):
     rng = random.Random(4)
     a = dna(rng, 120)

@@ -64,3 +64,23 @@ def test_scores(spark):
     assert (r.tp, r.fp, r.fn, r.prec, r.recall) == (1, 1, 2, 0.5, 0.333333)
     none = evaluate.scores(truth.limit(0), calls.limit(0), ["chrom", "pos"]).first()
     assert none.tp == 0 and none.prec is None
+
+
+def test_indels_move_left(spark):
+    text = "GATATATCAAAAG"
+    rows = [("c", 7, "TAT", "T"), ("c", 7, "T", "TAT"), ("c", 12, "A", "AA"), ("c", 8, "CA", "C"), ("c", 3, "T", "G"), ("x", 5, "AT", "A"), ("c", 1, "G", "GG")]
+    rows[0] = ("c", 5, "TAT", "T")  # deletes AT of GATATAT
+    got = evaluate.left_aligned(spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string"), spark.createDataFrame([("c", text)], "chrom string, seq string"))
+    assert sorted(map(tuple, got.collect())) == sorted([("c", 1, "GAT", "G"), ("c", 1, "G", "GAT"), ("c", 8, "C", "CA"), ("c", 8, "CA", "C"), ("c", 3, "T", "G"), ("x", 5, "AT", "A"), ("c", 1, "G", "GG")])
+
+
+def test_locus_fidelity(spark):
+    rng = random.Random(31)
+    contig = dna(rng, 120)
+    alt = {"A": "C", "C": "G", "G": "T", "T": "A"}[contig[60]]
+    other = contig[:60] + alt + contig[61:]
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    # the second read lies elsewhere by place, but holds the probe on its other strand
+    placed = spark.createDataFrame([(1, 10, contig[10:70]), (2, 0, turn(other[10:70]))], "contig_id long, start long, seq string")
+    sites = spark.createDataFrame([(1, 60, contig[60], alt, contig), (1, 20, contig[20], "N", contig), (3, 60, "A", "C", dna(rng, 120))], "contig_id long, pos long, ref string, alt string, contig string")
+    assert sorted(map(tuple, evaluate.locus_fidelity(placed, sites).collect())) == [(1, 20, 1, 0), (1, 60, 1, 2), (3, 60, 0, 0)]

@@ -103,27 +103,27 @@ def cross_contig_snvs(occ: DataFrame, seqs: DataFrame, k: int, reach: int = 12,
 
 
 def extract_gap(left: Column, right: Column, at: Column, most: int = 30, flank: int = 15) -> Column:
-    """(kind, at, size, bases) of the first gap that lines up two sequences from their first difference ``at``, or null.
+    """(kind, at, size, bases) of the first gap that lines up two sequences from their first difference ``at``, as an array of one or none.
 
     Insertions (in ``right``) of 1 to ``most`` bases are tried before deletions; after the gap
-    ``flank`` bases have to be equal.  All of it is string arithmetic in the JVM.
+    ``flank`` bases have to be equal.  The smallest size is where the ``flank`` bases of one side are first found in the other.
     """
-    sizes = F.sequence(F.lit(1), F.lit(most))
-    same = lambda a, b: (a == b) & (F.length(a) == flank)
-    rest = lambda s, n: F.substring(s, at + n + 1, F.lit(flank))
-    inserted = F.get(F.filter(sizes, lambda n: same(rest(left, F.lit(0)), rest(right, n))), 0)
-    deleted = F.get(F.filter(sizes, lambda n: same(rest(left, n), rest(right, F.lit(0)))), 0)
-    kind = F.when(inserted.isNotNull(), "I").when(deleted.isNotNull(), "D")
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), at.alias("at"), F.coalesce(inserted, deleted).alias("size"), F.when(kind == "I", F.substring(right, at + 1, inserted)).otherwise(F.substring(left, at + 1, deleted)).alias("bases")))
+    def size(text: Column, other: Column) -> Column:
+        asked = F.substring(text, at + 1, F.lit(flank))
+        return F.when(F.length(asked) == flank, F.nullif(F.instr(F.substring(other, at + 2, F.lit(most + flank - 1)), asked), F.lit(0)))
+
+    inserted, deleted = size(left, right), size(right, left)
+    gap = lambda kind, text, n: F.struct(F.lit(kind).alias("kind"), at.alias("at"), n.alias("size"), F.substring(text, at + 1, n).alias("bases"))
+    return F.array_compact(F.array(F.when(inserted.isNotNull(), gap("I", right, inserted)).when(deleted.isNotNull(), gap("D", left, deleted))))
 
 
 def read_gaps(placed: DataFrame, contigs: DataFrame, least_reads: int = 3, most: int = 30, flank: int = 15) -> DataFrame:
     """(contig_id, pos, kind, size, bases, n_reads): gaps of reads against their contig that enough distinct reads show."""
     rows = placed.join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id").withColumn("body", F.expr("substring(contig, start + 1)"))
-    # the first difference is a column of its own, so that it isn't computed again for each size
+    # the first difference is a column of its own, and gaps come out of a generator, so that neither is computed again in a filter
     off = rows.filter("left(body, length(seq)) <> seq").withColumn("at", S.common_prefix(F.col("body"), F.col("seq")))
-    off = off.select("read_id", "contig_id", "start", extract_gap(F.col("body"), F.col("seq"), F.col("at"), most, flank).alias("gap")).filter("gap is not null")
-    events = off.groupBy("contig_id", (F.col("start") + F.col("gap.at")).cast("long").alias("pos"), "gap.kind", F.col("gap.size").cast("long").alias("size"), "gap.bases").agg(F.count_distinct("read_id").alias("n_reads"))
+    off = off.select("read_id", "contig_id", "start", F.inline(extract_gap(F.col("body"), F.col("seq"), F.col("at"), most, flank)))
+    events = off.groupBy("contig_id", (F.col("start") + F.col("at")).cast("long").alias("pos"), "kind", F.col("size").cast("long").alias("size"), "bases").agg(F.count_distinct("read_id").alias("n_reads"))
     return events.filter(F.col("n_reads") >= least_reads)
 
 

@@ -127,6 +127,50 @@ def read_gaps(placed: DataFrame, contigs: DataFrame, least_reads: int = 3, most:
     return events.filter(F.col("n_reads") >= least_reads)
 
 
+def linked_gaps(placed: DataFrame, contigs: DataFrame, least_reads: int = 3, most: int = 30, least_left: int = 12, tail: int = 20, differences: int = 1) -> DataFrame:
+    """(contig_id, pos, kind, size, bases, n_reads): gaps at which reads, left where the assembly placed them, leave their contig.
+
+    placed: read_id, contig_id, start, seq as on the contig, inside it.  A read needs ``least_left``
+    equal bases before its first difference; the smallest gap after which ``tail`` bases have at
+    most ``differences`` differences is taken, a deletion before an insertion of its size.
+    """
+    rows = placed.join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id").filter("start >= 0 and start + length(seq) <= length(contig)")
+    rows = rows.withColumn("body", F.expr(f"substring(contig, cast(start as int) + 1, length(seq) + {most + tail})")).drop("contig").filter("left(body, length(seq)) <> seq")
+    off = rows.withColumn("at", S.common_prefix(F.col("body"), F.col("seq"))).filter(f"at >= {least_left} and length(seq) - at >= {tail + 2}")
+    fits = lambda a, x, b, y: (F.length(F.substring(a, x + 1, F.lit(tail))) == tail) & (F.length(F.substring(b, y + 1, F.lit(tail))) == tail) & (S.hamming(F.substring(a, x + 1, F.lit(tail)), F.substring(b, y + 1, F.lit(tail))) <= differences)
+    at = F.col("at")
+    tried = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.struct(n.alias("size"), F.when(fits("body", at + n, "seq", at), "D").when(fits("body", at, "seq", at + n), "I").alias("kind")))
+    hits = off.select("read_id", "contig_id", "start", "at", "body", "seq", F.inline(F.slice(F.filter(tried, lambda x: x["kind"].isNotNull()), 1, 1)))
+    bases = F.when(F.col("kind") == "D", F.substring("body", at + 1, F.col("size"))).otherwise(F.substring("seq", at + 1, F.col("size")))
+    events = hits.groupBy("contig_id", (F.col("start") + at).cast("long").alias("pos"), "kind", F.col("size").cast("long").alias("size"), bases.alias("bases")).agg(F.count_distinct("read_id").alias("n_reads"))
+    return events.filter(F.col("n_reads") >= least_reads)
+
+
+def anchored_groups(groups: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+    """(contig_id, pos, ref, alts, n_alleles, support): groups of alleles whose flank a contig holds once, on either strand, put on that contig.
+
+    groups: as from ``graph.variant_groups``.  The allele that the contig itself has from there on is
+    ref; pos (from 0) is where the alleles, without the bases that all begin and then end with,
+    start.  Groups of whose alleles the contig has none, or whose flank is held more than once, have no place.
+    """
+    turned = F.transform("alleles", lambda a: F.struct(S.reverse_complement(a["seq"]).alias("seq"), a["support"].alias("support")))
+    both = groups.select("flank", "alleles").union(groups.select(S.reverse_complement(F.col("closes")), turned))
+    held = contigs.select("contig_id", F.inline(S.kmers(F.col("seq"), k))).join(both.select(F.col("flank").alias("kmer")).distinct(), "kmer", "left_semi")
+    once = held.groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.struct("contig_id", "pos")).alias("x")).filter("n = 1").select(F.col("kmer").alias("flank"), "x.contig_id", "x.pos")
+    rows = both.join(once, "flank").join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id")
+    own = F.filter("alleles", lambda a: F.expr("substring(contig, cast(pos as int) + 1)").startswith(a["seq"]))
+    # of alleles of which one begins with another, the contig has the longest
+    rows = rows.select("contig_id", "pos", "alleles", F.array_max(F.transform(own, lambda a: a["seq"])).alias("own")).filter("own is not null")
+    others = F.filter("alleles", lambda a: a["seq"] != F.col("own"))
+    lead = lambda of: F.array_min(F.transform(others, lambda a: of(F.col("own"), a["seq"])))
+    rows = rows.select("contig_id", "pos", "own", others.alias("others"), F.array_min(F.transform("alleles", lambda a: a["support"])).alias("support"), F.array_min(F.transform("alleles", lambda a: F.length(a["seq"]))).alias("least"), lead(S.common_prefix).alias("front"), lead(lambda x, y: S.common_prefix(F.reverse(x), F.reverse(y))).alias("back"))
+    # each allele keeps a base, and indels go as far left as they can
+    rows = rows.withColumn("back", F.least("back", F.col("least") - 1)).withColumn("front", F.least("front", F.col("least") - F.col("back") - 1))
+    cut = lambda c: F.substring(c, F.col("front") + 1, F.length(c) - F.col("front") - F.col("back"))
+    alts = F.array_join(F.sort_array(F.transform("others", lambda a: cut(a["seq"]))), ",")
+    return rows.select("contig_id", (F.col("pos") + F.col("front")).cast("long").alias("pos"), cut(F.col("own")).alias("ref"), alts.alias("alts"), (F.size("others") + 1).cast("long").alias("n_alleles"), "support").distinct()
+
+
 def coherent_reads(reads: DataFrame, fragments: DataFrame, k: int = 31) -> DataFrame:
     """(fragment_id, n_reads): distinct reads that hold the whole fragment, on either strand."""
     from readloom.operators.search import both_strands

@@ -701,6 +701,76 @@ def graph_bubbles(spark, sf_dir):
     return graph.bubbles(kmers.successors(nodes, K), K)
 
 
+_TRACES = f"""{_KMERS.replace("WITH", "WITH RECURSIVE", 1)}, nodes AS MATERIALIZED (SELECT *, substr(node, 2) AS tail, substr(node, 1, {K - 1}) AS head FROM (SELECT DISTINCT unnest([kmer, {_RC.format("kmer")}]) AS node, cnt FROM counts WHERE cnt >= 2)),
+succ AS MATERIALIZED (SELECT a.node, b.node AS next, b.cnt, count(*) OVER (PARTITION BY a.node) AS n FROM nodes a JOIN nodes b ON a.tail = b.head),
+walk AS (SELECT node, next AS branch, next AS at_, 0 AS depth, next AS text, cnt AS low FROM succ WHERE n > 1
+  UNION ALL SELECT w.node, branch, s.next, depth + 1, text || substr(s.next, {K}, 1), least(low, s.cnt) FROM walk w JOIN succ s ON w.at_ = s.node WHERE s.n = 1 AND depth < 60),
+seen AS (SELECT node, branch, at_, min(depth) AS depth, arg_min(text, depth) AS text, arg_min(low, depth) AS low FROM walk GROUP BY 1, 2, 3),
+met AS (SELECT node AS flank, at_ AS closes, sum(depth) AS total, count(*) AS n FROM seen GROUP BY 1, 2 HAVING count(*) > 1),
+near AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY flank ORDER BY total, n DESC, closes) = 1),
+sites AS (SELECT n.flank, n.closes, flank > {_RC.format("n.closes")} AS turn, substr(flank, 1, 1) || text AS seq, low FROM near n JOIN seen s ON n.flank = s.node AND n.closes = s.at_),
+groups AS (SELECT CASE WHEN turn THEN {_RC.format("closes")} ELSE flank END AS flank, CASE WHEN turn THEN {_RC.format("flank")} ELSE closes END AS closes, count(*) AS n_alleles,
+  string_agg(CASE WHEN turn THEN {_RC.format("seq")} ELSE seq END || ':' || low, ',' ORDER BY CASE WHEN turn THEN {_RC.format("seq")} ELSE seq END) AS alleles FROM sites s GROUP BY s.flank, s.closes, turn)"""
+
+
+def _variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.variant_groups(kmers.successors(kmers.oriented(_counts(spark, sf_dir)), K), K)
+
+
+@query(f"{_TRACES} SELECT DISTINCT flank, closes, alleles, n_alleles FROM groups")
+def variant_groups(spark, sf_dir):
+    found = _variant_groups(spark, sf_dir)
+    return found.withColumn("alleles", F.array_join(F.transform("alleles", lambda a: F.concat_ws(":", a["seq"], a["support"])), ","))
+
+
+_LCP = lambda a, b: f"coalesce(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1))[1] - 1, least(length({a}), length({b})))"
+
+
+@query(f"""{_TRACES}, {X.GENOME_SQL.replace("genome AS", "texts AS", 1)}, found AS (SELECT min(s.flank) AS flank, s.closes, list(seq ORDER BY seq) AS alleles, min(low) AS support FROM sites s GROUP BY s.flank, s.closes),
+both_ AS (SELECT flank, alleles, support FROM found UNION SELECT {_RC.format("closes")}, list_sort(list_transform(alleles, lambda x: {_RC.format("x")})), support FROM found),
+places AS (SELECT contig_id, seq, i AS pos, substr(seq, (i + 1)::BIGINT, {K}) AS kmer FROM (SELECT contig_id, seq, unnest(range(0, length(seq) - {K - 1})) AS i FROM texts)),
+once_ AS (SELECT kmer, min(contig_id) AS contig_id, min(pos) AS pos FROM places WHERE kmer IN (SELECT flank FROM both_) GROUP BY 1 HAVING count(*) = 1),
+put AS (SELECT contig_id, pos, alleles, support, list_max(list_filter(alleles, lambda x: substr(seq, (pos + 1)::BIGINT, length(x)) = x)) AS own FROM both_ JOIN once_ ON flank = kmer JOIN texts USING (contig_id)),
+more AS (SELECT *, list_filter(alleles, lambda x: x <> own) AS others FROM put WHERE own IS NOT NULL),
+ends AS (SELECT *, list_min(list_transform(others, lambda x: {_LCP("own", "x")})) AS lcp, list_min(list_transform(others, lambda x: {_LCP("reverse(own)", "reverse(x)")})) AS lcs, list_min(list_transform(alleles, lambda x: length(x))) AS short FROM more),
+cut AS (SELECT *, least(lcs, short - 1) AS back, least(lcp, short - 1 - least(lcs, short - 1)) AS front FROM ends)
+SELECT DISTINCT contig_id, (pos + front)::BIGINT AS pos, substr(own, front + 1, length(own) - front - back) AS ref, list_aggregate(list_sort(list_transform(others, lambda x: substr(x, front + 1, length(x) - front - back))), 'string_agg', ',') AS alts, (len(others) + 1)::BIGINT AS n_alleles, support FROM cut""")
+def anchored_groups(spark, sf_dir):
+    return calling.anchored_groups(_variant_groups(spark, sf_dir), X.genome(spark, sf_dir).select("contig_id", "seq"), K)
+
+
+@query()
+def superbubbles(spark, sf_dir):
+    return graph.superbubbles(graph.compacted(kmers.successors(kmers.oriented(_counts(spark, sf_dir)), K)))
+
+
+_TAILS = lambda a, b: f"CASE WHEN length(substr(ours, at_ + {a} + 1, 20)) = 20 AND length(substr(body, at_ + {b} + 1, 20)) = 20 THEN hamming(substr(ours, at_ + {a} + 1, 20), substr(body, at_ + {b} + 1, 20)) ELSE 20 END <= 1"
+
+
+@query(f"""WITH {X.READS_SQL}, over_ AS (SELECT read_id, r.contig_id, start, substr(g.seq, start + 1, length(body) + 50) AS ours, body FROM reads r JOIN genome g ON r.contig_id = g.contig_id WHERE start + length(body) <= length(g.seq) AND substr(g.seq, start + 1, length(body)) <> body),
+differ AS MATERIALIZED (SELECT *, list_filter(range(1, length(body) + 1), lambda i: substr(ours, i, 1) <> substr(body, i, 1))[1] - 1 AS at_ FROM over_),
+tried AS MATERIALIZED (SELECT *, list_filter(range(1, 31), lambda n: {_TAILS("n", "0")} OR {_TAILS("0", "n")})[1] AS size FROM differ WHERE at_ >= 12 AND length(body) - at_ >= 22),
+kinds AS (SELECT *, CASE WHEN {_TAILS("size", "0")} THEN 'D' ELSE 'I' END AS kind FROM tried WHERE size IS NOT NULL)
+SELECT contig_id, (start + at_)::BIGINT AS pos, kind, size::BIGINT AS size, substr(CASE WHEN kind = 'D' THEN ours ELSE body END, at_ + 1, size) AS bases, count(DISTINCT read_id) AS n_reads FROM kinds GROUP BY ALL HAVING count(DISTINCT read_id) >= 3""")
+def linked_gap_votes(spark, sf_dir):
+    placed = X.drawn_reads(spark, sf_dir).select("read_id", "contig_id", "start", F.col("body").alias("seq"))
+    return calling.linked_gaps(placed, X.genome(spark, sf_dir).select("contig_id", "seq"))
+
+
+_BASE = "substr(seq, site + 1, 1)"
+
+
+@query(f"""WITH {X.GENOME_SQL} SELECT contig_id::VARCHAR AS chrom, (site + 1)::BIGINT AS pos, {_BASE} AS ref, translate({_BASE}, 'ACGT', 'CGTA') || CASE WHEN contig_id % 9 = 0 THEN ',' || translate({_BASE}, 'ACGT', 'GTAC') ELSE '' END AS alt,
+CASE WHEN contig_id % 9 = 0 THEN '1/2' ELSE '0/1' END AS gt FROM genome WHERE contig_id % 3 = 0 AND contig_id % 4 <> 3 AND contig_id % 5 <> 0""")
+def pair_lift(spark, sf_dir):
+    g = X.genome(spark, sf_dir).withColumn("rname", F.col("contig_id").cast("string"))
+    own, other = (f"substr(seq, site - 9, 10) || {base} || substr(seq, site + 2, 13)" for base in (_BASE, f"translate({_BASE}, 'ACGT', 'GTAC')"))
+    first, second = f"case when contig_id % 9 = 0 or contig_id % 2 = 1 then substr(second, site - 9, 24) else {own} end", f"case when contig_id % 9 = 0 then {other} when contig_id % 2 = 1 then {own} else substr(second, site - 9, 24) end"
+    rows = g.filter("contig_id % 3 = 0").select("rname", F.expr("case when contig_id % 2 = 1 then 16 else 0 end").alias("flag"), F.expr("case when contig_id % 5 = 0 then 10 else 60 end").alias("mapq"), F.expr("site - 9 + case contig_id % 4 when 0 then 5 when 1 then -1 else 0 end").cast("long").alias("pos"), F.expr("case contig_id % 4 when 0 then '5S19M' when 1 then '6M1D18M' when 3 then '9M3I12M' else '24M' end").alias("cigar"), F.expr(first).alias("seq"), F.expr(second).alias("b"))
+    turned = lambda c: F.when(F.col("flag") == 16, S.reverse_complement(F.col(c))).otherwise(F.col(c))
+    return evaluate.lift_pairs(rows.select(turned("seq").alias("a"), turned("b").alias("b")), rows, g.select(F.col("rname").alias("chrom"), "seq"))
+
+
 @query(f"WITH {X.READS_SQL}, f AS (SELECT contig_id AS fragment_id, substr(second, site - 11, 24) AS s FROM genome WHERE second <> seq), b AS (SELECT fragment_id, s FROM f UNION SELECT fragment_id, {_RC.format('s')} FROM f), k AS (SELECT read_id, seq, unnest(list_transform(range(1, (length(seq) - 19)::BIGINT), lambda i: substr(seq, i, 20))) AS kmer FROM reads) SELECT fragment_id, count(DISTINCT read_id) AS n_reads FROM b JOIN k ON kmer = substr(s, 1, 20) WHERE contains(seq, s) GROUP BY 1")
 def read_coherence(spark, sf_dir):
     fragments = X.genome(spark, sf_dir).filter("second <> seq").select(F.col("contig_id").alias("fragment_id"), F.expr("substr(second, site - 11, 24)").alias("seq"))

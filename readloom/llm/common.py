@@ -235,6 +235,15 @@ def sample(rows: DataFrame, order: list, most_rows: int, most_bytes: int) -> pa.
     return found.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
 
+def partition_starts(df: DataFrame, at: str) -> np.ndarray:
+    """Rows before each partition, by its number, where ``at`` is monotonically_increasing_id of a written table: one row a partition comes here."""
+    sizes = df.groupBy(F.shiftright(at, 33).alias("p")).count().collect()
+    out = np.zeros(max((r.p for r in sizes), default=0) + 2, np.int64)
+    for r in sizes:
+        out[r.p + 1] = r["count"]
+    return np.cumsum(out)[:-1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

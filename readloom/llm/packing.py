@@ -150,10 +150,10 @@ def plan(counts: np.ndarray, most: int = MOST, step: float = STEP) -> Plan:
         out.append(([(most, 1)], int(left[most])))
         left[most] = 0
     if left.any():
-        share = {c: x for c, x in fractions(left, most, step).items() if sum(k * copies for k, copies in c) == most}
-        down = sorted(share.items(), key=lambda x: (-x[1], x[0]))
-        up = sorted(share.items(), key=lambda x: (-x[0][-1][0], -x[1], x[0]))  # the longest pieces are the hardest to place
-        for ordered, wanted in ((down, lambda x: int(x)), (up, lambda x: int(x > int(x)))):
+        share = sorted(fractions(left, most, step).items(), key=lambda x: (-x[1], x[0]))
+        full = [x for x in share if sum(k * copies for k, copies in x[0]) == most]
+        # down for all of them; up for full ones, those of the longest pieces first, which are the hardest to place
+        for ordered, wanted in ((share, lambda x: int(x)), (sorted(full, key=lambda x: -x[0][-1][0]), lambda x: int(x > int(x)))):
             for chosen, x in ordered:
                 times = min(wanted(x), min(int(left[k]) // copies for k, copies in chosen))
                 if times > 0:

@@ -122,10 +122,10 @@ def test_fractions_cover_and_stay_near_the_bound():
 
 def test_a_hot_length_and_huge_counts():
     counts = np.zeros(2049, np.int64)
-    counts[[700, 683, 1365, 2048, 1]] = [10**12, 10**12, 10**9, 10**12, 5]
+    counts[[700, 682, 1366, 2048, 1]] = [10**12, 10**12, 10**9, 10**12, 5]
     made = packing.plan(counts)
     bound = -(-int(counts @ np.arange(2049)) // 2048)
-    assert bound <= made.sequences and made.sequences - 10**12 <= 1.05 * (bound - 10**12) and len(made.configurations) < 10_000
+    assert bound <= made.sequences and made.sequences - 10**12 <= 10**12 // 2 + 10**12 // 3 + 10**9 and len(made.configurations) < 10_000
 
 
 def test_hot_lengths_extra_columns_and_odd_tables(spark):

@@ -17,6 +17,7 @@ distributed sort, and a piece's number gives its sequence and its place by a sea
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,9 +34,12 @@ from readloom.llm import common
 
 MOST = 2048
 STEP = 0.25
-CACHED = 1 << 17
+SLICE = 1 << 22  # bytes of texts encoded together
+CACHED, CACHED_BYTES = 1 << 20, 1 << 26  # parts that a worker remembers, and their bytes
 MISSED = 64
 _SOLID = common.table_of(lambda b: b not in (0x20, 0x0A))  # both are white space to the tokenizer, so no token spans them
+_LETTER = common.table_of(lambda b: chr(b).isalpha() and b < 128)
+_SIGN = common.table_of(lambda b: 0x20 < b < 0x7F and not chr(b).isalnum() and b != 0x27)
 
 
 # The plan: from a histogram to configurations
@@ -194,53 +198,102 @@ class Slots:
 # Pieces
 
 
-@cache
-def _tokenizer(model: str):
-    from tokenizers import Tokenizer
+# What the tokenizer file has to say, for its texts to be encoded in parts.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
-    return Tokenizer.from_str(model)
+def _in_parts(model: str) -> bool:
+    """Whether tokens of this file never span white space or the border of a letter and a sign, wherever they stand."""
+    said = json.loads(model)
+    normal, first = said["normalizer"] or {}, ((said["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    steps = [x["type"] for x in normal.get("normalizers", [])]
+    white = all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal.get("normalizers", []) if x["type"] == "Replace")
+    return steps == NORMAL and white and first.get("pattern") == {"Regex": WORDS} and first.get("behavior") == "Removed" and first.get("invert") is True and not said["post_processor"]
 
 
 class Encoder:
-    """Ids of the texts of a slice: each distinct run of bytes between spaces is encoded once and short ones are remembered."""
+    """Ids of the texts of a slice, by parts: each distinct part is encoded once and remembered, as long as there is room.
+
+    Parts are runs without spaces and newlines, cut between an ASCII letter and an ASCII sign other
+    than the apostrophe: there no token of such a tokenizer goes on, and no character joins with the
+    next.  A slice that holds the string of a special token is cut at spaces and newlines alone.
+    """
 
     def __init__(self, model: str):
-        self.model, self.known = _tokenizer(model), {}
-
-    def runs(self, distinct: list[bytes]) -> list[np.ndarray]:
-        new = [x for x in distinct if x not in self.known]
-        found = {}
-        if new:
-            coded = self.model.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            found = {x: np.array(e.ids, np.uint32) for x, e in zip(new, coded, strict=True)}
-        out = [found[x] if x in found else self.known[x] for x in distinct]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        self.known.update((x, ids) for x, ids in found.items() if len(x) <= 64)
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
+        self.model, self.parted = Tokenizer.from_str(model), _in_parts(model)
+        self.special = [x["content"].encode() for x in json.loads(model)["added_tokens"]]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.bytes, self.size = {}, 0, 0
+        self.begin, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+
+    def _places(self, distinct: list[bytes]) -> np.ndarray:
+        """The place of each part in the store, to which the new ones are added."""
+        if len(self.known) > CACHED or self.bytes > CACHED_BYTES:
+            self._forget()
+        out = np.fromiter((self.known.get(x, -1) for x in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(out < 0)
+        for at in range(0, len(new), 4096):  # an encoding is much larger than its ids
+            some = [distinct[i] for i in new[at : at + 4096]]
+            coded = [e.ids for e in self.model.encode_batch([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
+            first = len(self.known)
+            ends = self.size + np.cumsum([len(ids) for ids in coded])
+            while len(self.begin) <= first + len(some):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            while len(self.flat) < ends[-1]:
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.begin[first + 1 : first + 1 + len(some)] = ends
+            self.flat[self.size : ends[-1]] = [x for ids in coded for x in ids]
+            self.size = int(ends[-1])
+            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+            self.bytes += sum(map(len, some))
+            out[new[at : at + 4096]] = np.arange(first, first + len(some))
         return out
 
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes and bounds of the parts, and the first part of each text (one more than texts)."""
+        if not self.parted:
+            return data, offsets, np.arange(len(offsets))
+        solid = _SOLID[data]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        raw = data.tobytes()
+        if not any(x in raw for x in self.special):
+            letter, sign = _LETTER[data], _SIGN[data]
+            begins[1:] |= letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
+        begins &= solid
+        kept = np.ascontiguousarray(data[solid])
+        bounds = np.concatenate([np.flatnonzero(begins[solid]), [len(kept)]])
+        return kept, bounds, np.searchsorted(np.flatnonzero(begins), offsets)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and where each text's begin (one more than texts)."""
         n_docs = len(offsets) - 1
-        w = common.words(data, offsets, _SOLID)
-        solid = np.ascontiguousarray(data[_SOLID[data]]) if len(data) else data
-        bounds = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(bounds), pa.py_buffer(solid)]).dictionary_encode()
-        coded = self.runs(words.dictionary.to_pylist())
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(x) for x in coded], np.int64)
-        flat = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[codes]
+        kept, bounds, first_part = self._parts(data, offsets)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))]).dictionary_encode()
+        place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        begin = self.begin[place]
+        each = self.begin[place + 1] - begin
         upto = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(begin[codes] - upto[:-1], each) + np.arange(upto[-1])
-        first = upto[w.first] + np.arange(n_docs + 1)  # an end for each text before
+        at = np.repeat(begin - upto[:-1], each) + np.arange(upto[-1])
+        first = upto[first_part] + np.arange(n_docs + 1)  # an end for each text before
         out = np.full(int(first[-1]), end, np.uint32)
-        out[np.arange(upto[-1]) + np.repeat(np.arange(n_docs), np.diff(upto[w.first]))] = flat[at]
+        out[np.arange(upto[-1]) + np.repeat(np.arange(n_docs), np.diff(upto[first_part]))] = self.flat[at]
         return out, first
 
 
+@cache
+def _encoder(model: str) -> Encoder:
+    """A worker keeps what it knows from one task to the next."""
+    return Encoder(model)
+
+
 def pieces(df: DataFrame, text: str = "text", most: int = MOST, tokenizer: str | None = None, end: int = 0) -> DataFrame:
     """One row for each piece of each row of ``df``: its columns but ``text``, and piece, start, length and ids.
 
@@ -257,9 +310,9 @@ def pieces(df: DataFrame, text: str = "text", most: int = MOST, tokenizer: str |
     rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = _encoder(model.value)
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "_text"):
+            for part, data, offsets in common.slices(batch, "_text", SLICE):
                 ids, first = encoder.encode(data, offsets, end)
                 size = np.diff(first)
                 many = -(-size // most)

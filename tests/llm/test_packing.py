@@ -70,6 +70,31 @@ def test_whole_table(spark):
     assert gapless([(r.length, r.sequence_id, r.offset) for r in got], 2048) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aB'sT.,<|> \n\té\u0301\u0338=1日İ😀\u00a0\u3000", max_size=30), min_size=1, max_size=5))
+def test_parts_give_the_ids_of_whole_texts(texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    with open(PATH, encoding="utf-8") as file:
+        encoder = packing._encoder(file.read())
+    ids, first = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), offsets, 0)
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == [*encoder.model.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_another_tokenizer_and_a_full_memory(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    got = packing.pieces(spark.createDataFrame(texts()[:40], "doc_id long, text string"), tokenizer=path, most=10**6, end=50256).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == {i: [*model.encode(t or "", add_special_tokens=False).ids, 50256] for i, t in texts()[:40]}
+    monkeypatch.setattr(packing, "CACHED", 3)
+    with open(PATH, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    for text in ("one two three four five", "six one two", "", "three, four"):
+        raw = text.encode()
+        assert encoder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0)[0].tolist() == [*encoder.model.encode(text, add_special_tokens=False).ids, 0]
+
+
 def exact(lengths, most):
     """Fewest sequences, by trying all ways."""
     best = len(lengths)

@@ -21,12 +21,14 @@ from readloom.llm import common
 
 SAMPLE_ROWS = 5000  # labelled rows that training takes at most
 SAMPLE_BYTES = 32 << 20  # bytes of text that training takes at most, all texts together
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 64, 32
 HIDDEN, EMBED = 8, 4
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 PRIOR_WEIGHT = 4.0
-EPOCHS = (3, 2, 2)
+EPOCHS = (3, 3, 3)
+FOLDS = 5  # a text's odds in training come from the other folds
+RATE = 2.0  # of the embeddings' steps
 LEAST_STEPS = 120  # in each round, of batches of 256 windows
 BLOCK = 4096
 SLICE = 1 << 19
@@ -190,24 +192,41 @@ def window_scores(net: Network, d: Distinct, start: np.ndarray, size: np.ndarray
 
 
 class _Odds:
-    """Log odds of a toxic document, for each bucket, by documents that have it, drawn to the overall odds."""
+    """Log odds of a toxic document, for each bucket, by documents that have it, drawn to the overall odds; counted by fold."""
 
     def __init__(self, buckets: int):
-        self.yes, self.every = np.zeros(buckets), np.zeros(buckets)
+        self.yes, self.every = np.zeros((FOLDS, buckets)), np.zeros((FOLDS, buckets))
 
-    def add(self, bucket: np.ndarray, doc: np.ndarray, label: np.ndarray) -> None:
+    def add(self, bucket: np.ndarray, doc: np.ndarray, label: np.ndarray, fold: np.ndarray) -> None:
         pairs = np.unique(bucket * len(label) + doc)
-        bucket, toxic = pairs // len(label), label[pairs % len(label)]
-        self.yes += np.bincount(bucket, toxic, len(self.yes))
-        self.every += np.bincount(bucket, minlength=len(self.yes))
+        bucket, doc = pairs // len(label), pairs % len(label)
+        for k in range(FOLDS):
+            some = fold[doc] == k
+            self.yes[k] += np.bincount(bucket[some], label[doc[some]], self.yes.shape[1])
+            self.every[k] += np.bincount(bucket[some], minlength=self.yes.shape[1])
 
-    def table(self, share: float) -> np.ndarray:
-        odds = np.log((self.yes + PRIOR_WEIGHT * share) / (self.every - self.yes + PRIOR_WEIGHT * (1 - share))) - np.log(share / (1 - share))
-        return np.where(self.every > 0, odds, 0).astype(np.float32)
+    def table(self, share: float, without: int | None = None) -> np.ndarray:
+        """By all documents, or by those of the other folds."""
+        kept = [k for k in range(FOLDS) if k != without]
+        yes, every = self.yes[kept].sum(0), self.every[kept].sum(0)
+        odds = np.log((yes + PRIOR_WEIGHT * share) / (every - yes + PRIOR_WEIGHT * (1 - share))) - np.log(share / (1 - share))
+        return np.where(every > 0, odds, 0).astype(np.float32)
 
 
-def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinct, np.ndarray]:
-    """The distinct words of all texts, slice by slice, and each text's first word; sets the network's odds."""
+@dataclass
+class Folds:
+    """The fold of each text, and the odds that are its texts' inputs in training: those of the other folds, so that no text's own label is among them."""
+
+    fold: np.ndarray
+    odds: list[tuple[np.ndarray, np.ndarray]]
+
+    def use(self, net: Network, k: int) -> None:
+        net.word_odds, net.gram_odds = self.odds[k]
+
+
+def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinct, np.ndarray, Folds]:
+    """The distinct words of all texts, slice by slice, each text's first word, and the folds; sets the network's odds to those of all texts."""
+    fold = np.arange(len(label)) % FOLDS
     word_odds, gram_odds = _Odds(WORD_ROWS), _Odds(GRAM_ROWS)
     batch, at, slices_, counts = pa.RecordBatch.from_arrays([texts], ["text"]), 0, [], []
     for _, data, offsets in common.slices(batch, "text", SLICE):
@@ -217,12 +236,14 @@ def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinc
         if not len(found.start):
             continue
         d = distinct_words(data, found)
-        word_odds.add(d.row[d.which], found.doc, own)
+        part = fold[at - len(own) : at]
+        word_odds.add(d.row[d.which], found.doc, own, part)
         pairs = np.unique(found.doc * len(d.row) + d.which)  # each word once a document
-        gram_odds.add(_grams_of(d, pairs % len(d.row)), np.repeat(pairs // len(d.row), np.diff(d.first)[pairs % len(d.row)]), own)
+        gram_odds.add(_grams_of(d, pairs % len(d.row)), np.repeat(pairs // len(d.row), np.diff(d.first)[pairs % len(d.row)]), own, part)
         slices_.append(d)
     share = float(np.clip(label.mean(), 0.01, 0.99))
     net.word_odds, net.gram_odds = word_odds.table(share), gram_odds.table(share)
+    folds = Folds(fold, [(word_odds.table(share, k), gram_odds.table(share, k)) for k in range(FOLDS)])
     names = np.unique(np.concatenate([d.name for d in slices_])) if slices_ else np.zeros(0, np.uint64)
     number, which, rows, grams, many, n = np.full(len(names), -1), [], [], [], [], 0
     for d in slices_:
@@ -235,48 +256,60 @@ def _gathered(texts: pa.Array, label: np.ndarray, net: Network) -> tuple[Distinc
         grams.append(_grams_of(d, new).astype(np.int32))
         many.append(np.diff(d.first)[new])
     joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return Distinct(joined(which), names, joined(rows), joined(grams), np.concatenate([[0], np.cumsum(joined(many))])), np.concatenate([[0], np.cumsum(joined(counts))])
+    return Distinct(joined(which), names, joined(rows), joined(grams), np.concatenate([[0], np.cumsum(joined(many))])), np.concatenate([[0], np.cumsum(joined(counts))]), folds
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Network:
     """Fit on whole texts with document labels: in each round the windows that now score worst stand for their document."""
     net, rng = Network(seed), np.random.default_rng(seed)
     label = labels.astype(np.float32)
-    d, first = _gathered(texts, label, net) if len(label) else (None, None)
+    d, first, folds = _gathered(texts, label, net) if len(label) else (None, None, None)
     if d is None or not len(d.which) or not 0 < label.mean() < 1:
         net.dense["o"][:] = 0  # one class alone: its share for every text
         net.dense["c"][0] = np.log((label.sum() + 1) / (len(label) - label.sum() + 9))
         return net
+    whole = net.word_odds, net.gram_odds
     start, size, doc = windows(first)
+    part = folds.fold[doc]
     blank, memory, step = len(d.row), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}, 0
     for number, epochs in enumerate(EPOCHS):
-        if number:
-            worst = window_scores(net, d, start, size)
-        else:
-            odds = net.inputs(d)[:, 2 * EMBED + 1]
-            odds[blank] = -np.inf
-            worst = np.concatenate([odds[_indices(start[lo : lo + BLOCK], size[lo : lo + BLOCK], d.which, blank)[0]].max(0) for lo in range(0, len(start), BLOCK)])
+        worst = np.zeros(len(doc), np.float32)
+        for k in range(FOLDS):
+            folds.use(net, k)
+            some = np.flatnonzero(part == k)
+            if number:
+                worst[some] = window_scores(net, d, start[some], size[some])
+            else:
+                odds = net.inputs(d)[:, 2 * EMBED + 1]
+                odds[blank] = -np.inf
+                for lo in range(0, len(some), BLOCK):
+                    own = some[lo : lo + BLOCK]
+                    worst[own] = odds[_indices(start[own], size[own], d.which, blank)[0]].max(0)
         order = np.lexsort((-worst, doc))
         rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
         chosen = order[(rank < 1) | ((label[doc[order]] == 0) & ((rank < 2) | (rng.random(len(doc)) < 0.03)))]
-        batches = max(1, len(chosen) // 256)
-        for _ in range(max(epochs, -(-LEAST_STEPS // batches))):
-            for batch in np.array_split(rng.permutation(chosen), batches):
+        batches = max(1, len(chosen) // (256 * FOLDS))
+        for _ in range(max(epochs, -(-LEAST_STEPS // (batches * FOLDS)))):
+            dealt = [(k, batch) for k in range(FOLDS) for batch in np.array_split(rng.permutation(chosen[part[chosen] == k]), batches) if len(batch)]
+            for at in rng.permutation(len(dealt)):
+                k, batch = dealt[at]
+                folds.use(net, k)
                 index, mask = _indices(start[batch], size[batch], d.which, blank)
                 own, local = np.unique(index, return_inverse=True)
                 x = _some_inputs(net, d, own)
                 dense, rows = net.gradients(x, local.reshape(index.shape), mask, label[doc[batch]])
                 step += 1
-                for k, g in dense.items():
-                    m, v = memory[k]
+                for name, g in dense.items():
+                    m, v = memory[name]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    net.dense[k] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    net.dense[name] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
                 real = own < blank
-                net.word -= 2.0 * _sums(d.row[own[real]], rows[real, :EMBED], WORD_ROWS)
+                net.word -= RATE * _sums(d.row[own[real]], rows[real, :EMBED], WORD_ROWS)
                 many = np.diff(d.first)[own[real]]
                 share = rows[real, EMBED : 2 * EMBED] / np.maximum(many, 1)[:, None]
-                net.gram -= 2.0 * _sums(_grams_of(d, own[real]), np.repeat(share, many, axis=0), GRAM_ROWS)
+                net.gram -= RATE * _sums(_grams_of(d, own[real]), np.repeat(share, many, axis=0), GRAM_ROWS)
+    net.word_odds, net.gram_odds = whole
     return net
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
 
+EVENTS = "pair_id long, at long, kind string, size long, bases string"
 LEAST_DEPTH, LEAST_MINOR, LEAST_QUALITY, LEAST_RATIO, LEAST_SHARE = 6, 2, 20, 10.0, 0.20
 
 
@@ -180,40 +181,47 @@ def coherent_reads(reads: DataFrame, fragments: DataFrame, k: int = 31) -> DataF
     return rows.join(asked, "kmer").filter(F.contains("seq", F.col("probe"))).groupBy(F.col("probe_id").alias("fragment_id")).agg(F.count_distinct("read_id").alias("n_reads"))
 
 
-def scan_pairs(pairs: DataFrame, flank: int = 15, most: int = 30, least_match: int = 12, events: int = 12) -> DataFrame:
-    """(pair_id, at, kind, size, bases): gaps along two sequences from their starts, one row each (several a pair).
+def gap_events(a: str, b: str, flank: int = 15, most: int = 30, least_match: int = 12, events: int = 12) -> Iterator[tuple[int, str, int, str]]:
+    """(at, kind, size, bases) of the gaps along two sequences from their starts.
 
     An event needs ``least_match`` equal bases before it and a tail of ``flank`` bases with at most
     one difference after it; deletions are tried before insertions at each size.  Differences
-    without an event are stepped over.  The walk is sequential in a pair, so pairs run in batches.
+    without an event are stepped over.
     """
+    i, j, run = 0, 0, 0
+    while i < len(a) and j < len(b) and events:
+        if a[i] == b[j]:
+            i, j, run = i + 1, j + 1, run + 1
+            continue
+        sizes = ((n, kind) for n in range(1, most + 1) for kind in "DI") if run >= least_match else ()
+        run = 0
+        for n, kind in sizes:
+            x, y = (i + n, j) if kind == "D" else (i, j + n)
+            ta, tb = a[x : x + flank], b[y : y + flank]
+            if len(ta) == len(tb) == flank and sum(p != q for p, q in zip(ta, tb, strict=True)) <= 1:
+                yield i, kind, n, a[i:x] if kind == "D" else b[j:y]
+                i, j, events = x, y, events - 1
+                break
+        else:
+            i, j = i + 1, j + 1
+
+
+def scan_pairs(pairs: DataFrame, flank: int = 15, most: int = 30, least_match: int = 12, events: int = 12) -> DataFrame:
+    """(pair_id, at, kind, size, bases): ``gap_events`` of each pair.  The walk is sequential in a pair, so pairs run in Arrow batches."""
 
-    def walk(a: str, b: str) -> list[tuple[int, str, int, str]]:
-        i, j, run, out = 0, 0, 0, []
-        while i < len(a) and j < len(b) and len(out) < events:
-            if a[i] == b[j]:
-                i, j, run = i + 1, j + 1, run + 1
-                continue
-            found = None
-            if run >= least_match:
-                for n in range(1, most + 1):
-                    for kind, x, y in (("D", i + n, j), ("I", i, j + n)):
-                        ta, tb = a[x : x + flank], b[y : y + flank]
-                        if found is None and len(ta) == len(tb) == flank and sum(p != q for p, q in zip(ta, tb, strict=True)) <= 1:
-                            found = (kind, n, x, y)
-                    if found:
-                        break
-            if found:
-                kind, n, x, y = found
-                out.append((i, kind, n, a[i:x] if kind == "D" else b[j:y]))
-                i, j, run = x, y, 0
-            else:
-                i, j, run = i + 1, j + 1, 0
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r.pair_id, *e) for r in batch.itertuples() for e in walk(r.left, r.right)]
-            yield pd.DataFrame(rows, columns=["pair_id", "at", "kind", "size", "bases"])
+            yield from event_batches(batch, flank, most, least_match, events)
+
+    return pairs.select("pair_id", "left", "right").mapInArrow(run, EVENTS)
+
 
-    return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id long, at long, kind string, size long, bases string")
+def event_batches(batch: pa.RecordBatch, *limits: int) -> Iterator[pa.RecordBatch]:
+    """``gap_events`` of the rows (pair_id, left, right) of a batch; a null side has none."""
+    ids, found = [], []
+    for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        for event in gap_events(a or "", b or "", *limits):
+            ids.append(i)
+            found.append(event)
+    at, kind, size, bases = zip(*found, strict=True) if found else ((), (), (), ())
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())).cast(pa.int64()), pa.array(at, pa.int64()), pa.array(kind, pa.string()), pa.array(size, pa.int64()), pa.array(bases, pa.string())], ["pair_id", "at", "kind", "size", "bases"])

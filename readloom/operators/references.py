@@ -65,10 +65,61 @@ def both_strand_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: s
     return forward.unionByName(self_matches(texts, seed, most, key, turned=True).withColumn("turned", F.lit(True)))
 
 
+def tolerant(refs: DataFrame, texts: DataFrame, most: int = 2, key: str = "contig_id") -> DataFrame:
+    """References that go on over differences: runs of one diagonal with at most ``most`` bases between them are one.
+
+    refs: maximal exact runs, with ``turned`` or without.  edits: (off, base) of each base of the destination that the
+    source doesn't give, off counted from the reference's first base; it begins and ends with equal bases, as exact runs
+    do.  Runs are gaps and islands of a diagonal; only references that hold a difference meet their texts.
+    """
+    sides = ["turned"] if "turned" in refs.columns else []
+    turn = F.col("turned") if sides else F.lit(False)
+    along = F.when(turn, F.col("dst") + F.col("src") + F.col("size")).otherwise(F.col("dst") - F.col("src"))
+    by = Window.partitionBy("dst_id", "src_id", "along", *sides).orderBy("dst")
+    rows = refs.withColumn("along", along).withColumn("gap", F.col("dst") - F.lag(F.col("dst") + F.col("size")).over(by))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= most, 0).otherwise(1)).over(by))
+    gaps = F.collect_list(F.when(F.col("gap") <= most, F.struct(F.col("dst").alias("to"), "gap")))
+    joined = rows.groupBy("dst_id", "src_id", "along", *sides, "run").agg(F.min("dst").alias("dst"), F.min("src").alias("src"), F.max(F.col("dst") + F.col("size")).alias("end"), gaps.alias("gaps"))
+    joined = joined.select("dst_id", "src_id", "dst", "src", (F.col("end") - F.col("dst")).alias("size"), *sides, "gaps")
+    plain = joined.filter(F.size("gaps") == 0).select("dst_id", "src_id", "dst", "src", "size", *sides, F.expr("cast(array() as array<struct<off: int, base: string>>)").alias("edits"))
+    over = joined.filter(F.size("gaps") > 0).join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")), "dst_id").join(texts.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")), "src_id")
+    source = F.expr("substring(ss, cast(src as int) + 1, cast(size as int))")
+    over = over.withColumns({"theirs": F.when(F.col("turned"), S.reverse_complement(source)).otherwise(source) if sides else source, "ours": F.expr("substring(sd, cast(dst as int) + 1, cast(size as int))")})
+    places = F.flatten(F.transform("gaps", lambda g: F.sequence(g["to"] - g["gap"] - F.col("dst"), g["to"] - 1 - F.col("dst"))))
+    letters = F.transform(places, lambda o: F.struct(o.cast("int").alias("off"), F.substring(F.col("ours"), o.cast("int") + 1, F.lit(1)).alias("base")))
+    edits = F.array_sort(F.filter(letters, lambda e: e["base"] != F.substring(F.col("theirs"), e["off"] + 1, F.lit(1))))
+    return plain.unionByName(over.select("dst_id", "src_id", "dst", "src", "size", *sides, edits.alias("edits")))
+
+
+def adaptive_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id", k: int = 31, stride: int = 41, least_share: float = 0.024, differences: int = 2) -> DataFrame:
+    """References of both strands, over up to ``differences`` bases in a row where the texts look heterozygous.
+
+    They do if of the k-mers at every ``stride``-th place (a sampling operator) a share of ``least_share`` is seen exactly twice.
+    """
+    seen = texts.select(F.inline(S.kmers(F.col("seq"), k))).filter(F.col("pos") % stride == 0).groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    share = seen.agg(F.coalesce(F.avg((F.col("n") == 2).cast("double")), F.lit(0.0)).alias("share")).first().share
+    return tolerant(both_strand_matches(texts, seed, most, key), texts, differences if share >= least_share else 0, key)
+
+
+def edit_calls(refs: DataFrame, texts: DataFrame, key: str = "contig_id") -> DataFrame:
+    """(chrom, pos from 1, ref, alt, info): substitutions that tolerant references pass over, as calls against the source's text.
+
+    A difference seen from several destinations is one call, with their number; of a source read on its
+    other strand, place and letters are turned back.
+    """
+    turn = F.col("turned") if "turned" in refs.columns else F.lit(False)
+    rows = refs.select("src_id", "dst_id", turn.alias("turned"), "src", "size", F.explode("edits").alias("e"))
+    at = F.when(F.col("turned"), F.col("src") + F.col("size") - 1 - F.col("e.off")).otherwise(F.col("src") + F.col("e.off"))
+    alt = F.when(F.col("turned"), F.translate("e.base", "ACGT", "TGCA")).otherwise(F.col("e.base"))
+    votes = rows.groupBy(F.col("src_id").alias("chrom"), at.alias("at"), alt.alias("alt")).agg(F.count_distinct("dst_id").alias("n"))
+    letter = F.expr("substring(seq, cast(at as int) + 1, 1)")
+    return votes.join(texts.select(F.col(key).alias("chrom"), "seq"), "chrom").select("chrom", (F.col("at") + 1).alias("pos"), letter.alias("ref"), "alt", F.concat(F.lit("MEM;SUP="), F.col("n")).alias("info"))
+
+
 def trimmed(refs: DataFrame) -> DataFrame:
     """References trimmed at their left to begin where no earlier one reaches, per destination; what is left empty goes.
 
-    With a column ``turned``, a reference of the other strand loses the end of its source.
+    With a column ``turned``, a reference of the other strand loses the end of its source; with ``edits``, those that are left move.
     """
     sides = ["turned"] if "turned" in refs.columns else []
     skipped = F.when(F.col("turned"), 0).otherwise(F.col("cut")) if sides else F.col("cut")
@@ -76,7 +127,8 @@ def trimmed(refs: DataFrame) -> DataFrame:
     reach = F.max(F.col("dst") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.greatest(F.coalesce(reach - F.col("dst"), F.lit(0)), F.lit(0))
     rows = refs.withColumn("cut", cut).filter("cut < size")
-    return rows.select("dst_id", "src_id", (F.col("dst") + F.col("cut")).alias("dst"), (F.col("src") + skipped).alias("src"), (F.col("size") - F.col("cut")).alias("size"), *sides)
+    edits = [F.transform(F.filter("edits", lambda e: e["off"] >= F.col("cut")), lambda e: F.struct((e["off"] - F.col("cut")).cast("int").alias("off"), e["base"].alias("base"))).alias("edits")] if "edits" in refs.columns else []
+    return rows.select("dst_id", "src_id", (F.col("dst") + F.col("cut")).alias("dst"), (F.col("src") + skipped).alias("src"), (F.col("size") - F.col("cut")).alias("size"), *sides, *edits)
 
 
 def literals(texts: DataFrame, refs: DataFrame, key: str = "contig_id") -> DataFrame:
@@ -92,6 +144,7 @@ def rebuilt(texts: DataFrame, refs: DataFrame, literal: DataFrame, key: str = "c
     """(dst_id, seq): literals and references put together again (sources are read from ``texts``)."""
     source = F.expr("substring(seq, cast(src as int) + 1, cast(size as int))")
     bases = F.when(F.col("turned"), S.reverse_complement(source)).otherwise(source) if "turned" in refs.columns else source
+    bases = F.when(F.size("edits") > 0, S.with_letters(bases, F.col("edits.off"), F.col("edits.base"))).otherwise(bases) if "edits" in refs.columns else bases
     copied = refs.join(texts.select(F.col(key).alias("src_id"), "seq"), "src_id").select("dst_id", F.col("dst").alias("start"), bases.alias("bases"))
     return copied.union(literal).groupBy("dst_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("start", "bases"))).getField("bases"), "").alias("seq"))
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import session
+from readloom.functions import registered
 from readloom.functions import sequence as S
-from readloom.operators import assembly, calling, evaluate, filters, graph, intervals, kmers, product, reads, references, search
+from readloom.operators import archive, assembly, calling, evaluate, filters, graph, intervals, kmers, product, reads, references, search
 from readloom.plans import fixtures as X
-from readloom.sources import files
+from readloom.sources import files, records
 from readloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,13 +251,45 @@ def overlap_edges(spark, sf_dir):
 
 @query()
 def greedy_chain(spark, sf_dir):
-    return assembly.greedy_links(assembly.overlap_edges(_oriented_unique(spark, sf_dir)))
+    return assembly.sweep_links(_oriented_unique(spark, sf_dir))
 
 
 @query()
 def assembled_contigs(spark, sf_dir):
     unique = _oriented_unique(spark, sf_dir)
-    return assembly.contigs(unique, assembly.greedy_links(assembly.overlap_edges(unique)))
+    return assembly.contigs(unique, assembly.sweep_links(unique))
+
+
+@query()
+def two_round_contigs(spark, sf_dir):
+    unique = session.cut(_oriented_unique(spark, sf_dir))
+    links, alone = assembly.two_rounds(unique, 40, 30)
+    chained = unique.join(alone.select("uid").hint("merge"), "uid", "left_anti")
+    return assembly.contigs(chained, links).unionByName(alone.select(F.col("uid").alias("contig_id"), F.lit(0).cast("long").alias("n_reads"), "seq"))
+
+
+_ONCE = f"WITH {X.READS_SQL}, once AS (SELECT * FROM reads QUALIFY count(*) OVER (PARTITION BY read_id) = 1)"
+_FASTQ = "name, seq, CASE WHEN read_id % 3 = 0 THEN '+' || substr(name, 2) ELSE '+' END AS plus, repeat(chr((33 + q)::INT), len::INT) AS qual"
+
+
+def _fastq_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.fastq(X.drawn_reads(spark, sf_dir))
+    return rows.join(rows.groupBy("read_id").agg(F.count("*").alias("n")).filter("n = 1").select("read_id"), "read_id")
+
+
+@query(f"{_ONCE} SELECT read_id, {_FASTQ} FROM once")
+def archive_reads(spark, sf_dir):
+    path = session.new_folder(spark)
+    archive.encode(_fastq_once(spark, sf_dir), path, archive.EncodeSettings(classify=44, build=36, again=36))
+    return archive.decode(spark, path)
+
+
+@query(f"WITH {X.READS_SQL} SELECT {_FASTQ} FROM reads")
+def fastq_records(spark, sf_dir):
+    path = session.new_folder(spark)
+    files.write_fastq(X.fastq(X.drawn_reads(spark, sf_dir)), path)
+    spark.dataSource.register(records.FastqRecords)
+    return spark.read.format("fastq_records").load(path).select("name", "seq", "plus", "qual")
 
 
 _NEAR = f"""WITH {X.READS_SQL}, ureads AS MATERIALIZED (SELECT min(read_id) AS uid, turned AS seq FROM reads GROUP BY turned),
@@ -492,6 +526,32 @@ def mem_substitutions(spark, sf_dir):
     return references.gap_substitutions(references.self_matches(texts), texts)
 
 
+_TOLERANT = f"""{_MEM}, gaps AS (SELECT *, dst - lag(dst + size) OVER w AS gap FROM refs WINDOW w AS (PARTITION BY dst_id, src_id, dst - src ORDER BY dst)),
+runs AS (SELECT *, sum(CASE WHEN gap <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY dst_id, src_id, dst - src ORDER BY dst) AS run FROM gaps),
+tolerant AS (SELECT dst_id, src_id, min(dst) AS dst, min(src) AS src, max(dst + size) - min(dst) AS size FROM runs GROUP BY dst_id, src_id, dst - src, run),
+edited AS (SELECT t.*, list_filter(range(t.size), lambda i: substr(x.seq, (t.dst + i + 1)::BIGINT, 1) <> substr(y.seq, (t.src + i + 1)::BIGINT, 1)) AS offs, x.seq AS sd, y.seq AS ss FROM tolerant t JOIN texts x ON dst_id = x.contig_id JOIN texts y ON src_id = y.contig_id)"""
+
+
+@query(f"{_TOLERANT} SELECT dst_id, src_id, dst, src, size, array_to_string(list_transform(offs, lambda i: i || substr(sd, (dst + i + 1)::BIGINT, 1)), ',') AS edits FROM edited")
+def mem_refs_tolerant(spark, sf_dir):
+    texts = _haplotypes(spark, sf_dir)
+    found = references.tolerant(references.self_matches(texts), texts)
+    return found.withColumn("edits", F.array_join(F.transform("edits", lambda e: F.concat(e["off"].cast("string"), e["base"])), ","))
+
+
+@query(f"{_CONTIGS} SELECT contig_id AS dst_id, seq FROM texts")
+def mem_rebuild_tolerant(spark, sf_dir):
+    texts = _haplotypes(spark, sf_dir)
+    refs = references.trimmed(references.adaptive_matches(texts))
+    return references.rebuilt(texts, refs, references.literals(texts, refs))
+
+
+@query(f"{_TOLERANT}, e AS (SELECT src_id, dst_id, unnest(offs) AS i, dst, src, sd, ss FROM edited), v AS (SELECT src_id AS chrom, src + i + 1 AS pos, substr(ss, (src + i + 1)::BIGINT, 1) AS ref, substr(sd, (dst + i + 1)::BIGINT, 1) AS alt, dst_id FROM e) SELECT chrom, pos, ref, alt, 'MEM;SUP=' || count(DISTINCT dst_id) AS info FROM v GROUP BY ALL HAVING true")
+def mem_edit_calls(spark, sf_dir):
+    texts = _haplotypes(spark, sf_dir)
+    return references.edit_calls(references.tolerant(references.self_matches(texts), texts), texts)
+
+
 _FACING = f"WITH {X.GENOME_SQL}, texts AS (SELECT contig_id * 2 AS contig_id, seq FROM genome UNION ALL SELECT contig_id * 2 + 1, {_RC.format('second')} FROM genome WHERE second <> seq)"
 
 
@@ -689,12 +749,34 @@ def mismatch_histogram(spark, sf_dir):
     return rows.groupBy(S.hamming(F.col("body"), F.expr("substr(contig, cast(start as int) + 1, length(body))")).cast("long").alias("n_mm")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {X.GENOME_SQL}, d AS (SELECT contig_id AS pair_id, seq AS l, second AS r, list_min(list_filter(range(least(length(seq), length(second))), lambda i: substr(seq, i + 1, 1) <> substr(second, i + 1, 1))) AS p FROM genome WHERE second <> seq),
+tries AS (SELECT pair_id, l, r, p, n, kind, substr(l, p + 1 + CASE kind WHEN 'D' THEN n ELSE 0 END, 15) AS a, substr(r, p + 1 + CASE kind WHEN 'I' THEN n ELSE 0 END, 15) AS b FROM d, range(1, 31) s(n), (VALUES ('D'), ('I')) k(kind) WHERE p >= 12),
+fits AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY n, kind) AS rank FROM tries WHERE length(a) = 15 AND length(b) = 15 AND hamming(a, b) <= 1)
+SELECT pair_id, p::BIGINT AS "at", kind, n::BIGINT AS size, substr(CASE kind WHEN 'D' THEN l ELSE r END, p + 1, n) AS bases FROM fits WHERE rank = 1""")
 def bubble_extract(spark, sf_dir):
     pairs = X.genome(spark, sf_dir).filter("second <> seq").select(F.col("contig_id").alias("pair_id"), F.col("seq").alias("left"), F.col("second").alias("right"))
     return calling.scan_pairs(pairs)
 
 
+@query(SQL["bubble_extract"])
+def sql_bubbles(spark, sf_dir):
+    registered.register(spark)
+    X.genome(spark, sf_dir).createOrReplaceTempView("readloom_genome")
+    return spark.sql("SELECT * FROM extract_bubbles(TABLE(SELECT contig_id AS pair_id, seq AS left, second AS right FROM readloom_genome WHERE second <> seq))")
+
+
+@query(f"WITH {X.READS_SQL}, k AS (SELECT unnest(list_transform(range(1, (length(turned) - 19)::BIGINT), lambda i: substr(turned, i, 21))) AS f FROM reads) SELECT least(f, {_RC.format('f')}) AS kmer, count(*) AS cnt FROM k GROUP BY 1 HAVING count(*) >= 2")
+def sql_kmers(spark, sf_dir):
+    registered.register(spark)
+    X.drawn_reads(spark, sf_dir).createOrReplaceTempView("readloom_reads")
+    return spark.sql("SELECT kmer, count(*) AS cnt FROM (SELECT canonical(k) AS kmer FROM (SELECT explode(ks) AS k FROM (SELECT kmers(turned, 21) AS ks FROM readloom_reads))) GROUP BY kmer HAVING count(*) >= 2")
+
+
+@query(f"{_PROBED}, halves AS (SELECT *, unnest([0, 15]) AS h FROM both_), hits AS (SELECT DISTINCT probe_id, strand, contig_id, i AS start, hamming(probe, w) AS n_mm FROM halves JOIN win ON substr(probe, h + 1, 15) = substr(w, h + 1, 15) WHERE hamming(probe, w) <= 1) SELECT *, true AS whole FROM hits")
+def probe_adaptive(spark, sf_dir):
+    return search.adaptive_matches(X.probes(spark, sf_dir), X.genome(spark, sf_dir), 1)
+
+
 @query()
 def graph_bubbles(spark, sf_dir):
     nodes = kmers.oriented(_counts(spark, sf_dir))

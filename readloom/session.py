@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 16) -> SparkSession:
@@ -29,3 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join("/tmp", f"readloom-{context.applicationId}"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, which goes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows as a table in the shared folder."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

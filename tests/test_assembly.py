@@ -46,6 +46,49 @@ def test_a_cycle_loses_its_last_link(spark):
     assert assembly.greedy_links(links.limit(0)).count() == 0
 
 
+def one_pass_opened(edges):
+    """Links in the order (overlap desc, a, b), then without the last of each cycle."""
+    tails, heads = {}, {}
+    for a, b, n in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if a not in tails and b not in heads:
+            tails[a], heads[b] = (b, n), a
+    links = {(a, b, n) for a, (b, n) in tails.items()}
+    for start in list(tails):
+        seen, at = [], start
+        while at in tails and at not in seen:
+            seen.append(at)
+            at = tails[at][0]
+        if at == start and at in seen:
+            last = max(((a, *tails[a]) for a in seen), key=lambda e: (-e[2], e[0], e[1]))
+            links.discard(last)
+    return links
+
+
+def test_sweep_equals_one_pass(spark):
+    rng = random.Random(21)
+    periodic = ["A" * 12, "A" * 13, "A" * 20, "AC" * 8, "CA" * 8, "ACA" * 5, "AC" * 9]
+    drawn = [*periodic, *(dna(rng, rng.choice([8, 9, 10])) for _ in range(60)), *("".join(rng.choice("AC") for _ in range(rng.randrange(6, 10))) for _ in range(60))]
+    hot = [(9, "A" * 12), (3, "A" * 13), (5, "A" * 14), (4, "A" * 10 + "C"), (8, "C" + "A" * 10), (1, "A" * 15)]
+    for rows in ([*enumerate(dict.fromkeys(drawn))], hot, [(1, "ACG")]):
+        rng.shuffle(rows)
+        got = [tuple(r) for r in assembly.sweep_links(frame(spark, rows), 4).collect()]
+        assert len(got) == len(set(got)) and set(got) == one_pass_opened(brute_edges(rows, 4))
+    assert assembly.sweep_links(spark.createDataFrame([], "uid long, seq string")).count() == 0
+
+
+def test_two_rounds_equal_one_pass(spark):
+    rng = random.Random(22)
+    genome, repeat = dna(rng, 200), dna(rng, 25)
+    genome = genome[:60] + repeat + genome[60:120] + repeat + genome[120:]
+    rows = [(i, s) for i, s in enumerate(dict.fromkeys(genome[p : p + 30] for p in (rng.randrange(len(genome) - 29) for _ in range(90))))]
+    first = one_pass_opened(brute_edges(rows, 22))
+    admitted = {a for a, _, _ in first} & {b for _, b, _ in first}
+    want = one_pass_opened(brute_edges([r for r in rows if r[0] in admitted], 12))
+    links, left = assembly.two_rounds(frame(spark, rows), 22, 12)
+    assert {tuple(r) for r in links.collect()} == want and want
+    assert {r.uid for r in left.collect()} == {i for i, _ in rows} - {a for a, _, _ in want} - {b for _, b, _ in want}
+
+
 def test_collapse(spark):
     rng = random.Random(2)
     a, b = dna(rng, 200), dna(rng, 150)

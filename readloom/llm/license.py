@@ -4,7 +4,10 @@ A text is cut into lines and sentences, which are normalised; a known sentence o
 is found where its words begin at such a cut and end at one, whatever cuts are between them (line
 ends of a hard-wrapped notice, a colon, a blank line before an address).  What comes out is the
 sequence of identifiers, and a rule recognises a licence where its own sequence stands in it, in
-order, with at most ``GAP`` other sentences between neighbours.
+order, with at most ``GAP`` other sentences between neighbours.  A rule whose sequence another one
+holds stands only where no match of the other begins at the same sentence, so that the notice of
+BSD-3-Clause isn't one of BSD-2-Clause as well.  Sentences that name a holder are patterns, and an
+SPDX tag is a sentence that names its licences itself.
 """
 
 from __future__ import annotations
@@ -41,14 +44,14 @@ SENTENCES: dict[str, list[str]] = {
     "all-rights": ["all rights reserved"],
 }
 
-# The same notices as published, where they go on or are spelt otherwise; OP6_SQL doesn't know these.
+# The same notices as published, where they go on or are spelt otherwise.
 PUBLISHED: dict[str, list[str]] = {
     "apache-copy": ["you may obtain a copy of the license at http www.apache.org licenses license 2.0", "you may obtain a copy of the license at https www.apache.org licenses license 2.0"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
 }
 
-# Sentences of further notices, as published; OP6_SQL doesn't know these.
+# Sentences of further notices, as published.
 NOTICES: dict[str, list[str]] = {
     "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "gpl2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."],
@@ -81,6 +84,43 @@ NOTICES: dict[str, list[str]] = {
     "mit0-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'],
 }
 
+# Headings of full licence texts, as published.
+HEADINGS: dict[str, list[str]] = {
+    "gpl3-text": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-text": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl3-text": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-text": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl3-text": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "apache-text": ["Apache License Version 2.0, January 2004"],
+    "mpl2-text": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+    "epl2-text": ["Eclipse Public License - v 2.0"],
+    "boost-text": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "cc0-text": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "ofl-text": ["SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"],
+    "wtfpl-text": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"],
+    "cc-by-text": ["Creative Commons Attribution 4.0 International Public License"],
+    "cc-by-sa-text": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "cc-by-nd-text": ["Creative Commons Attribution-NoDerivatives 4.0 International Public License"],
+    "cc-by-nc-text": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "cc-by-nc-sa-text": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"],
+}
+
+# Sentences with a name in them, as published; * stands for a name of at most ``NAME`` words (none: a name in other letters, which normal forms lack).
+NAMED: dict[str, list[str]] = {
+    "bsd-endorse": [
+        "Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of * nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of * nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The name of * may not be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The names of * may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "bsd-advertise": [
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by *.",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgment: This product includes software developed by *.",
+    ],
+}
+NAME = 16
+
 # Licences and the sequences that stand for them; each sequence is a rule of its own.
 RULES: list[tuple[str, list[str]]] = [
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope"]),
@@ -116,8 +156,29 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-4.0", ["cc-by-by"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-4-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse"]),
+    ("GPL-3.0", ["gpl3-text"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("LGPL-3.0", ["lgpl3-text"]),
+    ("LGPL-2.1", ["lgpl21-text"]),
+    ("AGPL-3.0", ["agpl3-text"]),
+    ("Apache-2.0", ["apache-text"]),
+    ("MPL-2.0", ["mpl2-text"]),
+    ("EPL-2.0", ["epl2-text"]),
+    ("BSL-1.0", ["boost-text"]),
+    ("CC0-1.0", ["cc0-text"]),
+    ("OFL-1.1", ["ofl-text"]),
+    ("WTFPL", ["wtfpl-text"]),
+    ("CC-BY-4.0", ["cc-by-text"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-text"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-text"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-text"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-text"]),
 ]
 
+# Licences that only a tag names here, and tags whose licence has another name above.
+TAGS = ["LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "Artistic-2.0", "CC-BY-SA-3.0", "CDDL-1.0", "EPL-1.0", "GPL-1.0-or-later", "MPL-1.1", "NCSA", "Python-2.0", "BSD-1-Clause"]
+
 _DROP = r"[^0-9a-z.]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -127,9 +188,28 @@ def plain(sentence: str) -> str:
     return re.sub(r"[^0-9a-z.]+", " ", re.sub(r"[.;:!?]+(?=\s|$)", " ", sentence.lower())).strip(" .")
 
 
-_KNOWN = {plain(x): name for table in (SENTENCES, PUBLISHED, NOTICES) for name, texts in table.items() for x in texts}
-# a longer sentence before its own beginning; between words may be any cut
-_FIND = "(?<=[|_])(?:" + "|".join(x.replace(".", "[.]").replace(" ", "[ |_]") for x in sorted(_KNOWN, key=len, reverse=True)) + ")(?=[|_])"
+_KNOWN = {plain(x): name for table in (SENTENCES, PUBLISHED, NOTICES, HEADINGS) for name, texts in table.items() for x in texts}
+_TAG = "spdx license identifier"
+_LICENCES = {plain(x): x for x in sorted({name for name, _ in RULES} | set(TAGS))}
+
+
+def _loose(words: str) -> str:
+    """A pattern of these words with any cut between them, a name for *."""
+    return words.replace(".", "[.]").replace(" ", "[ |_]").replace("[ |_]*", f"(?:[ |_][^ |_]++){{0,{NAME}}}?")
+
+
+# sentences with names, as patterns; plain() would drop the star
+_NAMED = {_loose(" * ".join(plain(part) for part in x.split("*")).strip(" .")): name for name, texts in NAMED.items() for x in texts}
+# a tag up to its line's end; then a longer sentence before its own beginning; between words may be any cut
+_FIND = "(?<=[|_])(?:" + "|".join([_loose(_TAG) + "[ |_]++[0-9a-z. ]++", *_NAMED, *[_loose(x) for x in sorted(_KNOWN, key=len, reverse=True)]]) + ")(?=[|_])"
+# a longer licence before its own beginning: gpl 2.0 or later, gpl 2.0
+_LICENCE = r"(?<![0-9a-z.])(?:" + "|".join(x.replace(".", "[.]") for x in sorted(_LICENCES, key=len, reverse=True)) + r")(?![0-9a-z.])"
+
+
+def _holds(longer: list[str], shorter: list[str]) -> bool:
+    """Whether a rule's sequence has a shorter one in it, in order and from the same first sentence."""
+    rest = iter(longer)
+    return len(longer) > len(shorter) and longer[0] == shorter[0] and all(x in rest for x in shorter)
 
 
 def tidied(text):
@@ -152,11 +232,19 @@ def sequences(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     Sentences end at . ; : ! ? before white space or the end, or at a blank line; ``sentence`` counts
     them from 0, ``at`` also counts the lines in them, a known sentence once.  Those without a letter
     or digit aren't counted.  Known sentences are found from the left, the longest first, and don't
-    overlap.  A null text has none.
+    overlap; the id of a tag is ``spdx:`` and its words.  A null text has none.
     """
     known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
-    marked = F.regexp_replace(tidied(F.col(text)), _FIND, "#$0#")  # every second part is a known sentence then
-    named = F.transform(F.split("marked", "#", -1), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.concat(F.lit("="), F.element_at(known, F.translate(x, "|_", "  ")))))
+    # a plus would be lost with other signs: GPL-2.0+
+    tags = F.when(F.contains(text, F.lit("SPDX-License-Identifier")), F.regexp_replace(text, r"(?<=[A-Za-z]-[0-9][.][0-9])[+]", "-or-later")).otherwise(F.col(text))
+    marked = F.regexp_replace(tidied(tags), _FIND, "#$0#")  # every second part is a known sentence then
+
+    def name(x):
+        words = F.translate(x, "|_", "  ")
+        tag = F.when(F.startswith(words, F.lit(_TAG)), F.concat(F.lit("spdx:"), F.substring(words, len(_TAG) + 2, 1 << 20)))
+        return F.coalesce(tag, F.try_element_at(known, words), *[F.when(F.rlike(x, F.lit(f"^(?:{pattern})$")), F.lit(of)) for pattern, of in _NAMED.items()])
+
+    named = F.transform(F.split("marked", "#", -1), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.concat(F.lit("="), name(x))))
     lines = F.transform(F.split(F.btrim(F.array_join(named, ""), F.lit("|")), "[|]", -1), lambda s, k: F.transform(F.split(s, "_", -1), lambda x: F.struct(k.cast("int").alias("sentence"), x.alias("x"))))
     counted = F.transform(F.flatten(lines), lambda y, i: F.struct(i.cast("int").alias("at"), y["sentence"].alias("sentence"), F.when(F.startswith(y["x"], F.lit("=")), F.substring(y["x"], 2, 1 << 20)).alias("id")))
     rows = df.select(F.col(doc_id).alias("doc_id"), marked.alias("marked"))
@@ -164,26 +252,36 @@ def sequences(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return rows.select("doc_id", F.when(F.contains("marked", F.lit("#")), F.filter(counted, lambda x: x["id"].isNotNull())).otherwise(none).alias("ids"))
 
 
-def _matched(ids, rule: list[str]):
-    """Whether the rule's identifiers stand in order among ``ids``, neighbours at most GAP sentences or lines apart."""
+def _starts(ids, rule: list[str]):
+    """The first sentences (of ``ids``) of the rule's matches: its identifiers in order, neighbours at most GAP sentences or lines apart."""
     places = lambda name: F.filter(ids, lambda x: x["id"] == name)
 
-    def after(before, name: str):
-        near = lambda q, p: (p["at"] <= q["at"] + GAP + 1) | (p["sentence"] <= q["sentence"] + GAP + 1)
-        return F.filter(places(name), lambda p: F.exists(before, lambda q: (q["at"] < p["at"]) & near(q, p)))
+    def before(later, name: str):
+        near = lambda p, q: (q["at"] <= p["at"] + GAP + 1) | (q["sentence"] <= p["sentence"] + GAP + 1)
+        return F.filter(places(name), lambda p: F.exists(later, lambda q: (p["at"] < q["at"]) & near(p, q)))
+
+    return reduce(before, rule[-2::-1], places(rule[-1]))
 
-    return F.size(reduce(after, rule[1:], places(rule[0]))) > 0
+
+def _matched(ids, rule: list[str]):
+    """Whether the rule has a match that isn't the beginning of one of a rule that holds it."""
+    longer = [_starts(ids, other) for _, other in RULES if _holds(other, rule)]
+    return F.size(reduce(F.array_except, longer, _starts(ids, rule))) > 0
 
 
 def licences(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids, licences): the known sentences of each whole text, and the licences that a rule recognises, sorted.
+    """(doc_id, ids, licences): the known sentences of each whole text, and the licences that a rule recognises or a tag names, sorted.
 
+    Of a tag's expression all licences known here are given, whether AND or OR joins them.
     Rows repeat as in ``df``; a null doc_id stays null; null and empty texts have no licence; other
     columns are not read.
     """
     found = sequences(df, text, doc_id)
     names = [F.when(_matched(F.col("ids"), rule), F.lit(name)) for name, rule in RULES]
-    return found.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))))
+    known = F.create_map(*[F.lit(x) for pair in _LICENCES.items() for x in pair])
+    tags = F.filter("ids", lambda x: F.startswith(x["id"], F.lit("spdx:")))
+    tagged = F.transform(F.flatten(F.transform(tags, lambda x: F.regexp_extract_all(F.substring(x["id"], 6, 1 << 20), F.lit(_LICENCE), F.lit(0)))), lambda x: F.element_at(known, x))
+    return found.withColumn("licences", F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*names)), tagged))))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,13 +289,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.transform("ids", lambda x: x["id"]), ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licenses"))
 
 
-def _sql_rule(name: str, rule: list[str]) -> str:
+def _sql_rule(number: int, rule: list[str]) -> str:
     joins = "".join(f" JOIN marked m{k} ON m{k}.row_no = m0.row_no AND m{k}.id = '{x}' AND m{k}.at_ > m{k - 1}.at_ AND m{k}.at_ <= m{k - 1}.at_ + {GAP + 1}" for k, x in enumerate(rule) if k)
-    return f"SELECT DISTINCT m0.row_no, '{name}' AS licence FROM marked m0{joins} WHERE m0.id = '{rule[0]}'"
+    return f"SELECT DISTINCT m0.row_no, m0.at_ AS start, {number} AS rule FROM marked m0{joins} WHERE m0.id = '{rule[0]}'"
 
 
 OP6_SQL = rf"""
-WITH known(sentence, id) AS (VALUES {", ".join(f"('{s}', '{name}')" for name, texts in SENTENCES.items() for s in texts)}),
+WITH known(sentence, id) AS (VALUES {", ".join(f"('{s}', '{name}')" for s, name in _KNOWN.items())}),
+licence(rule, licence) AS (VALUES {", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(RULES))}),
+holds(longer, shorter) AS (VALUES {", ".join(f"({i}, {j})" for i, (_, x) in enumerate(RULES) for j, (_, y) in enumerate(RULES) if _holds(x, y))}),
 docs AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents),
 cut AS (
   SELECT row_no, unnest(parts) AS s, unnest(range(len(parts))) AS k
@@ -206,7 +306,11 @@ cut AS (
   SELECT row_no, k, regexp_replace(trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '{_DROP}', ' ', 'g'), ' '), '[. ]+$', '') AS s FROM cut
 ), numbered AS (SELECT row_no, s, row_number() OVER (PARTITION BY row_no ORDER BY k) - 1 AS at_ FROM tidy WHERE s <> ''),
 marked AS (SELECT row_no, at_, id FROM numbered JOIN known ON s = sentence),
-rules AS ({" UNION ALL ".join(_sql_rule(name, rule) for name, rule in RULES)}),
+matches AS ({" UNION ALL ".join(_sql_rule(k, rule) for k, (_, rule) in enumerate(RULES))}),
+rules AS (
+  SELECT row_no, licence FROM matches m JOIN licence USING (rule)
+  WHERE NOT EXISTS (SELECT 1 FROM matches n JOIN holds h ON h.longer = n.rule WHERE h.shorter = m.rule AND n.row_no = m.row_no AND n.start = m.start)
+),
 by_doc AS (SELECT row_no, count(*) AS n, string_agg(id, ',' ORDER BY at_) AS ids FROM marked GROUP BY row_no),
 named AS (SELECT row_no, string_agg(licence, ',' ORDER BY licence) AS licences FROM (SELECT DISTINCT * FROM rules) GROUP BY row_no)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licenses

@@ -1,6 +1,9 @@
+import re
 import textwrap
 
-from readloom.llm.license import licences
+import duckdb
+
+from readloom.llm.license import OP6_SQL, licences
 
 
 def run(spark, texts):
@@ -98,7 +101,7 @@ def test_published_notices_as_they_are_wrapped(spark):
         ["apache-comply", "apache-copy", "apache-basis"],
         ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"],
     ]
-    assert [got[k][1] for k in range(8)] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"], ["BSD-2-Clause", "BSD-3-Clause"], ["GPL-3.0-or-later"], ["MIT"], ["MIT"], ["Apache-2.0"]]
+    assert [got[k][1] for k in range(8)] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"], ["BSD-3-Clause"], ["GPL-3.0-or-later"], ["MIT"], ["MIT"], ["Apache-2.0"]]
 
 
 def test_a_line_without_stops_around_it_and_a_sentence_inside_another(spark):
@@ -155,3 +158,48 @@ def test_nulls_and_repeated_rows(spark):
     rows = [(None, "All rights reserved"), (1, "Licensed under CC BY 4.0."), (1, "Licensed under CC BY 4.0.")]
     got = licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), list(r.licences)) for r in got) == [("1", ["CC-BY-4.0"]), ("1", ["CC-BY-4.0"]), ("None", [])]
+
+
+def test_a_rule_inside_another_counts_only_by_itself(spark):
+    two = BSD[: BSD.index("3. Neither")]
+    named = BSD.replace("the copyright holder", "{}")
+    four = BSD.replace("3. Neither", """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement: This product includes
+   software developed by the Widget Company, Inc. and its contributors.
+
+4. Neither""")
+    author = two + "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n"
+    filler = "Words.\n\n" * 5
+    texts = [two, BSD, named.format("Widget Inc."), named.format("the University of Somewhere, Sub-Department of Widgets"), named.format("Ünïversity"), named.format("株式会社"), author, four]
+    texts += [two + filler + BSD, BSD + filler + two, two + filler + two, named.format("a " * 15 + "b"), named.format("a " * 16 + "b"), two + filler + BSD[BSD.index("3. Neither") :]]
+    got = [x[1] for _, x in sorted(run(spark, texts).items())]
+    both = ["BSD-2-Clause", "BSD-3-Clause"]
+    assert got[:8] == [["BSD-2-Clause"], *[["BSD-3-Clause"]] * 6, ["BSD-4-Clause"]]
+    assert got[8:] == [both, both, ["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-2-Clause"]]
+
+
+def test_headings_of_full_texts(spark):
+    texts = ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"]
+    texts += ["Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "see the GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"]
+    assert [x[1] for _, x in sorted(run(spark, texts).items())] == [["GPL-3.0"], ["Apache-2.0"], ["MPL-2.0"], ["CC0-1.0"], ["LGPL-2.1"], []]
+
+
+def test_tags(spark):
+    tag = "SPDX-License-Identifier:"
+    texts = [f"// {tag} MIT\nint main() {{}}", f"/* {tag} (MIT OR Apache-2.0) */", f"{tag}GPL-2.0+", f"# {tag} GPL-2.0-only WITH Classpath-exception-2.0", f"{tag} GPL-2.0 WITH Linux-syscall-note\n\nwords", f"{tag} NoSuch-1.0 AND BSD-3-Clause", f"{tag} NoSuch-1.0", f"{tag} mit", f"{tag}", f"we wrote {tag} MIT", f"words\n{tag} MIT\n" + BSD, f"{tag} MIT " + "and mit " * 20000]
+    got = run(spark, texts)
+    assert [got[k][1] for k in range(len(texts))] == [["MIT"], ["Apache-2.0", "MIT"], ["GPL-2.0-or-later"], ["GPL-2.0-only"], ["GPL-2.0"], ["BSD-3-Clause"], [], ["MIT"], [], [], ["BSD-3-Clause", "MIT"], ["MIT"]]
+    assert got[0][0] == [(0, "spdx:mit")] and got[6][0] == [(0, "spdx:nosuch 1.0")] and got[8][0] == []
+
+
+def test_the_sql_agrees_where_each_sentence_has_a_line(spark):
+    """SQL cuts at every stop and line's end, so stops inside sentences are commas here; it has no sentences with names."""
+    line = lambda x: re.sub(r"[;:] |(?<=v)[.] ", ", ", " ".join(x.split()))
+    texts = [*["\n".join(line(y) for y in x.split("\n\n")) for x in (MIT, GPL, BSD[: BSD.index("3. Neither")])], *["\n".join(line(y) for y in MORE[name]) for name in MORE], None, "", "nothing"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (len(r.ids), ",".join(x.id for x in r.ids), ",".join(r.licences)) for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == {r[0]: r[1:] for r in db.execute(OP6_SQL).fetchall()}
+    assert [got[k][2] for k in range(2)] == ["MIT", "GPL-3.0-or-later"]

@@ -49,17 +49,38 @@ def log_likelihoods(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     return counted.join(pairs.select("contig_id", "pos", "major", "minor"), ["contig_id", "pos"]).groupBy("contig_id", "pos").agg(F.sum(floor(hom)).alias("log_hom"), F.sum(floor((hom + other) / 2)).alias("log_het"))
 
 
+def site_sums(counted: DataFrame) -> DataFrame:
+    """(contig_id, pos, depth, alleles): of each column of a histogram, its alleles from the most common (ties A, C, G, T).
+
+    alleles: (n, base, own, other, half), the last three being sums of logarithms over that base's
+    reads of being right, of being wrong, and of coming from one of two alleles.  The sums add up,
+    so one aggregate has what any pair of alleles is judged by.
+    """
+    e = S.error_probability(F.col("q"))
+    logs = {"own": 1 - e, "other": e / 3, "half": (1 - e + e / 3) / 2}
+    rows = counted.select("contig_id", "pos", "base", "n", *[(F.log(F.greatest(p, F.lit(1e-300))) * F.col("n")).alias(name) for name, p in logs.items()])
+    of = lambda c, b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col(c))), F.lit(0)).alias(f"{c}_{b}")
+    sums = rows.groupBy("contig_id", "pos").agg(F.sum("n").alias("depth"), *[of(c, b) for b in "ACGT" for c in ("n", *logs)])
+    # the key of the sort is minus the count, then the letter
+    alleles = F.array(*[F.struct((-F.col(f"n_{b}")).alias("less"), F.lit(b).alias("base"), *[F.col(f"{c}_{b}").alias(c) for c in ("n", *logs)]) for b in "ACGT"])
+    return sums.select("contig_id", "pos", "depth", F.array_sort(alleles).alias("alleles"))
+
+
 def snv_candidates(counted: DataFrame, ploidy: int = 2) -> DataFrame:
     """(contig_id, pos, major, minor, n_major, n_minor, depth, ratio): columns of a histogram that pass depth, count, quality and likelihood.
 
-    ratio is ten times the log10 of the odds of two alleles against one, rounded to 4 places.
+    ratio is ten times the log10 of the odds of two alleles against one, rounded to 4 places.  The
+    median quality of the minor allele is taken only where all else passes.
     """
-    ranked = ranked_alleles(counted)
-    pick = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
-    pairs = ranked.groupBy("contig_id", "pos").agg(F.sum("n").alias("depth"), pick("base", 1).alias("major"), pick("base", 2).alias("minor"), pick("n", 1).alias("n_major"), pick("n", 2).alias("n_minor"), pick("median_q", 2).alias("minor_q"), F.coalesce(pick("n", ploidy + 1), F.lit(0)).alias("n_extra"))
-    pairs = pairs.filter((F.col("depth") >= LEAST_DEPTH) & (F.col("n_minor") >= LEAST_MINOR) & (F.col("minor_q") >= LEAST_QUALITY) & (F.col("n_minor") / F.col("depth") >= LEAST_SHARE * 2 / ploidy) & (F.col("n_extra") / F.col("depth") <= 0.12))
-    scored = pairs.join(log_likelihoods(counted, pairs), ["contig_id", "pos"]).withColumn("ratio", F.round((F.col("log_het") - F.col("log_hom")) * 10 / F.log(F.lit(10.0)), 4))
-    return scored.filter(F.col("ratio") >= LEAST_RATIO).select("contig_id", "pos", "major", "minor", "n_major", "n_minor", "depth", "ratio")
+    at = lambda r, c: F.get("alleles", r)[c]
+    extra = at(ploidy, "n") if ploidy < 4 else F.lit(0)
+    # two alleles against one: reads of the major come from either, those of the minor are right, all others are wrong both ways
+    odds = at(0, "half") + at(1, "half") - at(0, "own") - at(1, "other")
+    pairs = site_sums(counted).select("contig_id", "pos", at(0, "base").alias("major"), at(1, "base").alias("minor"), at(0, "n").alias("n_major"), at(1, "n").alias("n_minor"), "depth", F.round(odds * 10 / F.log(F.lit(10.0)), 4).alias("ratio"), extra.alias("n_extra"))
+    pairs = pairs.filter((F.col("depth") >= LEAST_DEPTH) & (F.col("n_minor") >= LEAST_MINOR) & (F.col("n_minor") / F.col("depth") >= LEAST_SHARE * 2 / ploidy) & (F.col("n_extra") / F.col("depth") <= 0.12) & (F.col("ratio") >= LEAST_RATIO))
+    asked = pairs.select("contig_id", "pos", F.col("minor").alias("base"))
+    good = counted.join(asked, ["contig_id", "pos", "base"]).groupBy("contig_id", "pos").agg(F.percentile("q", 0.5, F.col("n")).alias("minor_q")).filter(F.col("minor_q") >= LEAST_QUALITY)
+    return pairs.join(good, ["contig_id", "pos"], "left_semi").select("contig_id", "pos", "major", "minor", "n_major", "n_minor", "depth", "ratio")
 
 
 def multiallelic(counted: DataFrame, ploidy: int, share: float = 0.2) -> DataFrame:

@@ -141,7 +141,9 @@ def extract_gap(left: Column, right: Column, at: Column, most: int = 30, flank:
 
 def read_gaps(placed: DataFrame, contigs: DataFrame, least_reads: int = 3, most: int = 30, flank: int = 15) -> DataFrame:
     """(contig_id, pos, kind, size, bases, n_reads): gaps of reads against their contig that enough distinct reads show."""
-    rows = placed.join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id").withColumn("body", F.expr("substring(contig, start + 1)"))
+    rows = placed.join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id")
+    # no gap looks further than its size and flank past the read
+    rows = rows.withColumn("body", F.expr(f"substring(contig, start + 1, length(seq) + {most + flank})")).drop("contig")
     # the first difference is a column of its own, and gaps come out of a generator, so that neither is computed again in a filter
     off = rows.filter("left(body, length(seq)) <> seq").withColumn("at", S.common_prefix(F.col("body"), F.col("seq")))
     off = off.select("read_id", "contig_id", "start", F.inline(extract_gap(F.col("body"), F.col("seq"), F.col("at"), most, flank)))

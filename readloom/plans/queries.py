@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from readloom import session
 from readloom.functions import registered
 from readloom.functions import sequence as S
-from readloom.operators import archive, assembly, calling, evaluate, filters, graph, intervals, kmers, product, reads, references, search
+from readloom.operators import archive, assembly, bubbles, calling, evaluate, filters, graph, intervals, kmers, product, reads, references, search
 from readloom.plans import fixtures as X
 from readloom.sources import files, records
 from readloom.streaming import incremental
@@ -783,6 +783,54 @@ def graph_bubbles(spark, sf_dir):
     return graph.bubbles(kmers.successors(nodes, K), K)
 
 
+_PAIRS = lambda a, b: f"flatten(list_transform({a}, lambda p: list_transform({b}, lambda q: {{'p': p, 'q': q}})))"
+_SIDE = lambda c, turn: f"{{'seq': {_RC.format('s' + c) if turn else 's' + c}, 'low': l{c}, 'high': h{c}}}"
+_MET = "(p.p.next = p.q.next)"
+_BUBBLES = f"""{_KMERS.replace("WITH", "WITH RECURSIVE", 1)}, spectrum_ AS (SELECT cnt, count(*) AS n FROM counts WHERE cnt BETWEEN 2 AND 2000 GROUP BY cnt),
+near_ AS (SELECT cnt, n, lag(n) OVER (ORDER BY cnt) AS b, lead(n) OVER (ORDER BY cnt) AS a FROM spectrum_),
+valley_ AS (SELECT min(cnt) AS valley FROM near_ WHERE cnt <= (SELECT max(cnt) FROM spectrum_) / 3 AND n <= b AND n < a),
+depth_ AS (SELECT CASE WHEN cnt >= 5 THEN cnt ELSE 30 END AS h FROM spectrum_ WHERE cnt >= coalesce((SELECT valley FROM valley_), 2) ORDER BY n DESC, cnt LIMIT 1),
+nodes AS MATERIALIZED (SELECT *, substr(node, 2) AS tail, substr(node, 1, {K - 1}) AS head FROM (SELECT DISTINCT unnest([kmer, {_RC.format("kmer")}]) AS node, cnt FROM counts WHERE cnt >= 2)),
+succ AS MATERIALIZED (SELECT a.node, b.node AS next, b.cnt, count(*) OVER (PARTITION BY a.node) AS n, count(*) OVER (PARTITION BY b.node) AS n_in FROM nodes a JOIN nodes b ON a.tail = b.head),
+branch AS (SELECT DISTINCT next AS start, next AS at_, 0 AS depth FROM succ WHERE n > 1 AND n_in = 1
+  UNION ALL SELECT start, s.next, depth + 1 FROM branch JOIN succ s ON at_ = s.node WHERE s.n = 1 AND s.n_in = 1 AND depth < 93),
+dying AS (SELECT DISTINCT start FROM branch WHERE at_ NOT IN (SELECT node FROM succ)),
+marked AS (SELECT node, next, cnt, next IN (SELECT start FROM dying) AS tip FROM succ),
+live AS MATERIALIZED (SELECT node, next, cnt FROM (SELECT *, bool_and(tip) OVER (PARTITION BY node) AS every FROM marked) WHERE every OR NOT tip),
+outs AS MATERIALIZED (SELECT node, list({{'base': substr(next, {K}, 1), 'next': next, 'cnt': cnt}}) AS o FROM live GROUP BY node),
+walk AS (SELECT a.next AS x, b.next AS y, substr(a.node, 1, 1) || a.next AS sx, substr(a.node, 1, 1) || b.next AS sy, a.cnt AS lx, a.cnt AS hx, b.cnt AS ly, b.cnt AS hy, 0 AS more, 0 AS depth FROM live a JOIN live b ON a.node = b.node AND a.next < b.next
+  UNION ALL SELECT p.p.next, p.q.next, sx || p.p.base, sy || p.q.base, CASE WHEN {_MET} THEN lx ELSE least(lx, p.p.cnt) END, CASE WHEN {_MET} THEN hx ELSE greatest(hx, p.p.cnt) END,
+    CASE WHEN {_MET} THEN ly ELSE least(ly, p.q.cnt) END, CASE WHEN {_MET} THEN hy ELSE greatest(hy, p.q.cnt) END, more + (p.p.base <> p.q.base)::INT, depth + 1
+  FROM (SELECT *, unnest(CASE WHEN len(same) = 1 THEN same WHEN len(same) = 0 AND more < 1 THEN pairs END) AS p
+    FROM (SELECT *, list_filter(pairs, lambda p: p.p.base = p.q.base) AS same FROM (SELECT w.*, {_PAIRS("a.o", "b.o")} AS pairs FROM walk w JOIN outs a ON w.x = a.node JOIN outs b ON w.y = b.node WHERE x <> y AND depth < 60)))),
+strands AS (SELECT list_sort([{_SIDE("x", False)}, {_SIDE("y", False)}]) AS f, list_sort([{_SIDE("x", True)}, {_SIDE("y", True)}]) AS r, (more + 1)::BIGINT AS n_diff FROM walk WHERE x = y),
+found AS MATERIALIZED (SELECT w[1].seq AS one, w[2].seq AS two, w[1].low AS one_min, w[1].high AS one_max, w[2].low AS two_min, w[2].high AS two_max, n_diff FROM (SELECT DISTINCT CASE WHEN f <= r THEN f ELSE r END AS w, n_diff FROM strands)),
+kept AS (SELECT *, right(one, {K}) AS right_, {_RC.format(f"substr(one, 1, {K})")} AS left_ FROM found WHERE least(one_min, two_min) >= 2 AND greatest(one_max, two_max) <= 4 * (SELECT h FROM depth_)),
+ext AS (SELECT DISTINCT unnest([left_, right_]) AS node, unnest([left_, right_]) AS at_, '' AS text FROM kept
+  UNION ALL SELECT e.node, o[1].next, text || o[1].base FROM ext e JOIN outs ON at_ = outs.node WHERE len(o) = 1 AND length(text) < 1000),
+flank AS (SELECT node, arg_max(text, length(text)) AS text FROM ext GROUP BY node),
+flanked AS (SELECT one, two, one_min, one_max, two_min, two_max, n_diff, {_RC.format("l.text")} AS "left", r.text AS "right" FROM kept JOIN flank r ON right_ = r.node JOIN flank l ON left_ = l.node)"""
+
+
+def _flanked_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = session.cut(_counts(spark, sf_dir))
+    outs = bubbles.outs_of(graph.without_tips(session.cut(kmers.successors(kmers.oriented(counts), K))), K)
+    levels = bubbles.jumps(outs, 10)
+    found = bubbles.supported(bubbles.pair_bubbles(outs, levels, K), kmers.haploid_depth(kmers.spectrum(counts)))
+    return bubbles.flanked(session.cut(found), levels, K)
+
+
+@query(f"{_BUBBLES} SELECT * FROM flanked")
+def polymorphic_bubbles(spark, sf_dir):
+    return _flanked_bubbles(spark, sf_dir)
+
+
+@query(f"""{_BUBBLES}, sites AS (SELECT *, unnest(list_filter(range(1, length(one) + 1), lambda i: substr(one, i, 1) <> substr(two, i, 1))) AS i FROM flanked)
+SELECT "left" || one || "right" AS contig, (length("left") + i)::BIGINT AS pos, substr(one, i, 1) AS ref, substr(two, i, 1) AS alt, one_min AS support_ref, two_min AS support_alt, n_diff FROM sites""")
+def bubble_calls(spark, sf_dir):
+    return bubbles.bubble_calls(_flanked_bubbles(spark, sf_dir))
+
+
 _TRACES = f"""{_KMERS.replace("WITH", "WITH RECURSIVE", 1)}, nodes AS MATERIALIZED (SELECT *, substr(node, 2) AS tail, substr(node, 1, {K - 1}) AS head FROM (SELECT DISTINCT unnest([kmer, {_RC.format("kmer")}]) AS node, cnt FROM counts WHERE cnt >= 2)),
 succ AS MATERIALIZED (SELECT a.node, b.node AS next, b.cnt, count(*) OVER (PARTITION BY a.node) AS n FROM nodes a JOIN nodes b ON a.tail = b.head),
 walk AS (SELECT node, next AS branch, next AS at_, 0 AS depth, next AS text, cnt AS low FROM succ WHERE n > 1

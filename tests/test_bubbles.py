@@ -1,0 +1,152 @@
+import random
+from collections import Counter, defaultdict
+
+from readloom.operators import bubbles, graph, kmers
+from test_assembly import dna, rc
+
+K = 11
+OTHER = {"A": "C", "C": "G", "G": "T", "T": "A"}
+
+
+def plain_graph(texts, k=K, least=2):
+    """cnt of both orientations of solid k-mers, and each node's ways on, one base at a time."""
+    cnt = Counter(min(t[i : i + k], rc(t[i : i + k])) for t in texts for i in range(len(t) - k + 1))
+    solid = {x: n for m, n in cnt.items() if n >= least for x in (m, rc(m))}
+    return solid, {x: [x[1:] + b for b in "ACGT" if x[1:] + b in solid] for x in solid}
+
+
+def plain_without_tips(out, steps=93):
+    into = Counter(t for ways in out.values() for t in ways)
+
+    def dies(n):
+        for _ in range(steps + 1):
+            if into[n] > 1 or len(out[n]) > 1:
+                return False
+            if not out[n]:
+                return True
+            n = out[n][0]
+        return False
+
+    return {n: [t for t in ways if not dies(t)] or ways for n, ways in out.items()}
+
+
+def plain_bubbles(solid, out, steps=60, extra=1):
+    found = set()
+
+    def walk(flank, x, y, sx, sy, cx, cy, more):
+        if x == y:
+            sides = lambda turn: tuple(sorted((rc(s) if turn else s, min(c), max(c)) for s, c in ((sx, cx[:-1]), (sy, cy[:-1]))))
+            found.add((min(sides(False), sides(True)), more + 1))
+            return
+        if len(sx) - K - 1 >= steps:
+            return
+        pairs = [(a, b) for a in out[x] for b in out[y]]
+        same = [(a, b) for a, b in pairs if a[-1] == b[-1]]
+        if len(same) > 1 or (not same and more >= extra):
+            return
+        for a, b in same or pairs:
+            walk(flank, a, b, sx + a[-1], sy + b[-1], cx + [solid[a]], cy + [solid[b]], more + (a[-1] != b[-1]))
+
+    for n, ways in out.items():
+        for x in ways:
+            for y in ways:
+                if x < y:
+                    walk(n, x, y, n[0] + x, n[0] + y, [solid[x]], [solid[y]], 0)
+    return found
+
+
+def live(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    edges = kmers.successors(kmers.oriented(kmers.count(rows, K)), K)
+    return bubbles.outs_of(graph.without_tips(edges), K)
+
+
+def found_in(outs, **more):
+    levels = bubbles.jumps(outs, 4)
+    rows = bubbles.pair_bubbles(outs, levels, K, **more).collect()
+    return {(((r.one, r.one_min, r.one_max), (r.two, r.two_min, r.two_max)), r.n_diff) for r in rows}, len(rows)
+
+
+def changed(text, *places):
+    for p in places:
+        text = text[:p] + OTHER[text[p]] + text[p + 1 :]
+    return text
+
+
+def drawn(rng):
+    """A text, others with one or two differences (apart, near, next to each other, past the budget), errors that end."""
+    a = dna(rng, 420)
+    b = changed(a, 60, 120, 126, 200, 201, 300, 304, 309)
+    c = changed(a, 60, 360)
+    tips = [changed(a, p)[p - 20 : p + rng.randrange(2, 8)] for p in (90, 250, 330)] * 2
+    return [a] * 4 + [b] * 3 + [c] * 2 + tips + [rc(a)]
+
+
+def test_pairs_agree_with_a_plain_walk(spark):
+    for seed, extras in ((0, (0, 1, 2)), (1, (1,))):
+        texts = drawn(random.Random(seed))
+        solid, out = plain_graph(texts)
+        trimmed, outs = plain_without_tips(out), live(spark, texts)
+        for extra in extras:
+            got, n = found_in(outs, extra=extra)
+            assert got == plain_bubbles(solid, trimmed, extra=extra) and n == len(got)
+            if extra == 1:
+                assert {d for _, d in got} == {1, 2} and len(got) >= 4
+
+
+def test_a_tangle_of_repeats_agrees_too(spark):
+    rng = random.Random(11)
+    unit = dna(rng, 30)
+    texts = [dna(rng, 20) + changed(unit, *(rng.sample(range(30), 2))) + dna(rng, 15) + unit + dna(rng, 20) for _ in range(6)] * 2
+    solid, out = plain_graph(texts)
+    for steps in (60, 14):
+        assert found_in(live(spark, texts), steps=steps)[0] == plain_bubbles(solid, plain_without_tips(out), steps=steps)
+
+
+def test_tips_agree_with_a_plain_walk(spark):
+    texts = drawn(random.Random(4))
+    _, out = plain_graph(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    edges = kmers.successors(kmers.oriented(kmers.count(rows, K)), K)
+    for steps in (2, 5, 93):
+        got = defaultdict(set)
+        for r in graph.without_tips(edges, steps).collect():
+            got[r.node].add(r.next)
+        assert got == {n: set(w) for n, w in plain_without_tips(out, steps).items() if w}
+
+
+def test_flanks_and_calls(spark):
+    rng = random.Random(7)
+    a = dna(rng, 300)
+    b = changed(a, 150, 156)
+    # an error after the site ends within 5 bases, so the right flank goes on past it
+    error = changed(a, 200)[180:205]
+    outs = live(spark, [a] * 3 + [b] * 2 + [error] * 2)
+    levels = bubbles.jumps(outs, 9)
+    found = bubbles.pair_bubbles(outs, levels, K)
+    for most in (1000, 37, 0):
+        (row,) = bubbles.flanked(found, levels, K, most).collect()
+        whole = {row.left + x + row.right for x in (row.one, row.two)}
+        start, end = 150 - K - min(most, 150 - K), 157 + K + min(most, 300 - 157 - K)
+        assert whole in ({t[start:end] for t in (a, b)}, {rc(t)[300 - end : 300 - start] for t in (a, b)})
+    calls = bubbles.bubble_calls(bubbles.flanked(found, levels, K)).collect()
+    assert len(calls) == 2 and {c.n_diff for c in calls} == {2}
+    for c in calls:
+        assert c.contig[c.pos - 1] == c.ref != c.alt
+    assert sorted(c.pos if calls[0].contig in (a, b) else 301 - c.pos for c in calls) == [151, 157]
+
+
+def test_filters(spark):
+    row = "one string, two string, one_min long, one_max long, two_min long, two_max long"
+    found = spark.createDataFrame([("a", "b", 3, 5, 4, 5), ("c", "d", 1, 5, 4, 5), ("e", "f", 3, 81, 4, 5), ("g", "h", 3, 5, 30, 30)], row)
+    h = spark.createDataFrame([(20,)], "h long")
+    kept = lambda **more: {r.one for r in bubbles.supported(found, h, **more).collect()}
+    assert kept() == {"a", "g"}
+    assert kept(least=1) == {"a", "c", "g"} and kept(ploidy=4) == {"a", "e", "g"} and kept(balance=0.5) == {"a"}
+
+
+def test_no_edges(spark):
+    outs = bubbles.outs_of(spark.createDataFrame([], "node string, next string, cnt long"), K)
+    levels = bubbles.jumps(outs, 4)
+    found = bubbles.pair_bubbles(outs, levels, K)
+    assert found.count() == 0 and bubbles.flanked(found, levels, K).count() == 0

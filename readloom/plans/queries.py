@@ -901,6 +901,32 @@ def pair_lift(spark, sf_dir):
     return evaluate.lift_pairs(rows.select(turned("seq").alias("a"), turned("b").alias("b")), rows, g.select(F.col("rname").alias("chrom"), "seq"))
 
 
+# contigs are the second haplotypes, every second one turned round, aligned without gaps and up to 3 bases off; each seventh is short before its site
+_LIFTED = "contig_id % 3 = 0 or contig_id % 5 = 1 and contig_id % 7 <> 0"
+_SHORT = "contig_id % 3 = 0 and contig_id % 7 = 0"
+_OWN_BASE = "translate(substr(seq, site + 1, 1), 'ACGT', 'CGTA')"
+
+
+@query(f"""WITH {X.GENOME_SQL}, base AS (SELECT *, {_SHORT} AS short_, substr(seq, site + 1, 1) AS own FROM genome WHERE {_LIFTED})
+SELECT contig_id::VARCHAR AS contig, contig_id::VARCHAR AS chrom,
+  CASE WHEN short_ THEN (CASE WHEN contig_id % 2 = 1 THEN length(substr(second, site - 9, 60)) - 11 ELSE 10 END) WHEN contig_id % 3 = 0 THEN (CASE WHEN contig_id % 2 = 1 THEN length(second) - 1 - site ELSE site END) WHEN contig_id % 2 = 1 THEN length(second) - 1 - site ELSE site - 1 END::BIGINT AS "offset",
+  (CASE WHEN contig_id % 3 = 0 THEN site + 1 + CASE WHEN short_ THEN contig_id % 4 ELSE 0 END ELSE site END)::BIGINT AS pos,
+  CASE WHEN short_ THEN {_OWN_BASE} WHEN contig_id % 3 = 0 THEN own ELSE substr(seq, site, 3) END AS ref,
+  CASE WHEN short_ THEN own WHEN contig_id % 3 = 0 THEN {_OWN_BASE} ELSE substr(seq, site, 1) END AS alt, CASE WHEN short_ THEN 'cigar' ELSE 'flanks' END AS way FROM base""")
+def flank_lift(spark, sf_dir):
+    g = X.genome(spark, sf_dir).filter(_LIFTED).withColumns({"contig": F.col("contig_id").cast("string"), "short_": F.expr(_SHORT), "back": F.expr("contig_id % 2 = 1")})
+    g = g.withColumn("text", F.expr("case when short_ then substr(second, site - 9, 60) else second end")).withColumn("at", F.expr("case when short_ then 10 else site end"))
+    single = F.expr("contig_id % 3 = 0")
+    turned = lambda c: F.when(F.col("back"), S.reverse_complement(F.expr(c))).otherwise(F.expr(c))
+    # a lost piece's anchor is the base before it on the contig's strand
+    ref = F.when(single, turned("substr(text, at + 1, 1)")).when(F.col("back"), turned("substr(text, at + 1, 1)")).otherwise(F.expr("substr(text, at, 1)"))
+    alt = F.when(single, turned("substr(seq, site + 1, 1)")).when(F.col("back"), turned("substr(seq, site + 1, 3)")).otherwise(F.expr("substr(seq, site, 3)"))
+    offset = F.when(F.col("back"), F.length("text") - 1 - F.col("at")).when(single, F.col("at")).otherwise(F.col("at") - 1).cast("long")
+    rows = g.select("contig", "seq", offset.alias("offset"), ref.alias("ref"), alt.alias("alt"), turned("text").alias("text"), F.when(F.col("back"), 16).otherwise(0).alias("flag"), F.expr("(case when short_ then site - 9 else 1 end + contig_id % 4)").cast("long").alias("pos"), F.concat(F.length("text"), F.lit("M")).alias("cigar"))
+    sam = rows.select(F.col("contig").alias("qname"), "flag", F.col("contig").alias("rname"), "pos", "cigar")
+    return evaluate.lift_by_flanks(rows.select("contig", "offset", "ref", "alt"), sam, rows.select("contig", F.col("text").alias("seq")), rows.select(F.col("contig").alias("chrom"), "seq"))
+
+
 @query(f"WITH {X.READS_SQL}, f AS (SELECT contig_id AS fragment_id, substr(second, site - 11, 24) AS s FROM genome WHERE second <> seq), b AS (SELECT fragment_id, s FROM f UNION SELECT fragment_id, {_RC.format('s')} FROM f), k AS (SELECT read_id, seq, unnest(list_transform(range(1, (length(seq) - 19)::BIGINT), lambda i: substr(seq, i, 20))) AS kmer FROM reads) SELECT fragment_id, count(DISTINCT read_id) AS n_reads FROM b JOIN k ON kmer = substr(s, 1, 20) WHERE contains(seq, s) GROUP BY 1")
 def read_coherence(spark, sf_dir):
     fragments = X.genome(spark, sf_dir).filter("second <> seq").select(F.col("contig_id").alias("fragment_id"), F.expr("substr(second, site - 11, 24)").alias("seq"))

@@ -284,6 +284,11 @@ def archive_reads(spark, sf_dir):
     return archive.decode(spark, path)
 
 
+@query()
+def parameter_sweep(spark, sf_dir):
+    return archive.sweep_points(_fastq_once(spark, sf_dir), [40, 46], 6, archive.EncodeSettings(classify=46))
+
+
 @query(f"WITH {X.READS_SQL} SELECT {_FASTQ} FROM reads")
 def fastq_records(spark, sf_dir):
     path = session.new_folder(spark)

@@ -16,7 +16,7 @@ CHUNK = 1 << 16
 
 def expand_duplicates(placements: DataFrame, read_map: DataFrame) -> DataFrame:
     """One row an original read: placements are of unique reads."""
-    return read_map.join(placements, "uid")
+    return read_map.join(placements.hint("merge"), "uid")
 
 
 def depth_changes(spans: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def coverage_runs(spans: DataFrame, extents: DataFrame, width: int = CHUNK) -> D
     chunks = changes.groupBy("region", "chunk").agg(F.sum("delta").alias("total"), F.min("pos").alias("first"))
     chunks = chunks.select("region", "chunk", F.coalesce(F.sum("total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(along).alias("next"))
     by = Window.partitionBy("region", "chunk").orderBy("pos")
-    rows = changes.join(chunks, ["region", "chunk"])
+    rows = changes.join(chunks.hint("merge"), ["region", "chunk"])
     end, depth = F.coalesce(F.lead("pos").over(by), F.col("next")), F.col("before") + F.sum("delta").over(by.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("region", F.col("pos").alias("start"), end.alias("end"), depth.alias("depth")).filter(F.col("end").isNotNull())
 
@@ -70,7 +70,7 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFra
     Both sides go to the bins that they touch, and a pair is kept in the later of the first bins
     only, so it comes once; the join is an equi-join at any size.
     """
-    pairs = _binned(left, "start", "end", width).join(_binned(right, "q_start", "q_end", width), ["region", "_bin"])
+    pairs = _binned(left, "start", "end", width).join(_binned(right, "q_start", "q_end", width).hint("merge"), ["region", "_bin"])
     once = F.col("_bin") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("q_start") / width))
     return pairs.filter(once & (F.col("end") > F.col("q_start")) & (F.col("start") < F.col("q_end"))).drop("_bin")
 
@@ -84,7 +84,7 @@ def as_of_span(points: DataFrame, spans: DataFrame, width: int = CHUNK) -> DataF
     along = Window.partitionBy("region").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("region", "chunk", F.last("last", ignorenulls=True).over(along).alias("carried"))
     by = Window.partitionBy("region", "chunk").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.join(chunks, ["region", "chunk"]).withColumn("span", F.coalesce(F.last("span", ignorenulls=True).over(by), "carried")).filter("kind = 1")
+    held = rows.join(chunks.hint("merge"), ["region", "chunk"]).withColumn("span", F.coalesce(F.last("span", ignorenulls=True).over(by), "carried")).filter("kind = 1")
     return held.select("point_id", "region", "pos", F.when(F.col("pos") < F.col("span.end"), F.col("span.contig_id")).alias("contig_id"))
 
 
@@ -95,9 +95,9 @@ def union_of_spans(spans: DataFrame, width: int = CHUNK) -> DataFrame:
     reaches = rows.groupBy("region", "chunk").agg(F.max("end").alias("reach")).select("region", "chunk", F.max("reach").over(along).alias("carried"))
     by = Window.partitionBy("region", "chunk").orderBy("start", "end")
     before = F.greatest(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
-    heads = rows.join(reaches, ["region", "chunk"]).withColumn("head", F.when(F.col("start") <= before, 0).otherwise(1))
+    heads = rows.join(reaches.hint("merge"), ["region", "chunk"]).withColumn("head", F.when(F.col("start") <= before, 0).otherwise(1))
     counts = heads.groupBy("region", "chunk").agg(F.sum("head").alias("n")).select("region", "chunk", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("earlier"))
-    runs = heads.join(counts, ["region", "chunk"]).withColumn("run", F.col("earlier") + F.sum("head").over(by))
+    runs = heads.join(counts.hint("merge"), ["region", "chunk"]).withColumn("run", F.col("earlier") + F.sum("head").over(by))
     return runs.groupBy("region", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 

@@ -21,6 +21,11 @@ def packed(kmer: Column) -> Column:
     return F.conv(codes(kmer), 4, 10).cast("long")
 
 
+def unpacked(code: Column, k: int) -> Column:
+    """The k-mer of a number of two bits a base."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +21,65 @@ def occurrences(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
     return rows.filter(~F.contains("own", F.lit("N"))).select(key, "pos", F.least("own", "other").alias("kmer"), (F.col("own") > F.col("other")).alias("rc"))
 
 
+def _sums(digits: np.ndarray, k: int, turned: bool) -> np.ndarray:
+    """Numbers of two bits a base of all runs of k digits, first digit highest, or lowest if ``turned``; put together from runs of powers of two."""
+    n, run, size, done, out = len(digits) - k + 1, digits, 1, 0, np.zeros(len(digits) - k + 1, np.int64)
+    while size <= k:
+        if k & size:
+            out = out | run[done : done + n] << 2 * done if turned else out << 2 * size | run[done : done + n]
+            done += size
+        run, size = (run[:-size] | run[size:] << 2 * size if turned else run[:-size] << 2 * size | run[size:]), 2 * size
+    return out
+
+
+def _canonical(text: str) -> str:
+    return min(text, text.translate(_TURN)[::-1])
+
+
+_TURN = str.maketrans("ACGT", "TGCA")
+_KIND = np.full(256, 5, np.uint8)  # 4: N, 5: any other letter
+_KIND[list(b"ACGTN")] = range(5)
+
+
+def _packed(data: np.ndarray, offsets: np.ndarray, k: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Of joined sequences: numbers of canonical k-mers without N with their counts, and one by one those with other letters than A, C, G, T."""
+    kind, odd = _KIND[data], []
+    for row in np.unique(np.searchsorted(offsets, np.flatnonzero(data >= 128), "right") - 1):  # letters of several bytes: read as text
+        text, kind[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]].tobytes().decode(), 4
+        odd += [_canonical(w) for w in (text[i : i + k] for i in range(len(text) - k + 1)) if "N" not in w]
+    yield np.empty(0, np.int64), np.empty(0, np.int64), odd
+    for at in range(0, len(data) - k + 1, chunk):
+        part = kind[at : at + chunk + k - 1]
+        starts = np.arange(at, at + len(part) - k + 1)
+        inside = offsets[np.searchsorted(offsets, starts, "right")] - starts >= k
+        has = lambda m: (c := np.concatenate(([0], np.cumsum(m))))[k:] > c[:-k]
+        inside &= ~has(part == 4)
+        other = inside & has(part == 5) if (part == 5).any() else np.zeros(len(starts), bool)
+        digits = (part & 3).astype(np.int64)
+        found, n = np.unique(np.minimum(_sums(digits, k, False), _sums(3 - digits, k, True))[inside & ~other], return_counts=True)
+        yield found, n, [_canonical(data[i : i + k].tobytes().decode()) for i in starts[other]]
+
+
 def count(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
-    """(kmer, cnt), partially aggregated before the shuffle."""
-    return occurrences(seqs, k, key).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    """(kmer, cnt), partially aggregated before the shuffle; k-mers of up to 31 bases are numbers until then."""
+    if k > 31:
+        return occurrences(seqs, k, key).groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.large_binary())
+            lengths = texts.buffers()[1]
+            offsets = np.frombuffer(lengths, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            for found, n, odd in _packed(data, offsets - offsets[0], k):
+                code, n = pa.concat_arrays([pa.array(found), pa.nulls(len(odd), pa.int64())]), pa.concat_arrays([pa.array(n), pa.array([1] * len(odd), pa.int64())])
+                yield pa.RecordBatch.from_arrays([code, pa.concat_arrays([pa.nulls(len(found), pa.string()), pa.array(odd, pa.string())]), n], ["code", "odd", "n"])
+
+    # k-mers that are text in a row with other letters, yet hold none themselves, are numbers too
+    plain = F.col("odd").rlike("^[ACGT]+$")
+    rows = seqs.filter(F.length("seq") >= k).select("seq").mapInArrow(numbers, "code long, odd string, n long")
+    rows = rows.select(F.when(plain, S.packed(F.col("odd"))).otherwise(F.col("code")).alias("code"), F.when(~plain, F.col("odd")).alias("odd"), "n")
+    return rows.groupBy("code", "odd").agg(F.sum("n").alias("cnt")).select(F.coalesce("odd", S.unpacked(F.col("code"), k)).alias("kmer"), "cnt")
 
 
 def spectrum(counts: DataFrame) -> DataFrame:

@@ -89,8 +89,11 @@ def as_of_span(points: DataFrame, spans: DataFrame, width: int = CHUNK) -> DataF
 
 
 def union_of_spans(spans: DataFrame, width: int = CHUNK) -> DataFrame:
-    """(region, start, end): merged spans; touching ones become one."""
-    rows = spans.select("region", "start", "end", F.floor(F.col("start") / width).alias("chunk"))
+    """(region, start, end): merged spans; touching ones become one.
+
+    Equal spans count once: two windows may order them unlike each other, and only the first begins a run.
+    """
+    rows = spans.select("region", "start", "end").distinct().withColumn("chunk", F.floor(F.col("start") / width))
     along = Window.partitionBy("region").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     reaches = rows.groupBy("region", "chunk").agg(F.max("end").alias("reach")).select("region", "chunk", F.max("reach").over(along).alias("carried"))
     by = Window.partitionBy("region", "chunk").orderBy("start", "end")

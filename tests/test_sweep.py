@@ -37,6 +37,6 @@ def test_contigs_can_have_names(spark):
 
 
 def test_no_table_of_the_pile(spark):
-    for name in ("upper_median",):
+    for name in ("pileup_counts", "upper_median"):
         plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and "MapInArrow" in plan

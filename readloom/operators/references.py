@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
-from readloom.session import shared_folder
+from readloom.session import cut
 
 
 def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id", turned: bool = False) -> DataFrame:
@@ -15,48 +19,116 @@ def self_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "c
     Both places are read forward, or the source on its other strand if ``turned``; then a run that is
     its own other strand has itself as its source.
 
-    Each occurrence of a seed meets the seed's first ``most`` occurrences, by key and place, in an
-    equi-join; a run is a maximal island of neighbouring seeds on a diagonal.  So all pairs of a seed
-    that occurs up to ``most`` times meet, and no occurrence of a hotter one is left without sources.
-    A run that meets a hotter seed at an end goes on as far as the bases agree, since the next
-    seed's sources can be others.
+    Each occurrence of a seed meets the seed's first ``most`` occurrences, by key and place.  So all
+    pairs of a seed that occurs up to ``most`` times meet, and no occurrence of a hotter one is left
+    without sources.  A run goes on as far as the bases agree.
+
+    Seeds aren't made one by one: two texts that share a seed share its minimizer, so minimizers meet
+    in an equi-join, and each pair of texts is compared along the diagonals on which some met.  A seed
+    occurs no more often than its minimizer; only those of minimizers above ``most`` are ranked.
     """
-    shared_folder(texts.sparkSession)
-    rows = texts.select(key, F.inline(S.kmers(F.col("seq"), seed)))
-    # a limit on ranks is taken in each task before the shuffle; written out, so that a hot seed's rows
-    # can be split in the join; joins are merges, as a written table's size is guessed far too low for broadcasts
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kmer").orderBy(key, "pos"))).filter(F.col("rank") <= most + 1).checkpoint()
-    held = S.reverse_complement(F.col("kmer")).alias("kmer") if turned else F.col("kmer")
-    a, b = ranked.filter(F.col("rank") <= most).select(held, F.col(key).alias("src_id"), F.col("pos").alias("src")), rows.select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"))
-    # a turned run goes up in one text and down in the other, so that its two halves can't be told by seeds in one text
-    earlier, along = ("src_id <= dst_id", F.col("dst") + F.col("src")) if turned else ("src_id < dst_id or (src_id = dst_id and src < dst)", F.col("dst") - F.col("src"))
-    pairs = b.join(a.hint("merge"), "kmer").filter(earlier).withColumn("diagonal", along)
-    by = Window.partitionBy("src_id", "dst_id", "diagonal").orderBy("dst")
-    island = pairs.withColumn("island", F.col("dst") - F.row_number().over(by))
-    found = island.groupBy("dst_id", "src_id", "diagonal", "island").agg(F.min("dst").cast("long").alias("dst"), F.min("src").cast("long").alias("src"), (F.max("dst") - F.min("dst") + seed).cast("long").alias("size")).drop("diagonal", "island")
-    hot = ranked.filter(F.col("rank") == most + 1).select(held)
-    if hot.limit(1).count() == 0:
-        return found.filter("src_id < dst_id or src <= dst")
-    places = rows.join(hot.hint("merge"), "kmer", "left_semi").select(F.col(key).alias("dst_id"), F.col("pos").cast("long").alias("pos"))
-    return _extended(found, places, texts, seed, key, turned).filter("src_id < dst_id or src <= dst")
-
-
-def _extended(found: DataFrame, hot: DataFrame, texts: DataFrame, seed: int, key: str, turned: bool) -> DataFrame:
-    """Runs with a hot place (dst_id, pos) next to them, extended as far as bases agree; each run once."""
-    found = found.checkpoint()
-    beside = F.explode(F.array(F.col("pos") + 1, F.col("pos") - 1))  # a run that begins after, or whose last seed is before, a hot place
-    marks = hot.select("dst_id", beside.alias("edge")).distinct()
-    ends = found.withColumn("edge", F.explode(F.array(F.col("dst"), F.col("dst") + F.col("size") - seed)))
-    open_ = ends.join(marks.hint("merge"), ["dst_id", "edge"], "left_semi").drop("edge").distinct().checkpoint()
-    closed = found.join(open_.hint("merge"), ["dst_id", "src_id", "dst", "src"], "left_anti").select("dst_id", "src_id", "dst", "src", "size")
-    rows = open_.join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")).hint("merge"), "dst_id").join(texts.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")).hint("merge"), "src_id")
-    after = lambda x, at: F.expr(f"substring({x}, cast({at} + size as int) + 1)")
-    before = lambda x, at: F.reverse(F.expr(f"left({x}, cast({at} as int))"))
-    facing, behind = (before, after) if turned else (after, before)
-    other = lambda x: F.translate(x, "ACGT", "TGCA") if turned else x
-    rows = rows.withColumns({"more": S.common_prefix(after("sd", "dst"), other(facing("ss", "src"))), "less": S.common_prefix(before("sd", "dst"), other(behind("ss", "src")))})
-    grown = rows.select("dst_id", "src_id", (F.col("dst") - F.col("less")).alias("dst"), (F.col("src") - F.col("more" if turned else "less")).alias("src"), (F.col("size") + F.col("less") + F.col("more")).alias("size"))
-    return grown.distinct().union(closed)
+    held = texts.select(key, S.reverse_complement(F.col("seq")).alias("seq")) if turned else texts
+    ours = cut(_minimizers(texts, seed, key))
+    theirs = cut(_minimizers(held, seed, key)) if turned else ours
+    # written, so that a hot one's rows can be split in the join; joins are merges, as a written table's size is guessed far too low for broadcasts
+    hot = cut(theirs.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("code"))
+    a, b = theirs.select("code", F.col(key).alias("src_id"), F.col("pos").alias("src")), ours.select("code", F.col(key).alias("dst_id"), F.col("pos").alias("dst"), "lo", "hi")
+    if hot.isEmpty():
+        met = b.join(a.hint("merge"), "code")
+    else:
+        met = b.join(hot.hint("merge"), "code", "left_anti").join(a.hint("merge"), "code")
+        seeds = lambda rows, text: rows.join(hot.hint("merge"), "code", "left_semi").select(key, F.explode(F.sequence("lo", "hi")).alias("pos")).join(text.select(key, "seq").hint("merge"), key).select(key, "pos", F.substring("seq", F.col("pos") + 1, F.lit(seed)).alias("kmer"), F.length("seq").alias("length"))
+        place = F.col("length") - F.col("pos") if turned else F.col("pos")  # on the forward strand, but for a constant
+        ranked = cut(seeds(theirs, held).withColumn("rank", F.row_number().over(Window.partitionBy("kmer").orderBy(key, place))).filter(F.col("rank") <= most))
+        sources = ranked.select("kmer", F.col(key).alias("src_id"), F.col("pos").alias("src"))
+        again = seeds(ours, texts).select("kmer", F.col(key).alias("dst_id"), F.col("pos").alias("dst"), F.col("pos").alias("lo"), F.col("pos").alias("hi")).join(sources.hint("merge"), "kmer")
+        met = met.drop("code").unionByName(again.drop("kmer"))
+    met = met.filter("src_id <= dst_id" if turned else "src_id < dst_id or (src_id = dst_id and src < dst)")
+    spans = F.collect_list(F.struct((F.col("dst") - F.col("src")).alias("along"), "lo", "hi"))
+    pairs = met.groupBy("dst_id", "src_id").agg(spans.alias("spans"))
+    pairs = pairs.join(texts.select(F.col(key).alias("dst_id"), F.col("seq").alias("sd")).hint("merge"), "dst_id").join(held.select(F.col(key).alias("src_id"), F.col("seq").alias("ss")).hint("merge"), "src_id")
+    kind = texts.schema[key].dataType.simpleString()
+    found = pairs.select("dst_id", "src_id", "spans.along", "spans.lo", "spans.hi", "sd", "ss").mapInArrow(_compare(seed, turned), f"dst_id {kind}, src_id {kind}, dst long, src long, size long")
+    return found.filter("src_id < dst_id or src <= dst")
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of joined texts, and where each text begins, with their end."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
+def _least(texts: list[str], seed: int) -> tuple[np.ndarray, ...]:
+    """(row, hash, pos, lo, hi) of the minimizers of all runs of ``seed`` letters: the run from lo to the run from hi have theirs at pos."""
+    points, offsets = _points(texts)
+    part = max(1, seed * 2 // 3)
+    n = len(points) - part + 1
+    hashes = np.zeros(max(n, 0), np.uint64)
+    for i in range(part if n > 0 else 0):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n] + np.uint64(1)
+    hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
+    n = max(len(points) - seed + 1, 0)
+    best, at = hashes[:n].copy(), np.arange(n)
+    for j in range(1, seed - part + 1):
+        lower = hashes[j : j + n] < best
+        best[lower], at[lower] = hashes[j : j + n][lower], np.flatnonzero(lower) + j
+    starts = np.arange(n)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    inside = offsets[row + 1] - starts >= seed
+    starts, row, at, best = starts[inside], row[inside], at[inside], best[inside]
+    first = np.ones(len(starts), bool)
+    first[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    begins = np.flatnonzero(first)
+    ends = np.append(begins[1:], len(starts)) - 1 if len(begins) else begins
+    row = row[begins]
+    return row, best[begins].view(np.int64), at[begins] - offsets[row], starts[begins] - offsets[row], starts[ends] - offsets[row]
+
+
+def _minimizers(texts: DataFrame, seed: int, key: str, most: int = 1 << 20) -> DataFrame:
+    """(key, code, pos, lo, hi): places of minimizers, by a hash, each with the first and last seed that it is least in."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            size = np.cumsum([len(t) for t in texts])
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // most)) + 1):  # some MB of letters at a time
+                row, *numbers = _least([texts[i] for i in rows], seed)
+                code, pos, lo, hi = numbers
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(code), *[pa.array(c.astype(np.int32)) for c in (pos, lo, hi)]], [key, "code", "pos", "lo", "hi"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.filter(F.length("seq") >= seed).select(key, "seq").mapInArrow(places, f"{key} {kind}, code long, pos int, lo int, hi int")
+
+
+def _runs(ours: np.ndarray, theirs: np.ndarray, along: int, lo: np.ndarray, hi: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the maximal runs of a diagonal that hold a seed from one of the spans; lo and hi in order."""
+    low, high = max(0, along), min(len(ours), len(theirs) + along)
+    equal = np.concatenate(([False], ours[low:high] == theirs[low - along : high - along], [False]))
+    edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
+    begin, end = edges[::2], edges[1::2]
+    held = np.searchsorted(lo, end - seed, "right") > np.searchsorted(hi, begin)
+    held &= end - begin >= seed
+    return begin[held], end[held]
+
+
+def _compare(seed: int, turned: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for dst_id, src_id, along, lo, hi, sd, ss in zip(*[c.to_pylist() for c in batch.columns]):
+                ours, theirs = _points([sd])[0], _points([ss])[0]
+                along, lo, hi = np.array(along), np.array(lo), np.array(hi)
+                order = np.lexsort((lo, along))
+                along, lo, hi = along[order], lo[order], hi[order]
+                for spans in np.split(np.arange(len(along)), np.flatnonzero(np.diff(along)) + 1):
+                    line = int(along[spans[0]])
+                    for begin, end in zip(*_runs(ours, theirs, line, lo[spans], np.maximum.accumulate(hi[spans]), seed)):
+                        src = len(theirs) - (end - line) if turned else begin - line
+                        out.append((dst_id, src_id, int(begin), int(src), int(end - begin)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [batch.column(0).type, batch.column(1).type, pa.int64(), pa.int64(), pa.int64()])], ["dst_id", "src_id", "dst", "src", "size"])
+
+    return rows
 
 
 def both_strand_matches(texts: DataFrame, seed: int = 24, most: int = 64, key: str = "contig_id") -> DataFrame:

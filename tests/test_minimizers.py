@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from readloom.operators import references
+from readloom.operators import calling, references
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -52,3 +52,30 @@ def test_seeds_are_not_shuffled_one_by_one(spark):
     before = written()
     assert references.self_matches(df).agg(F.sum("size")).first()[0] == 60 * 400
     assert written() - before < sum(len(t) - 23 for _, t in rows)  # seeds, which went through several shuffles
+
+
+def written_rows(spark, made) -> int:
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = written()
+    made()
+    return written() - before
+
+
+def test_held_windows(spark):
+    draw = random.Random(7)
+    texts = [(i, "".join(draw.choices("ACN", k=draw.randrange(40)))) for i in range(60)]
+    wanted = sorted({"".join(draw.choices("AC", k=6)) for _ in range(20)})
+    got = references.held_windows(spark.createDataFrame(texts, "id long, seq string"), spark.createDataFrame([(w, w[0]) for w in wanted], "kmer string, first string"), 6, "id")
+    want = [(i, p, t[p : p + 6], t[p]) for i, t in texts for p in range(len(t) - 5) if t[p : p + 6] in wanted]
+    assert sorted(map(tuple, got.select("id", "start", "kmer", "first").collect())) == sorted(want)
+
+
+def test_reads_windows_are_not_shuffled_one_by_one(spark):
+    draw = random.Random(8)
+    reads = [(i, "".join(draw.choices("ACGT", k=60))) for i in range(200)]
+    fragments = spark.createDataFrame([(i, t[20:44]) for i, t in reads[:20]], "fragment_id long, seq string")
+    found = calling.coherent_reads(spark.createDataFrame(reads, "read_id long, seq string"), fragments, 20)
+    got = []
+    assert written_rows(spark, lambda: got.extend(map(tuple, found.collect()))) < 200 * 41 / 2
+    assert sorted(got) == [(i, 1) for i in range(20)]

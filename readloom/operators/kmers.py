@@ -64,6 +64,11 @@ def count(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
     """(kmer, cnt), partially aggregated before the shuffle; k-mers of up to 31 bases are numbers until then."""
     if k > 31:
         return occurrences(seqs, k, key).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return counted(seqs, k).select(F.coalesce("odd", S.unpacked(F.col("code"), k)).alias("kmer"), "cnt")
+
+
+def counted(seqs: DataFrame, k: int) -> DataFrame:
+    """(code, odd, cnt): canonical k-mers of up to 31 bases as numbers, those with other letters as text."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +84,16 @@ def count(seqs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
     plain = F.col("odd").rlike("^[ACGT]+$")
     rows = seqs.filter(F.length("seq") >= k).select("seq").mapInArrow(numbers, "code long, odd string, n long")
     rows = rows.select(F.when(plain, S.packed(F.col("odd"))).otherwise(F.col("code")).alias("code"), F.when(~plain, F.col("odd")).alias("odd"), "n")
-    return rows.groupBy("code", "odd").agg(F.sum("n").alias("cnt")).select(F.coalesce("odd", S.unpacked(F.col("code"), k)).alias("kmer"), "cnt")
+    return rows.groupBy("code", "odd").agg(F.sum("n").alias("cnt"))
+
+
+def _other_strand(rows: DataFrame, code: str, name: str, k: int) -> DataFrame:
+    """With the number of the other strand: digits complemented, then swapped in pairs, fours, and so on; a column a step, as each asks for the last twice."""
+    rows = rows.withColumn(name, F.bitwise_not(code))
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x, m = F.col(name), F.lit(mask).cast("long")
+        rows = rows.withColumn(name, F.shiftrightunsigned(x, shift).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), shift)))
+    return rows.withColumn(name, F.shiftrightunsigned(name, 64 - 2 * k))
 
 
 def spectrum(counts: DataFrame) -> DataFrame:
@@ -136,6 +150,40 @@ def successors(nodes: DataFrame, k: int) -> DataFrame:
     return a.join(b.hint("merge"), "shared").select("node", "next", "cnt")
 
 
+def solid_edges(counts: DataFrame, k: int, least: int = 2) -> DataFrame:
+    """(node, next, cnt): ``successors`` of the ``oriented`` k-mers that are counted (as by ``counted``, k of 2 to 31), found on one strand of each shared run of k-1 bases.
+
+    An edge over a run is an edge over the run's other strand, the other way round, so only the ends
+    that have the smaller strand of their run outwards meet, as numbers, and give both edges.
+    """
+    solid = counts.filter(F.col("cnt") >= least)
+    mask, digit = F.lit((1 << 2 * (k - 1)) - 1).cast("long"), lambda x: F.substring(F.lit("ACGT"), x.cast("int") + 1, F.lit(1))
+    plain = _other_strand(solid.filter("odd is null").select(F.col("code").alias("own"), "cnt"), "own", "turned", k)
+    front, rest = lambda x: F.shiftrightunsigned(x, 2), lambda x: F.col(x).bitwiseAND(mask)
+    plain = plain.select("cnt", (F.col("own") != F.col("turned")).alias("twice"), front("own").alias("p"), rest("own").alias("q"), rest("turned").alias("rp"), front("turned").alias("rq"), digit(F.shiftrightunsigned("own", 2 * k - 2)).alias("first"), digit(F.col("own").bitwiseAND(F.lit(3).cast("long"))).alias("last"))
+    turned = S.reverse_complement(F.col("odd"))
+    texts = solid.filter("odd is not null").select("cnt", (F.col("odd") != turned).alias("twice"), F.left("odd", F.lit(k - 1)).alias("p"), F.right("odd", F.lit(k - 1)).alias("q"), F.right(turned, F.lit(k - 1)).alias("rp"), F.left(turned, F.lit(k - 1)).alias("rq"), F.left("odd", F.lit(1)).alias("first"), F.right("odd", F.lit(1)).alias("last"))
+    other = lambda x: F.translate(x, "ACGT", "TGCA")
+
+    def ends(rows: DataFrame, run: str, back: str, base: str, run_2: str, back_2: str, base_2: str) -> DataFrame:
+        own = F.when(F.col(run) <= F.col(back), F.struct(F.col(run).alias("run"), F.col(base).alias("base")))
+        theirs = F.when(F.col("twice") & (F.col(run_2) <= F.col(back_2)), F.struct(F.col(run_2).alias("run"), other(F.col(base_2)).alias("base")))
+        return rows.select("cnt", F.inline(F.array_compact(F.array(own, theirs))))
+
+    def side(*names: str) -> DataFrame:
+        odd = F.when(~F.col("run").rlike("^[ACGT]*$"), F.col("run"))
+        named = ends(texts, *names).select(F.when(odd.isNull(), S.packed(F.col("run"))).otherwise(F.xxhash64("run")).alias("code"), odd.alias("odd"), "base", "cnt")
+        return ends(plain, *names).select(F.col("run").alias("code"), F.lit(None).cast("string").alias("odd"), "base", "cnt").union(named)
+
+    before = side("q", "rq", "first", "rp", "p", "last").select("code", F.col("odd").alias("odd_a"), F.col("base").alias("a"), F.col("cnt").alias("cnt_a"))
+    after = side("p", "rp", "last", "rq", "q", "first").withColumnRenamed("base", "b")
+    met = before.join(after.hint("merge"), "code").filter(F.col("odd").eqNullSafe(F.col("odd_a")))
+    met = met.withColumn("run", F.coalesce("odd", S.unpacked(F.col("code"), k - 1))).withColumn("back", S.reverse_complement(F.col("run")))
+    edge = F.struct(F.concat("a", "run").alias("node"), F.concat("run", "b").alias("next"), F.col("cnt").alias("cnt"))
+    mirrored = F.struct(F.concat(other(F.col("b")), "back").alias("node"), F.concat("back", other(F.col("a"))).alias("next"), F.col("cnt_a").alias("cnt"))
+    return met.select(F.inline(F.when(F.col("run") == F.col("back"), F.array(edge)).otherwise(F.array(edge, mirrored))))
+
+
 def anchor_pairs(occ: DataFrame, key: str = "contig_id", most: int = 4) -> DataFrame:
     """Pairs of contigs that share a k-mer that occurs 2 to ``most`` times, with how many anchors they share.
 

@@ -29,3 +29,14 @@ def test_probes_meet_windows_without_their_texts(spark):
     _, size = shuffled(spark, lambda: got.extend((r.probe_id, r.strand, r.contig_id, r.start, r.n_mm) for r in found.collect()))
     assert sorted(got) == [(i, "+", i, 50, sum(a != b for a, b in zip(p, texts[i][1][50:80], strict=True))) for i, p in probes]
     assert size < 25 * 300 * 586  # bytes a window
+
+
+def test_postings_go_through_one_shuffle(spark):
+    rows = drawn(400, 60, 2)
+    unique = spark.createDataFrame(rows, "uid long, seq string")
+    found, got = search.complete(spark.createDataFrame([(i, t[10:40]) for i, t in rows[:30]], "probe_id long, probe string"), search.completion_index(unique), unique), []
+    n, _ = shuffled(spark, lambda: got.extend(map(tuple, found.collect())))
+    assert sorted(got) == [(i, i) for i in range(30)]
+    assert n < 2 * 400 * 6  # a read has 6 postings
+    again = search.completion_index(spark.createDataFrame([(1, "AC" * 20), (2, "ACGT")], "uid long, seq string")).collect()
+    assert sorted((r.code, r.uid) for r in again) == [("AC" * 10, 1)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
+from readloom.session import cut
 
 DUPLICATE_SHARE = 0.15  # from this share on, deduplication pays
 
@@ -63,8 +64,10 @@ def contain_prefixes(unique: DataFrame) -> DataFrame:
     """(uid, into): reads that are a proper prefix of a longer one, with the smallest such in order of sequence.
 
     For each length that occurs, longer reads' prefixes meet the reads of that length in an
-    equi-join; the lengths come from an aggregate (as many rows as there are lengths).
+    equi-join; the lengths come from an aggregate (as many rows as there are lengths).  Reads are
+    written out once, as all three ask for them.
     """
+    unique = cut(unique)
     lengths = unique.select("len").distinct()
     longer = unique.select(F.col("uid").alias("into"), F.col("seq").alias("whole"), F.col("len").alias("whole_len"))
     prefixes = longer.join(F.broadcast(lengths), F.col("len") < F.col("whole_len")).select("into", "whole", F.expr("left(whole, len)").alias("seq"))

@@ -40,3 +40,11 @@ def test_postings_go_through_one_shuffle(spark):
     assert n < 2 * 400 * 6  # a read has 6 postings
     again = search.completion_index(spark.createDataFrame([(1, "AC" * 20), (2, "ACGT")], "uid long, seq string")).collect()
     assert sorted((r.code, r.uid) for r in again) == [("AC" * 10, 1)]
+
+
+def test_containment_asks_for_reads_once(spark):
+    rows = [(i, t[: 40 if i % 3 else 60]) for i, t in drawn(300, 60, 3, "AC")]
+    rows += [(1000 + i, t[:40]) for i, t in rows[:30:3]]
+    found = reads.contain_prefixes(reads.deduplicate(spark.createDataFrame(rows, "read_id long, seq string"))[0])
+    assert "min(read_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # it was made three times
+    assert sorted((r.uid, r.into) for r in found.collect()) == [(1000 + i, i) for i in range(0, 30, 3)]

@@ -47,7 +47,7 @@ def deduplicate(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Names come from one partial aggregation by sequence, with no global order.
     """
-    plain = reads.select("read_id", F.translate("seq", "N", "A").alias("seq"))
+    plain = reads.select("read_id", F.replace("seq", F.lit("N"), F.lit("A")).alias("seq"))
     unique = plain.groupBy("seq").agg(F.min("read_id").alias("uid")).select("uid", "seq", F.length("seq").alias("len"))
     return unique, plain.join(unique.select("uid", "seq").hint("merge"), "seq").select("read_id", "uid")
 

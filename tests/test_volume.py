@@ -48,3 +48,8 @@ def test_containment_asks_for_reads_once(spark):
     found = reads.contain_prefixes(reads.deduplicate(spark.createDataFrame(rows, "read_id long, seq string"))[0])
     assert "min(read_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # it was made three times
     assert sorted((r.uid, r.into) for r in found.collect()) == [(1000 + i, i) for i in range(0, 30, 3)]
+
+
+def test_both_rows_of_a_duplicate_come_from_one_drawing(spark):
+    found = __spark_entry__.queries()["dup_expansion"](spark, TABLES)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0

@@ -53,3 +53,8 @@ def test_containment_asks_for_reads_once(spark):
 def test_both_rows_of_a_duplicate_come_from_one_drawing(spark):
     found = __spark_entry__.queries()["dup_expansion"](spark, TABLES)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_reconstruction_reads_what_was_drawn_once(spark):
+    plan = __spark_entry__.queries()["read_reconstruct"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan

@@ -3,7 +3,7 @@
 import random
 
 import __spark_entry__
-from readloom.operators import reads, search
+from readloom.operators import assembly, reads, search
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -58,3 +58,31 @@ def test_both_rows_of_a_duplicate_come_from_one_drawing(spark):
 def test_reconstruction_reads_what_was_drawn_once(spark):
     plan = __spark_entry__.queries()["read_reconstruct"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_overlaps_without_a_row_a_seed(spark):
+    draw, text = random.Random(4), "".join(random.Random(5).choices("ACGT", k=900))
+    rows = list(enumerate({text[i : i + draw.choice([17, 33, 50, 60])] for i in draw.sample(range(840), 250)} | {"AC" * 9, "CA" * 20, "AC" * 32, "AC" * 33, "A" * 16}))
+    found, got = assembly.overlap_edges(spark.createDataFrame(rows, "uid long, seq string")), []
+    n, _ = shuffled(spark, lambda: got.extend(map(tuple, found.collect())))
+    assert sorted(got) == sorted((a, b, k) for a, x in rows for b, y in rows if a != b for k in range(16, min(len(x), len(y))) if x[-k:] == y[:k])
+    assert n < 0.7 * sum(max(0, len(t) - 16) for _, t in rows)
+
+
+def plain_gaps(reads, contigs, k=25, context=40, most=30, flank=10, least_reads=3):
+    places, votes = {}, {}
+    for c, t in contigs:
+        for p in range(len(t) - k + 1):
+            places.setdefault(t[p : p + k], []).append((c, p, t))
+    for r, t in reads:
+        for q in range(len(t) - k + 1):
+            if len(hit := places.get(t[q : q + k], [])) == 1:
+                c, p, whole = hit[0]
+                x, y = whole[max(0, p - context) : p][::-1], t[max(0, q - context) : q][::-1]
+                at = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), None)
+                if at is not None:
+                    size = lambda a, b: next((n for n in range(1, most + 1) if len(a[at : at + flank]) == flank and a[at : at + flank] == b[at + n : at + n + flank]), 0)  # noqa: B023, E731
+                    kind, n = next(((kind, n) for kind, n in (("I", size(x, y)), ("D", size(y, x))) if n), (None, 0))
+                    if kind:
+                        votes.setdefault((c, p - at - n if kind == "D" else p - at, kind, n), set()).add(r)
+    return sorted((*v, len(ids)) for v, ids in votes.items() if len(ids) >= least_reads)

@@ -3,7 +3,7 @@
 import random
 
 import __spark_entry__
-from readloom.operators import assembly, reads, search
+from readloom.operators import assembly, product, reads, search
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -86,3 +86,23 @@ def plain_gaps(reads, contigs, k=25, context=40, most=30, flank=10, least_reads=
                     if kind:
                         votes.setdefault((c, p - at - n if kind == "D" else p - at, kind, n), set()).add(r)
     return sorted((*v, len(ids)) for v, ids in votes.items() if len(ids) >= least_reads)
+
+
+def test_anchored_gaps_without_a_row_a_kmer(spark):
+    draw = random.Random(6)
+    shared = "A" * 30  # of more contigs than may meet by it
+    contigs = [(c, t[:60] + (shared if c < 70 else "") + t[60:]) for c, t in drawn(90, 120, 7)]
+    rows = []
+    for c, t in contigs[::3]:
+        for i in range(5):
+            at, lo = 50 + 3 * i, draw.randrange(10)
+            cut = t[:50] + (t[52:] if c % 2 else "GT" + t[50:])
+            rows += [(10 * c + i, cut[lo : lo + 75]), (10 * c + i + 5, t[at : at + 60])]
+    rows += rows[:3] + [(rows[0][0], contigs[9][1][:70]), (5000, "ACG")]
+    found, got = product.anchored_gaps(spark.createDataFrame(rows, "read_id long, seq string"), spark.createDataFrame(contigs, "contig_id long, seq string")), []
+    got.extend((r.contig_id, r.pos, r.kind, r.size, r.n_reads) for r in found.collect())
+    assert sorted(got) == plain_gaps(rows, contigs) != []
+    contigs = drawn(10, 120, 8)
+    rows = [(100 * c + i, t[i : i + 60]) for c, t in contigs for i in range(60)]
+    found = lambda: product.anchored_gaps(spark.createDataFrame(rows, "read_id long, seq string"), spark.createDataFrame(contigs, "contig_id long, seq string")).collect()
+    assert shuffled(spark, found)[0] < sum(len(t) - 24 for _, t in rows)
